@@ -52,7 +52,7 @@ def hav(lat1: str, lon1: str, lat2: str, lon2: str) -> str:
         f"(pow(sin(radians({lat2}-({lat1}))/2),2) + cos(radians({lat1}))*cos(radians({lat2}))"
         f"*pow(sin(radians({lon2}-({lon1}))/2),2))"
     )
-    return f"(6371.0*2*atan2(sqrt(least({h},1)),sqrt(1-least({h},1))))"
+    return f"(6371.0*2*atan2(sqrt({h}),sqrt(1-{h})))"
 
 
 def key(seed: str, *parts: str) -> str:

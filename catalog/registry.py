@@ -7,7 +7,9 @@ from .core import REGISTRY, Query
 
 def all_queries() -> dict[str, Query]:
     from . import (  # noqa: F401
+        pairs,
         trips,
+        visits,
     )
 
     return dict(REGISTRY)
