@@ -7,7 +7,10 @@ from .core import REGISTRY, Query
 
 def all_queries() -> dict[str, Query]:
     from . import (  # noqa: F401
+        next_place,
         pairs,
+        reviews,
+        sessions,
         trips,
         visits,
     )

@@ -18,7 +18,7 @@ DAY_NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday",
 def split_list(text: ColumnLike, separator: str = ",") -> Column:
     """Split, trim and drop empty entries; NULL text gives an empty list."""
     parts = F.split(F.coalesce(as_col(text), F.lit("")), separator)
-    return F.filter(F.transform(parts, F.trim), lambda x: x != F.lit(""))
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != F.lit(""))
 
 
 def split_set(text: ColumnLike, separator: str = ",") -> Column:

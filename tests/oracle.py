@@ -67,8 +67,8 @@ def compare(df, con, statement: str) -> tuple[bool, str]:
     note = f"{len(a)} rows" + (f"; types {odd}" if odd else "")
     if a == b:
         return True, note
-    only_a = [x for x in a if x not in set(b)][:2]
-    only_b = [x for x in b if x not in set(a)][:2]
+    in_a, in_b = set(a), set(b)
+    only_a, only_b = sorted(in_a - in_b)[:2], sorted(in_b - in_a)[:2]
     return False, f"{len(a)} vs {len(b)} rows\n   ours   {only_a}\n   theirs {only_b}\n   columns {sorted(names)} {odd}"
 
 
