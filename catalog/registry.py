@@ -7,6 +7,7 @@ from .core import REGISTRY, Query
 
 def all_queries() -> dict[str, Query]:
     from . import (  # noqa: F401
+        evaluation,
         next_place,
         pairs,
         reviews,

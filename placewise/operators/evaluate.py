@@ -138,13 +138,18 @@ def bootstrap_interval(
     partial sums; what is shuffled is one row per resample and partition.
     """
     rows = df.select(*by, *key, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    # Rows grow a thousandfold here: spread even a small table over all tasks first.
+    n_tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n_tasks, *key)
     copies = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
     draw = hash_draw(seed, *key, "_b")
     weight = F.lit(0)
     for border in poisson_thresholds():
         weight = weight + (F.col("_draw") >= F.lit(border)).cast("int")
-    weighted = copies.withColumn("_draw", draw).withColumn("_w", weight).filter(F.col("_w") > 0)
-    means = weighted.groupBy(*by, "_b").agg((F.sum(F.col("_v") * F.col("_w")) / F.sum("_w")).alias("_m"))
+    # No filter on the weight: pushed down, it would compute the hash once per border.
+    weighted = copies.withColumn("_draw", draw).withColumn("_w", weight)
+    total, hits = F.sum("_w"), F.sum(F.col("_v") * F.col("_w"))
+    means = weighted.groupBy(*by, "_b").agg(F.try_divide(hits, total).alias("_m"))
     alpha = (1 - confidence) / 2
     return means.groupBy(*by).agg(
         round_to(F.percentile("_m", alpha), 6).alias("ci_lower"),
