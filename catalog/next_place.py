@@ -64,7 +64,7 @@ part("ncases", ("nchosen", "npool", "mine"), f"""select split, user_id, location
   order by {key(SEED,'user_id','location_id')}, location_id) as k from nchosen join npool p using (user_id)
   where location_id<>truth and exists (select 1 from range(0,20) t(j) where j<least(20,p.n)
   and p.pos=({draw(SEED,'user_id')} % p.n + (j*p.n)//least(20,p.n)) % p.n)) where k<=19""")
-part("hist", ("mine", "nchosen"), "select * from mine join nchosen using (user_id) where rn>1")
+part("hist", ("mine", "nchosen"), "select * exclude (rn) from mine join nchosen using (user_id) where rn>1")
 # The profile steps again, over the histories.
 for _step in ("centre", "region_of", "profile"):
     _needs, _text = PARTS[_step]

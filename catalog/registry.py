@@ -12,6 +12,8 @@ def all_queries() -> dict[str, Query]:
         pairs,
         reviews,
         sessions,
+        sources,
+        texts,
         trips,
         visits,
     )

@@ -69,4 +69,6 @@ def read_venue_checkins(spark: SparkSession, path: str) -> DataFrame:
         F.try_to_timestamp(clean, F.lit(VENUE_TIME_FORMATS[0].removeprefix("EEE "))),
         F.try_to_timestamp(F.col("utc_time"), F.lit(VENUE_TIME_FORMATS[1])),
     )
-    return raw.withColumn("ts", ts.cast("timestamp_ntz")).drop("utc_time")
+    # Keep the UTC wall clock, whatever the session's time zone is.
+    utc = F.to_utc_timestamp(ts, F.current_timezone())
+    return raw.withColumn("ts", utc.cast("timestamp_ntz")).drop("utc_time")
