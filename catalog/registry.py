@@ -8,6 +8,7 @@ from .core import REGISTRY, Query
 def all_queries() -> dict[str, Query]:
     from . import (  # noqa: F401
         evaluation,
+        models,
         next_place,
         pairs,
         reviews,

@@ -101,3 +101,51 @@ def _(spark, sf):
     return closed_sessions(roles.checkins(spark, sf)).select(
         "user_id", F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss").alias("start_ts"), "n_events"
     )
+
+
+@query("streamed_sessions", "ST1",
+       sql("checkins", """select user_id, strftime(min(ts),'%Y-%m-%d %H:%M:%S') as start_ts, count(*) as n_events from (
+  select *, sum(b) over (partition by user_id order by ts, event_id) as s from (select *, case when ts - lag(ts) over (partition by user_id
+  order by ts, event_id) > interval 24 hour then 1 else 0 end as b from checkins)) group by user_id, s
+  having max(ts) + interval 25 hour <= (select date_trunc('millisecond', max(ts)) from checkins)"""))
+def _(spark, sf):
+    """The sessions a drained stream over the event file has closed."""
+    from placewise.session import scratch_path
+    from placewise.streaming.sessions import stream_sessions
+
+    schema = roles.table(spark, sf, "events").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    out, state = scratch_path(spark, "stream-sessions"), scratch_path(spark, "stream-state")
+    run = (
+        stream_sessions(stream).writeStream.format("parquet").outputMode("append")
+        .option("checkpointLocation", state).trigger(availableNow=True).start(out)
+    )
+    run.awaitTermination()
+    return spark.read.parquet(out).select(
+        "user_id", F.date_format("start_ts", "yyyy-MM-dd HH:mm:ss").alias("start_ts"), "n_events"
+    )
+
+
+@query("rolling_popularity", "ST2 A20",
+       sql("checkins", "select location_id, count(*) as popularity from checkins group by 1"))
+def _(spark, sf):
+    """Counts kept by merging one micro-batch after another."""
+    from placewise.session import scratch_path
+    from placewise.streaming.rolling import RollingState
+
+    rows = roles.checkins(spark, sf)
+    source = scratch_path(spark, "stream-input")
+    rows.repartition(3).write.parquet(source)
+    state = RollingState(spark, scratch_path(spark, "rolling"))
+    last = []
+
+    def merge(batch, batch_id):
+        state.merge_batch(batch, batch_id)
+        last.append(batch_id)
+
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    run = stream.writeStream.foreachBatch(merge).option(
+        "checkpointLocation", scratch_path(spark, "rolling-checkpoint")
+    ).trigger(availableNow=True).start()
+    run.awaitTermination()
+    return state.popularity(max(last)).withColumn("popularity", F.col("popularity").cast("long"))
