@@ -15,6 +15,7 @@ from . import roles
 from . import visits as v
 from .core import cell, draw, hav, key, query, ratio, rnd
 from .roles import part, sql
+from .staged import staged
 
 PAIR = pp.PAIR
 SEED = "friends"
@@ -239,6 +240,11 @@ def features_sql(tier: str) -> str:
     return sql(needs, f"select user_a, user_b, label, {items} from measures {joins}", **own)
 
 
+@staged
+def cases(spark, sf):
+    return plan.friendship_cases(roles.friends(spark, sf), active(spark, sf), N_EACH, SEED)
+
+
 def measures(spark, sf, cases, enriched: bool):
     c, vis, prof = roles.checkins(spark, sf), v.visits(spark, sf), v.profiles(spark, sf)
     if not enriched:
@@ -249,8 +255,8 @@ def measures(spark, sf, cases, enriched: bool):
 
 
 def features(spark, sf, tier: str):
-    cases = plan.friendship_cases(roles.friends(spark, sf), active(spark, sf), N_EACH, SEED)
-    return plan.friendship_features(cases, measures(spark, sf, cases, tier == "enriched"), tier)
+    chosen = cases(spark, sf)
+    return plan.friendship_features(chosen, measures(spark, sf, chosen, tier == "enriched"), tier)
 
 
 def _register(tier: str, covers: str) -> None:

@@ -10,7 +10,6 @@ from placewise.operators import profiles as pr
 from placewise.operators import trip_stats as ts
 from placewise.operators.history import last_n_array
 from placewise.operators.sampling import balanced
-from placewise.plans import friendship as fplan
 from placewise.plans import reviews as rplan
 from placewise.plans import texts as tx
 from placewise.plans import trips as tplan
@@ -107,7 +106,7 @@ def recent(spark, sf):
 
 @staged
 def pair_rows(spark, sf):
-    cases = fplan.friendship_cases(roles.friends(spark, sf), pairs.active(spark, sf), pairs.N_EACH, pairs.SEED)
+    cases = pairs.cases(spark, sf)
     measured = cases.join(pairs.measures(spark, sf, cases, True), pairs.PAIR)
     return tx.friendship_rows(measured, recent(spark, sf), v.category_profiles(spark, sf))
 
@@ -294,7 +293,7 @@ def _same(a: str, b: str) -> str:
 
 def od_rows(spark, sf, tier):
     zones = trips.enriched_zones(spark, sf) if tier == "enriched" else roles.open_zones(spark, sf)
-    s = trips.stats(spark, sf, zones)
+    s = trips.stats(spark, sf)
     side = lambda k, p: tplan._zone_side(zones, k, p, tier == "enriched")
     km = haversine_km("o_lat", "o_lon", "c_lat", "c_lon")
     as_origin = lambda df: df.withColumnRenamed("pu_zone", "origin_zone")
@@ -310,7 +309,7 @@ def od_rows(spark, sf, tier):
 
 def duration_rows(spark, sf, tier):
     zones = trips.enriched_zones(spark, sf) if tier == "enriched" else roles.open_zones(spark, sf)
-    s = trips.stats(spark, sf, zones)
+    s = trips.stats(spark, sf)
     side = lambda k, p: tplan._zone_side(zones, k, p, tier == "enriched")
     chosen = tplan.duration_cases(trips.test(spark, sf), trips.N_TRIPS, trips.SEED)
     return (

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,18 +14,26 @@ from placewise.operators.filters import clean_trips
 from placewise.operators.spatial import zone_categories, zone_category_counts
 from placewise.plans import trips as plan
 from placewise.plans.levels import feature_names
+from placewise.session import stage
 
 from . import roles
 from .core import cell, draw, fix, hav, key, query, rnd
 from .roles import part, sql
+from .staged import staged
 
 SEED = "od"
 N_QUERIES = 200
 N_TRIPS = 1000
 
 
+@staged
+def raw(spark: SparkSession, sf: str) -> DataFrame:
+    """The trip table, put in the place of monthly trip files."""
+    return roles.trips(spark, sf)
+
+
 def clean(spark: SparkSession, sf: str) -> DataFrame:
-    return clean_trips(roles.trips(spark, sf), roles.EXCLUDED_ZONES)
+    return clean_trips(raw(spark, sf), roles.EXCLUDED_ZONES)
 
 
 def train(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,6 +44,7 @@ def test(spark: SparkSession, sf: str) -> DataFrame:
     return clean(spark, sf).filter(F.col("pickup_ts") >= F.lit(roles.TEST_FROM).cast("timestamp_ntz"))
 
 
+@staged
 def enriched_zones(spark: SparkSession, sf: str) -> DataFrame:
     z = roles.open_zones(spark, sf)
     return zone_categories(z, zone_category_counts(z, roles.zone_pois(spark, sf)))
@@ -171,25 +182,38 @@ def _(spark, sf):
 # -- cases and features ----------------------------------------------------------
 
 
-def cases(spark, sf, n_candidates=plan.N_CANDIDATES, trips=None):
-    trips = test(spark, sf) if trips is None else trips
-    return plan.od_ranking_cases(trips, roles.open_zones(spark, sf), N_QUERIES, SEED, n_candidates)
+def build_cases(spark, sf, n_candidates=plan.N_CANDIDATES):
+    return plan.od_ranking_cases(test(spark, sf), roles.open_zones(spark, sf), N_QUERIES, SEED, n_candidates)
+
+
+@staged
+def cases(spark, sf):
+    return build_cases(spark, sf)
+
+
+_STATS: dict[tuple[str, str], plan.TripStats] = {}
 
 
-def stats(spark, sf, zones=None) -> plan.TripStats:
-    return plan.trip_stats(train(spark, sf), roles.open_zones(spark, sf) if zones is None else zones)
+def stats(spark, sf) -> plan.TripStats:
+    """All training statistics, each table written once and read back."""
+    key_ = (spark.sparkContext.applicationId, sf)
+    if key_ not in _STATS:
+        tables = plan.trip_stats(train(spark, sf), enriched_zones(spark, sf))
+        names = [f.name for f in fields(plan.TripStats)]
+        _STATS[key_] = plan.TripStats(*[stage(getattr(tables, n), f"stats-{n}") for n in names])
+    return _STATS[key_]
 
 
 @query("od_ranking_cases", "D8 J12 T6 U3",
        sql("test pool", "select * from cases", **cases_sql("test", 20)))
 def _(spark, sf):
-    return cases(spark, sf)
+    return build_cases(spark, sf)
 
 
 @query("od_ranking_cases_within_borough", "D8 J12",
        sql("test pool", "select * from cases", **cases_sql("test", 5)))
 def _(spark, sf):
-    return cases(spark, sf, 5)
+    return build_cases(spark, sf, 5)
 
 
 @query("drop_off_by_popularity", "M8 M19 W9 A20 D8 D10 J5",
@@ -204,7 +228,7 @@ def _(spark, sf):
         F.col("do_zone").alias("candidate_zone"), F.col("do_count").alias("popularity")
     )
     tie = [hash_key("tie", "query_id", "candidate_zone")]
-    return popularity_line(cases(spark, sf), ["query_id"], "candidate_zone", counts, tie)
+    return popularity_line(build_cases(spark, sf), ["query_id"], "candidate_zone", counts, tie)
 
 
 _RECENT_Z = "recent5 r join {z} on zone_id=r.do_zone"
@@ -276,7 +300,7 @@ def _register_od(tier: str) -> None:
     @query(f"od_ranking_features_{tier}", _TIER_COVER[tier], _od_sql(tier))
     def _(spark, sf):
         zones = enriched_zones(spark, sf) if tier == "enriched" else roles.open_zones(spark, sf)
-        rows = plan.od_ranking_features(cases(spark, sf), stats(spark, sf, zones), zones, tier)
+        rows = plan.od_ranking_features(cases(spark, sf), stats(spark, sf), zones, tier)
         names = feature_names("od_ranking", tier)
         return _rounded(rows, ["query_id", "origin_zone", "candidate_zone", "label"], names)
 
@@ -343,7 +367,7 @@ _DURATION_COVER = {"latlng": "V8 D9 P12", "zone_id": "V8 D9 P12 J5", "enriched":
 def duration_features(spark, sf, tier, trips=None, n=N_TRIPS):
     zones = enriched_zones(spark, sf) if tier == "enriched" else roles.open_zones(spark, sf)
     chosen = plan.duration_cases(test(spark, sf) if trips is None else trips, n, SEED)
-    return plan.duration_features(chosen, stats(spark, sf, zones), zones, tier)
+    return plan.duration_features(chosen, stats(spark, sf), zones, tier)
 
 
 def _register_duration(tier: str) -> None:

@@ -143,6 +143,9 @@ def probe(
 ) -> DataFrame:
     """Evenly spaced positions in a shuffled pool, from a random start per case.
 
+    Position -1 is added to every case: it stands for the true candidate, so that
+    truths and negatives come from one pass over the cases.
+
     ``wanted`` is the number of candidates plus the number of pool members that
     may have to be thrown out again, so enough always survive; positions are
     distinct, and when ``wanted`` reaches the pool size they are the whole pool.
@@ -151,19 +154,27 @@ def probe(
     with_count = cases.withColumn(
         "_m", F.least(as_col(wanted).cast("long"), F.col(pool_size).cast("long"))
     ).withColumn("_start", F.pmod(hash_draw(seed, *case), F.greatest(F.col(pool_size), F.lit(1))))
-    rows = explode_range(with_count, "_m", "_j")
+    with_count = with_count.withColumn("_probes", F.col("_m") + 1)
+    rows = explode_range(with_count, "_probes", "_j").withColumn("_j", F.col("_j") - 1)
     # Whole-number division keeps the positions exactly distinct.
-    spot = F.pmod(F.expr(f"_start + (_j * {pool_size}) div _m"), F.col(pool_size))
-    return rows.withColumn(out, spot.cast("long")).drop("_m", "_start", "_j")
+    step = F.expr(f"(_j * {pool_size}) div greatest(_m, 1)")
+    spot = F.pmod(F.col("_start") + step, F.greatest(F.col(pool_size), F.lit(1)))
+    spot = F.when(F.col("_j") < 0, F.lit(-1)).otherwise(spot)
+    return rows.withColumn(out, spot.cast("long")).drop("_m", "_start", "_j", "_probes")
 
 
 def keep_per_case(
     df: DataFrame, case: Sequence[str], item: Sequence[str], n: int, seed: str, require: int | None = None
 ) -> DataFrame:
-    """Up to ``n`` hash-chosen survivors per case; cases below ``require`` drop out."""
-    w = Window.partitionBy(*case).orderBy(hash_key(seed, *case, *item), *item)
-    kept = df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
-    if require is None:
-        return kept
-    enough = kept.groupBy(*case).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= require)
-    return kept.join(enough.select(*case), list(case), "left_semi")
+    """The true candidate (label 1) and up to ``n`` hash-chosen negatives per case.
+
+    With ``require``, cases with fewer negatives than that drop out; the count
+    stays inside the same grouping, so it costs no further shuffle.
+    """
+    groups = Window.partitionBy(*case)
+    order = groups.orderBy(F.col("label").desc(), hash_key(seed, *case, *item), *item)
+    kept = df.withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= n + 1)
+    if require is not None:
+        kept = kept.withColumn("_kept", F.count(F.lit(1)).over(groups)).filter(F.col("_kept") > require)
+        kept = kept.drop("_kept")
+    return kept.drop("_rn")

@@ -97,17 +97,31 @@ def next_place_cases(
     per_user = pools.select("user_id", "split", "_truth", "pool_size").distinct()
     # One more probe than needed: at most one can hit the true place.
     probes = probe(per_user, ["user_id"], "pool_size", F.lit(n_negatives + 1), seed)
+    # Which of the (at most nine) regions a probe falls into, and where in it.
     spots = pools.select("user_id", *_REGION, "_before", "_n")
-    located = probes.join(spots, "user_id").filter(
-        (F.col("probe_pos") >= F.col("_before")) & (F.col("probe_pos") < F.col("_before") + F.col("_n"))
+    parts = spots.groupBy("user_id").agg(F.collect_list(F.struct(*_REGION, "_before", "_n")).alias("_parts"))
+    hit = F.filter(
+        "_parts",
+        lambda r: (F.col("probe_pos") >= r["_before"]) & (F.col("probe_pos") < r["_before"] + r["_n"]),
     )
-    located = located.withColumn("_local", F.col("probe_pos") - F.col("_before"))
-    negatives = located.join(index, [*_REGION, "_local"]).filter(F.col("location_id") != F.col("_truth"))
-    negatives = keep_per_case(negatives, ["user_id"], ["location_id"], n_negatives, seed)
-    columns = ["split", "user_id", "location_id"]
-    cases = truths.select(
-        *columns, F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), F.lit(1).alias("label")
-    ).unionByName(negatives.select(*columns, "lat", "lon", F.lit(0).alias("label")))
+    located = probes.join(parts, "user_id").withColumn("_hit", F.try_element_at(hit, F.lit(1)))
+    located = located.select(
+        "user_id", "split", "_truth", "probe_pos", *[F.col("_hit")[c].alias(c) for c in _REGION],
+        (F.col("probe_pos") - F.col("_hit._before")).alias("_local"),
+    )
+    here = truths.select("user_id", "latitude", "longitude")
+    is_truth = F.col("probe_pos") == -1
+    rows = located.join(index, [*_REGION, "_local"], "left").filter(
+        is_truth | (F.col("location_id") != F.col("_truth"))
+    )
+    rows = rows.join(here, "user_id").select(
+        "split", "user_id",
+        F.when(is_truth, F.col("_truth")).otherwise(F.col("location_id")).alias("location_id"),
+        F.when(is_truth, F.col("latitude")).otherwise(F.col("lat")).alias("lat"),
+        F.when(is_truth, F.col("longitude")).otherwise(F.col("lon")).alias("lon"),
+        is_truth.cast("int").alias("label"),
+    )
+    cases = keep_per_case(rows, ["user_id"], ["location_id"], n_negatives, seed)
     return cases, history.join(chosen, "user_id")
 
 

@@ -67,15 +67,20 @@ def next_business_cases(
     visited = mine.select("user_id", "business_id").distinct()
     n_visited = visited.groupBy("user_id").agg(F.count(F.lit(1)).alias("_visited"))
     size = index.select(F.max("pool_size")).scalar()
-    cases = held.select("user_id").join(n_visited, "user_id").withColumn("_size", size)
+    cases = held.select("user_id", F.col("business_id").alias("_truth")).join(n_visited, "user_id").withColumn("_size", size)
     # As many probes more as the user has businesses that must be thrown out.
     probes = probe(cases, ["user_id"], "_size", F.col("_visited") + n_negatives, seed, "pos")
-    drawn = probes.select("user_id", "pos").join(index, "pos").select("user_id", "business_id")
-    unseen = drawn.join(visited, ["user_id", "business_id"], "left_anti")
-    negatives = keep_per_case(unseen, ["user_id"], ["business_id"], n_negatives, seed, require=n_negatives)
-    truths = held.join(negatives.select("user_id").distinct(), "user_id", "left_semi")
-    both = truths.select("user_id", "business_id", F.lit(1).alias("label")).unionByName(
-        negatives.select("user_id", "business_id", F.lit(0).alias("label"))
+    is_truth = F.col("pos") == -1
+    drawn = probes.select("user_id", "_truth", "pos").join(index, "pos", "left").select(
+        "user_id",
+        F.when(is_truth, F.col("_truth")).otherwise(F.col("business_id")).alias("business_id"),
+        is_truth.cast("int").alias("label"),
+        # NULL for the truth, which must not meet the user's own reviews.
+        F.col("business_id").alias("_drawn"),
+    )
+    unseen = drawn.join(visited.withColumnRenamed("business_id", "_drawn"), ["user_id", "_drawn"], "left_anti")
+    both = keep_per_case(
+        unseen.drop("_drawn"), ["user_id"], ["business_id"], n_negatives, seed, require=n_negatives
     )
     both = permute(both, ["user_id"], ["business_id"], seed)
     candidates = both.join(businesses.select("business_id", *BUSINESS), "business_id")

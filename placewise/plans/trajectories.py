@@ -58,12 +58,14 @@ def trajectory_cases(
     cases = cases.withColumn("_strict", F.col("_size") - F.col("_inside") >= n_negatives)
     spare = F.when(F.col("_strict"), F.col("_inside")).otherwise(1)
     probes = probe(cases, SESSION, "_size", spare + n_negatives, seed, "pos")
-    drawn = probes.join(index.drop("pool_size"), "pos").filter(F.col("location_id") != F.col("_truth"))
+    is_truth = F.col("pos") == -1
+    drawn = probes.join(index.drop("pool_size"), "pos", "left")
+    drawn = drawn.filter(is_truth | (F.col("location_id") != F.col("_truth")))
     marks = inside.withColumn("_hit", F.lit(True))
     drawn = drawn.join(marks, [*SESSION, "location_id"], "left")
-    drawn = drawn.filter(F.col("_hit").isNull() | ~F.col("_strict"))
-    negatives = keep_per_case(drawn, SESSION, ["location_id"], n_negatives, seed)
-    both = truths.select(*SESSION, F.col("_truth").alias("location_id"), F.lit(1).alias("label")).unionByName(
-        negatives.select(*SESSION, "location_id", F.lit(0).alias("label"))
+    drawn = drawn.filter(F.col("_hit").isNull() | ~F.col("_strict")).select(
+        *SESSION, F.when(is_truth, F.col("_truth")).otherwise(F.col("location_id")).alias("location_id"),
+        is_truth.cast("int").alias("label"),
     )
+    both = keep_per_case(drawn, SESSION, ["location_id"], n_negatives, seed)
     return permute(both, SESSION, ["location_id"], seed), context

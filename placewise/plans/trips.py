@@ -100,15 +100,15 @@ def od_ranking_cases(
     )
     # Two more probes than needed: the origin and the true zone may be hit.
     probes = probe(q.drop("_n", "_home", "_there"), ["query_id"], "_size", F.lit(wanted + 2), seed, "pos")
-    negatives = probes.join(index.drop("pool_size"), ["_pool", "pos"]).filter(
-        (F.col("zone_id") != F.col("_truth")) & (F.col("zone_id") != F.col("origin_zone"))
+    is_truth = F.col("pos") == -1
+    rows = probes.join(index.drop("pool_size"), ["_pool", "pos"], "left")
+    rows = rows.withColumns(
+        {"candidate_zone": F.when(is_truth, F.col("_truth")).otherwise(F.col("zone_id")), "label": is_truth.cast("int")}
+    ).filter(
+        is_truth | ((F.col("zone_id") != F.col("_truth")) & (F.col("zone_id") != F.col("origin_zone")))
     )
-    negatives = keep_per_case(negatives, ["query_id"], ["zone_id"], wanted, seed)
-    columns = ["query_id", "origin_zone", "pickup_hour", "pickup_dow"]
-    return q.select(
-        *columns, F.col("_truth").alias("candidate_zone"), F.lit(1).alias("label")
-    ).unionByName(
-        negatives.select(*columns, F.col("zone_id").alias("candidate_zone"), F.lit(0).alias("label"))
+    return keep_per_case(rows, ["query_id"], ["candidate_zone"], wanted, seed).select(
+        "query_id", "origin_zone", "pickup_hour", "pickup_dow", "candidate_zone", "label"
     )
 
 
