@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from placewise.functions.numbers import ColumnLike, as_col, hash_draw, hash_key
 
 SLOT_DIGITS = 3
+PLAIN_TOP_N = 1000
 _BLOCK = 1024
 
 
@@ -60,8 +61,20 @@ def ordered_position(df: DataFrame, key: str, out: str = "pos", prefix: int = 12
 
 
 def take_shuffled(df: DataFrame, key: Sequence[str], n: int, seed: str) -> DataFrame:
-    """Exactly ``n`` rows (or all) in reproducible random order: a distributed top-n."""
+    """Exactly ``n`` rows (or all) in reproducible random order.
+
+    A small ``n`` is a plain distributed top-n. For a larger one the merge of
+    ``n`` rows from every partition would pile up in one task, so rows are first
+    counted in 65,536 hash slots and those beyond the slot in which the ``n``-th row
+    falls are left out.
+    """
     h = hash_key(seed, *key)
+    if n > PLAIN_TOP_N:
+        slot = F.substring(h, 1, 4)
+        sizes = df.groupBy(slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
+        upto = F.sum("_n").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0))
+        last = sizes.withColumn("_upto", upto).filter(F.col("_upto") >= n).select(F.min("_slot")).scalar()
+        df = df.filter(slot <= F.coalesce(last, F.lit("ffff")))
     return df.orderBy(h, *key).limit(n)
 
 
