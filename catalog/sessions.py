@@ -34,6 +34,11 @@ def stops(spark, sf):
     return plan.trajectories(roles.checkins(spark, sf), GAP)
 
 
+@staged
+def split(spark, sf):
+    return plan.split_sessions(stops(spark, sf))
+
+
 @query("sessions", "W3", sql("stops", "select event_id, user_id, session_no from stops"))
 def _(spark, sf):
     return plan.trajectories(roles.checkins(spark, sf), GAP).select("event_id", "user_id", "session_no")
@@ -60,13 +65,13 @@ def _(spark, sf):
        sql("stops sess visited", """select user_id, category, count(*) as n from stops join sess using (user_id, session_no)
   join (select event_id, category from visited) using (event_id) where split='train' group by all"""))
 def _(spark, sf):
-    train = plan.split_sessions(stops(spark, sf)).filter(F.col("split") == "train")
+    train = split(spark, sf).filter(F.col("split") == "train")
     rows = pr.with_category(stops(spark, sf), v.categories(spark, sf)).join(train.select(*SESSION), SESSION, "left_semi")
     return plan.visit_profile(rows).select("user_id", "category", "n")
 
 
 def cases(spark, sf):
-    test = plan.split_sessions(stops(spark, sf)).filter(F.col("split") == "test")
+    test = split(spark, sf).filter(F.col("split") == "test")
     venues = v.visits(spark, sf).select("location_id").distinct()
     return plan.trajectory_cases(stops(spark, sf), test, venues, N_CASES, SEED)
 

@@ -528,7 +528,7 @@ def trajectory_rows(spark, sf):
         F.sort_array(F.collect_list(F.struct("pos", "location_id", "category", "latitude", "longitude"))).alias("candidates"),
         F.max(F.when(F.col("label") == 1, F.col("pos"))).alias("truth_pos"))
     recent10 = last_n_array(pr.with_category(context, cats), _KEYS, v.ORDER, 10, ["ts", "location_id", "category", "latitude", "longitude"], "recent")
-    train = sessions.plan.split_sessions(sessions.stops(spark, sf)).filter(F.col("split") == "train").select(*_KEYS)
+    train = sessions.split(spark, sf).filter(F.col("split") == "train").select(*_KEYS)
     seen = pr.with_category(sessions.stops(spark, sf).join(train, _KEYS, "left_semi"), cats)
     item = F.struct((-F.col("n")).alias("k"), "first_seen", "category", "n")
     profile = sessions.plan.visit_profile(seen).groupBy("user_id").agg(F.sort_array(F.collect_list(item)).alias("profile"))

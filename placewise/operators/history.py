@@ -7,6 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from placewise.functions.numbers import hash_key
+
+from .sampling import SLOT_DIGITS
+
 
 def last_n(df: DataFrame, key: Sequence[str], order: Sequence[str], n: int, out: str = "rn") -> DataFrame:
     """The last ``n`` rows per key, ``out`` = 1 for the newest.
@@ -107,58 +111,76 @@ def chronological_split(
 ) -> DataFrame:
     """Cut the global time order at ``floor(n * share)`` rows, exactly.
 
-    The cut rows are found level by level - days, seconds of the days that hold
-    a cut, rows of the seconds that hold a cut - so each sorted table is bounded
-    by the calendar, and all other rows are placed by their day or second alone.
+    The cut rows are found level by level: days, then the seconds of the days that
+    hold a cut, then the microseconds of those seconds, then hash slots of those
+    microseconds. Each sorted table is bounded by the calendar or the number of
+    slots, and all rows outside a cut group are placed by their group
+    alone. Rows of one timestamp fall in the order of a hash of the ``tie`` columns,
+    so even a timestamp shared by very many rows spreads over the slots.
     """
-    df = df.withColumns(
+    names = [name for name, _ in shares]
+    cuts = [f"_cut{i}" for i in range(len(shares))]
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    levels = ["_day", "_sec", "_us", "_slot"]
+    rows = df.withColumns(
         {
-            "_day": F.to_date(ts),
-            "_sec": F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts).cast("int"),
+            "_day": F.floor(micros / F.lit(86_400_000_000)).cast("int"),
+            "_sec": F.pmod(F.floor(micros / F.lit(1_000_000)), F.lit(86_400)).cast("int"),
+            "_us": F.pmod(micros, F.lit(1_000_000)).cast("int"),
+            "_hash": hash_key("order", *tie),
         }
-    )
-    seconds = df.groupBy("_day", "_sec").agg(F.count(F.lit(1)).alias("_n"))
-    days = seconds.groupBy("_day").agg(F.sum("_n").alias("_n"))
-    names = [name for name, _ in shares]
-    cuts: list[str] = []
-    everything = Window.partitionBy()
-    days = days.withColumn("_total", F.sum("_n").over(everything))
-    share_sum = 0.0
-    for i, (_, share) in enumerate(shares):
-        share_sum += share
-        cuts.append(f"_cut{i}")
-        days = days.withColumn(f"_cut{i}", F.floor(F.col("_total") * F.lit(share_sum)))
+    ).withColumn("_slot", F.substring("_hash", 1, SLOT_DIGITS))
 
-    def holds_cut(before: str, size: str) -> Column:
+    def inside_cut(before: Column, size: Column) -> Column:
         test = F.lit(False)
         for c in cuts:
-            test = test | ((F.col(before) < F.col(c)) & (F.col(c) < F.col(before) + F.col(size)))
+            test = test | ((before < F.col(c)) & (F.col(c) < before + size))
         return test
 
-    by_day = Window.orderBy("_day").rowsBetween(Window.unboundedPreceding, 0)
-    days = days.withColumn("_day_before", F.sum("_n").over(by_day) - F.col("_n"))
-    days = days.withColumn("_day_cut", holds_cut("_day_before", "_n")).drop("_n", "_total")
+    def place(counts: DataFrame, depth: int) -> DataFrame:
+        """Rows before each group of this depth, and whether a cut lies inside it."""
+        w = Window.partitionBy(*levels[:depth]).orderBy(levels[depth]).rowsBetween(Window.unboundedPreceding, 0)
+        before = F.col("_base") + F.sum("_n").over(w) - F.col("_n")
+        placed = counts.withColumn("_before", before)
+        return placed.withColumn("_inside", inside_cut(F.col("_before"), F.col("_n")))
+
+    def only_cut(groups: DataFrame, depth: int) -> DataFrame:
+        keys = levels[: depth + 1]
+        return groups.filter("_inside").select(*keys, F.col("_before").alias("_base"), *cuts)
 
-    by_sec = Window.partitionBy("_day").orderBy("_sec").rowsBetween(Window.unboundedPreceding, 0)
-    seconds = (
-        seconds.join(days.filter("_day_cut").drop("_day_cut"), "_day")
-        .withColumn("_sec_before", F.col("_day_before") + F.sum("_n").over(by_sec) - F.col("_n"))
-        .withColumn("_sec_cut", holds_cut("_sec_before", "_n"))
-        .select("_day", "_sec", "_sec_before", "_sec_cut")
+    seconds = rows.groupBy("_day", "_sec").agg(F.count(F.lit(1)).alias("_n"))
+    days = seconds.groupBy("_day").agg(F.sum("_n").alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy())
+    share_sum = 0.0
+    for c, (_, share) in zip(cuts, shares):
+        share_sum += share
+        days = days.withColumn(c, F.floor(total * F.lit(share_sum)))
+    days = place(days.withColumn("_base", F.lit(0)), 0)
+    seconds = place(seconds.join(only_cut(days, 0), levels[:1]), 1)
+    fine = rows.join(only_cut(seconds, 1), levels[:2]).groupBy(*levels, "_base", *cuts).agg(
+        F.count(F.lit(1)).alias("_n")
     )
-    placed = df.join(days.drop("_day_cut"), "_day").join(seconds, ["_day", "_sec"], "left")
-    # Only rows of a second that holds a cut need their exact place; the others
-    # get a random group, so that no task collects them.
-    group = F.when(F.col("_sec_cut"), F.lit(-1)).otherwise(F.pmod(F.hash(ts, *tie), F.lit(1024)))
-    within = Window.partitionBy("_day", "_sec", group).orderBy(ts, *tie)
-    exact = F.when(F.col("_sec_cut"), F.row_number().over(within) - 1).otherwise(F.lit(0))
-    rank = F.coalesce(F.col("_sec_before"), F.col("_day_before")) + exact
+    instants = place(fine.groupBy(*levels[:3], "_base", *cuts).agg(F.sum("_n").alias("_n")), 2)
+    slots = place(fine.drop("_base", *cuts).join(only_cut(instants, 2), levels[:3]), 3)
+
+    placed = rows
+    for depth, groups in enumerate((days, seconds, instants, slots)):
+        keys = levels[: depth + 1]
+        extra = cuts if depth == 0 else []
+        found = groups.select(
+            *keys, F.col("_before").alias(f"_before{depth}"), F.col("_inside").alias(f"_inside{depth}"), *extra
+        )
+        placed = placed.join(found, keys, "left")
+    # Only a slot that holds a cut is ranked row by row.
+    in_cut_slot = F.coalesce(F.col("_inside3"), F.lit(False))
+    spread = F.when(in_cut_slot, F.lit(-1)).otherwise(F.pmod(F.hash("_hash"), F.lit(1024)))
+    within = Window.partitionBy(*levels, spread).orderBy("_hash", *tie)
+    exact = F.when(in_cut_slot, F.row_number().over(within) - 1).otherwise(F.lit(0))
+    rank = F.coalesce("_before3", "_before2", "_before1", "_before0") + exact
     label: Column | None = None
     for name, c in zip(names, cuts):
         label = F.when(rank < F.col(c), name) if label is None else label.when(rank < F.col(c), name)
-    return placed.withColumn(out, label.otherwise(rest)).drop(
-        "_day", "_sec", "_day_before", "_sec_before", "_sec_cut", *cuts
-    )
+    return placed.withColumn(out, label.otherwise(rest)).select(*df.columns, out)
 
 
 def streak(items: Column, matches) -> Column:
