@@ -25,8 +25,9 @@ def haversine_km(lat1: ColumnLike, lon1: ColumnLike, lat2: ColumnLike, lon2: Col
     chord = F.sin(half_dlat) * F.sin(half_dlat) + F.cos(phi1) * F.cos(phi2) * F.sin(
         half_dlon
     ) * F.sin(half_dlon)
-    # Rounding can push the chord a hair past 1 for antipodes.
-    chord = F.least(chord, F.lit(1.0))
+    # Rounding can push the chord a hair past 1 for antipodes. (least() would turn a
+    # missing coordinate into a distance; this keeps it NULL.)
+    chord = F.when(chord > 1.0, F.lit(1.0)).otherwise(chord)
     return F.lit(2 * EARTH_RADIUS_KM) * F.atan2(F.sqrt(chord), F.sqrt(F.lit(1.0) - chord))
 
 

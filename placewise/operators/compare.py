@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,37 +102,20 @@ def effect_label(delta: Column, band: float = NEUTRAL_BAND) -> Column:
 def cross_correlations(features: DataFrame, first: Sequence[str], second: Sequence[str]) -> DataFrame:
     """Pearson correlation of every pair (one of ``first``, one of ``second``).
 
-    Sums, squares and products are ordinary aggregates over one pass; the pairs
-    are opened afterwards from the single result row. A constant column gives 0.
+    One distributed pass builds the matrix over all columns; what comes back is
+    its entries, a number fixed by the feature lists. A constant column gives 0.
     """
     columns = [*first, *second]
-    # Centring on the first moments keeps the products from cancelling.
-    means = features.agg(*[F.avg(c).alias(c) for c in columns])
-    n = F.count(F.lit(1)).cast("double")
-
-    def centred(c: str) -> Column:
-        return F.col(c) - means.select(c).scalar()
-
-    shifted = features.select(*[centred(c).alias(c) for c in columns])
-    sums = shifted.agg(
-        n.alias("_n"),
-        *[F.sum(F.col(c) * F.col(c)).alias(f"s_{c}") for c in columns],
-        *[F.sum(F.col(a) * F.col(b)).alias(f"p_{a}_{b}") for a in first for b in second],
-    )
-    # Numerical dust of a constant column must not turn into a correlation.
-    def spread(c: str) -> Column:
-        return F.when(F.col(f"s_{c}") > 1e-9, F.sqrt(F.col(f"s_{c}")))
-
-    pairs = [
-        F.struct(
-            F.lit(a).alias("first"),
-            F.lit(b).alias("second"),
-            F.coalesce(F.col(f"p_{a}_{b}") / (spread(a) * spread(b)), F.lit(0.0)).alias("r"),
-        )
+    vectors = VectorAssembler(inputCols=columns, outputCol="features").transform(features)
+    matrix = Correlation.corr(vectors.select("features"), "features").first()[0].toArray()
+    at = {c: i for i, c in enumerate(columns)}
+    rows = [
+        (a, b, float(r) if math.isfinite(r) else 0.0)
         for a in first
         for b in second
+        for r in [matrix[at[a], at[b]]]
     ]
-    return sums.select(F.explode(F.array(*pairs)).alias("_x")).select("_x.*")
+    return features.sparkSession.createDataFrame(rows, "first string, second string, r double")
 
 
 def correlation_summary(correlations: DataFrame) -> DataFrame:

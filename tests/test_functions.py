@@ -44,6 +44,11 @@ def test_haversine_quarter_circle(spark):
     assert one(spark, geo.haversine_km(F.lit(0.0), F.lit(0.0), F.lit(0.0), F.lit(180.0))) == pytest.approx(6371.0 * math.pi)
 
 
+def test_distance_to_a_missing_point_is_missing(spark):
+    nothing = F.lit(None).cast("double")
+    assert one(spark, geo.haversine_km(F.lit(1.0), F.lit(2.0), nothing, nothing)) is None
+
+
 def test_cells_have_no_negative_zero(spark):
     assert one(spark, geo.cell(F.lit(-0.04), 1)) == 0
     assert one(spark, geo.cell_pair_label(F.lit(407), F.lit(-740), 1)) == "40.7,-74.0"
