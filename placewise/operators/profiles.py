@@ -184,7 +184,8 @@ def popularity(visits: DataFrame, *by) -> DataFrame:
 def upper_median(df: DataFrame, key: str, value: str) -> DataFrame:
     """Mean and the element at index n // 2 of the sorted values, per key.
 
-    Distinct values are counted first; the pick then runs over running totals.
+    Distinct values are counted first; the pick then runs over running totals. Meant
+    for rounded values such as distances with two decimals, whose number is bounded.
     """
     from pyspark.sql import Window
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from placewise.functions.geo import cell, within_box
 
 # Fixed values: (south, west, north, east).
-US_BOX = (24.4, -125.0, 49.5, -66.9)
+US_BOX = (24.0, -130.0, 50.0, -60.0)
 NYC_BOX = (40.4, -74.3, 40.95, -73.7)
 
 
