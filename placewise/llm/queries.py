@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .secrets import scan_secrets
+from .simhash import near_duplicates
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), radius=4)
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +20,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op7_secret_scan": op7_secret_scan,
 }
 
