@@ -10,11 +10,16 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import round_trip
 from .common import table
 from .decontaminate import find_leaks
+from .quality_rules import apply_quality_rules
 from .secrets import scan_secrets
 from .simhash import near_duplicates
 from .toxicity import fit_toxicity, score_toxicity
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_quality_rules(table(spark, sf_dir, "documents"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), radius=4)
 
@@ -39,6 +44,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
