@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .byte_bpe import round_trip
 from .common import table
 from .decontaminate import find_leaks
+from .html_text import extract_main_text
 from .quality_rules import apply_quality_rules
 from .secrets import scan_secrets
 from .simhash import near_duplicates
@@ -20,6 +21,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), radius=4)
 
@@ -45,6 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_html_extraction": op3_html_extraction,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
