@@ -44,3 +44,34 @@ def small_batches(spark: SparkSession) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
+
+
+# -- labelled rows -------------------------------------------------------------
+
+#: Folds of the ids by crc32(id as text) mod 4: the last number is held out of every fit.
+FIT_FOLDS, HELD_OUT = (0, 1, 3), 2
+
+
+def fold(doc_id: Column) -> Column:
+    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4))
+
+
+def hash_share(seed: str, key: str) -> Column:
+    """A number from 0 to 1 drawn by hash."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 20)) / F.lit(float(1 << 20))
+
+
+def labelled_sample(labels: DataFrame, label: str, per_class: int) -> tuple[DataFrame, dict[int, float]]:
+    """(_id, _label) of about ``per_class`` rows a class outside the held-out fold, at most three times that in all, and the
+    share of each class that was taken. A repeated id counts as its highest label; null labels are none."""
+    rows = (
+        labels.where(fold(F.col("doc_id")).isin(*FIT_FOLDS) & F.col(label).isin(0, 1))
+        .groupBy(F.col("doc_id").cast("long").alias("_id"))
+        .agg(F.max(label).cast("int").alias("_label"))
+    )
+    sizes = {r["_label"]: r["count"] for r in rows.groupBy("_label").count().collect()}
+    share = {c: min(1.0, per_class / n) for c, n in sizes.items()}
+    taken = F.lit(False)
+    for c, s in share.items():
+        taken = taken | ((F.col("_label") == c) & (hash_share("sample", "_id") < s))
+    return rows.where(taken).limit(3 * per_class), share

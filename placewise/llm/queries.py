@@ -7,11 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from placewise.session import scratch_path
+
 from .byte_bpe import round_trip
 from .common import table
 from .decontaminate import find_leaks
 from .html_text import extract_main_text
 from .licenses import scan_licenses, scan_sql
+from .packing import digest_packed, pack_tokens, write_packed
 from .quality_rules import apply_quality_rules
 from .secrets import scan_secrets
 from .simhash import near_duplicates
@@ -34,6 +37,12 @@ def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), radius=4)
 
 
+def op5_token_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    packed = pack_tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return digest_packed(write_packed(packed, scratch_path(spark, "packed")))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     leaks = find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return leaks.drop("text_key")
@@ -58,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_html_extraction": op3_html_extraction,
     "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_token_packing": op5_token_packing,
     "op6_decontamination": op6_decontamination,
     "op7_secret_scan": op7_secret_scan,
     "op8_byte_bpe": op8_byte_bpe,
