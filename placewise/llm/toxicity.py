@@ -110,58 +110,54 @@ def _worker_lookup(vocabulary: dict[str, int]) -> Lookup:
 
 @dataclass
 class BlockMaxIndex:
-    """Postings per term in order of example, with the largest weight of every block of examples."""
+    """Postings cut into blocks of examples: per block one row of weights for each term that it holds, and per term and
+    block the largest weight."""
 
-    starts: np.ndarray  # per term, into block_of / block_max
-    block_of: np.ndarray
-    block_max: np.ndarray
-    block_start: np.ndarray  # into examples / weights, one more than blocks
-    examples: np.ndarray
-    weights: np.ndarray
-    n_blocks: int
+    block_max: np.ndarray  # terms x blocks
+    row: np.ndarray  # blocks x terms: row of ``postings``, 0 for terms that the block lacks
+    postings: np.ndarray  # rows x BLOCK weights; row 0 is empty
 
     @staticmethod
     def build(vectors: list[dict[int, float]], n_terms: int) -> BlockMaxIndex:
-        rows = sorted((t, e, w) for e, vector in enumerate(vectors) for t, w in vector.items())
-        term = np.array([r[0] for r in rows], np.int64)
-        example = np.array([r[1] for r in rows], np.int64)
-        weight = np.array([r[2] for r in rows], np.float64)
-        block = example // BLOCK
-        new = np.ones(len(rows), bool)
-        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
-        first = np.flatnonzero(new)
-        return BlockMaxIndex(
-            starts=np.searchsorted(term[first], np.arange(n_terms + 1)),
-            block_of=block[first],
-            block_max=np.maximum.reduceat(weight, first) if len(first) else weight,
-            block_start=np.append(first, len(rows)),
-            examples=example,
-            weights=weight,
-            n_blocks=-(-len(vectors) // BLOCK),
-        )
-
-    def nearest(self, query: dict[int, float], k: int) -> list[tuple[float, int]]:
-        """The exact ``k`` best (cosine, example) with a positive cosine, best first, ties by example."""
-        bound = np.zeros(self.n_blocks)
-        for t, q in query.items():
-            own = slice(self.starts[t], self.starts[t + 1])
-            bound[self.block_of[own]] += q * self.block_max[own]
-        order = np.argsort(-bound, kind="stable")
-        best: list[tuple[float, int]] = []
-        for block in order[: int(np.count_nonzero(bound))].tolist():
-            if len(best) == k and bound[block] < best[-1][0] - 1e-12:
+        n_blocks = -(-len(vectors) // BLOCK)
+        block_max = np.zeros((n_terms, n_blocks))
+        row = np.zeros((n_blocks, n_terms), np.int32)
+        postings = [np.zeros(BLOCK)]
+        for e, vector in enumerate(vectors):
+            block, place = divmod(e, BLOCK)
+            for t, w in vector.items():
+                if not row[block, t]:
+                    row[block, t] = len(postings)
+                    postings.append(np.zeros(BLOCK))
+                postings[row[block, t]][place] = w
+                block_max[t, block] = max(block_max[t, block], w)
+        return BlockMaxIndex(block_max, row, np.array(postings))
+
+    def nearest(self, query: dict[int, float], k: int, at_once: int = 4) -> list[tuple[float, int]]:
+        """The exact ``k`` best (cosine, example) with a positive cosine, best first, ties by example.
+
+        Blocks are opened from the highest bound down, a few at once, until no bound reaches the k-th best.
+        """
+        terms = np.fromiter(query.keys(), np.int64, len(query))
+        weights = np.fromiter(query.values(), np.float64, len(query))
+        bound = weights @ self.block_max[terms]
+        order = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
+        scores, examples, least = np.empty(0), np.empty(0, np.int64), 0.0
+        for at in range(0, len(order), at_once):
+            blocks = order[at : at + at_once]
+            if bound[blocks[0]] < least - 1e-9:
                 break
-            score = np.zeros(BLOCK)
-            for t, q in query.items():
-                at = self.starts[t] + np.searchsorted(self.block_of[self.starts[t] : self.starts[t + 1]], block)
-                if at < self.starts[t + 1] and self.block_of[at] == block:
-                    own = slice(self.block_start[at], self.block_start[at + 1])
-                    score[self.examples[own] - block * BLOCK] += q * self.weights[own]
-            for e in np.flatnonzero(score).tolist():
-                best.append((round(float(score[e]), 9), block * BLOCK + e))
-            best.sort(key=lambda x: (-x[0], x[1]))
-            del best[k:]
-        return best
+            found = np.einsum("t,bte->be", weights, self.postings[self.row[blocks][:, terms]])
+            some, place = np.nonzero(found)
+            scores = np.append(scores, found[some, place].round(9))
+            examples = np.append(examples, blocks[some] * BLOCK + place)
+            if len(scores) > k:
+                best = np.lexsort((examples, -scores))[:k]
+                scores, examples = scores[best], examples[best]
+            if len(scores) == k:
+                least = scores.min()
+        best = np.lexsort((examples, -scores))
+        return list(zip(scores[best].tolist(), examples[best].tolist(), strict=True))
 
 
 # -- the model -----------------------------------------------------------------
@@ -205,9 +201,14 @@ class ToxicityModel:
 
 def isotonic(points: list[tuple[float, int, float]], prior: float) -> list[tuple[float, float]]:
     """(raw, label, weight) to the points of a non-decreasing curve; each step is drawn to the prior by one row."""
-    steps: list[list[float]] = []  # sum of weights, of weighted labels, of weighted raw
-    for raw, label, weight in sorted(points):
-        steps.append([weight, weight * label, weight * raw])
+    tied: dict[float, list[float]] = {}  # sum of weights, of weighted labels, of weighted raw
+    for raw, label, weight in points:
+        sums = tied.setdefault(round(raw, 9), [0.0, 0.0, 0.0])
+        for i, value in enumerate((1.0, label, raw)):
+            sums[i] += weight * value
+    steps: list[list[float]] = []
+    for _, sums in sorted(tied.items()):
+        steps.append(sums)
         while len(steps) > 1 and steps[-2][1] * steps[-1][0] >= steps[-1][1] * steps[-2][0]:
             last = steps.pop()
             steps[-1] = [a + b for a, b in zip(steps[-1], last, strict=True)]
@@ -346,11 +347,18 @@ class Scorer:
     def __init__(self, model: ToxicityModel):
         self.model = model
         self.lookup = Lookup({t: i for i, t in enumerate(model.terms)})
+        self.memo: dict[frozenset, tuple] = {}
 
     def __call__(self, text: str) -> tuple[float, list[tuple[float, int]], dict[int, float]]:
-        vector = self.model.vector(self.lookup.count(text))
-        raw, near = self.model.vote(vector)
-        return self.model.calibrated(raw), near, vector
+        counts = self.lookup.count(text)
+        key = frozenset(counts.items())
+        if key not in self.memo:
+            if len(self.memo) >= _MEMO // 10:
+                self.memo.clear()
+            vector = self.model.vector(Counter(dict(sorted(counts.items()))))
+            raw, near = self.model.vote(vector)
+            self.memo[key] = self.model.calibrated(raw), near, vector
+        return self.memo[key]
 
 
 _SCORER: Scorer | None = None
