@@ -112,6 +112,10 @@ def _bounds(sketch: str, measure: str, fence: float) -> tuple[Column, Column]:
     return (low - spread if two_sided else F.lit(float("-inf"))), high + spread
 
 
+def _binary(value: bytes | None) -> Column:
+    return F.lit(None).cast("binary") if value is None else F.lit(bytearray(value))
+
+
 def group_thresholds(counts: DataFrame, fence: float, least_group: int) -> DataFrame:
     """(lang, source, low and high per measure) of every group of ``counts``."""
     measured = counts.select("lang", "source", base_failed().alias("failed"), *(m.alias(n) for n, m in _measures().items()))
@@ -124,29 +128,30 @@ def group_thresholds(counts: DataFrame, fence: float, least_group: int) -> DataF
         "sketches",
     )
 
-    def merged(*keys: str) -> DataFrame:
-        return groups.where("n > 0").groupBy(*keys).agg(
-            F.sum("n").alias("n_merged"), *(F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(f"{m}_merged") for m in MEASURES)
-        )
-
-    def fallback(frame: DataFrame, wider: DataFrame, on: Column) -> DataFrame:
-        """Groups of too few documents take the wider sketch."""
-        joined = frame.join(wider, on, "left")
-        small = (F.col("n") < least_group) & F.col("n_merged").isNotNull()
-        return joined.select(
-            "lang",
-            "source",
-            F.when(small, F.col("n_merged")).otherwise(F.col("n")).alias("n"),
-            *(F.when(small, F.col(f"{m}_merged")).otherwise(F.col(m)).alias(m) for m in MEASURES),
-        )
-
-    by_language = merged("lang").withColumnRenamed("lang", "_lang")
-    found = fallback(groups, by_language, F.col("lang").eqNullSafe(F.col("_lang")))
-    found = fallback(found, merged(), F.lit(True))  # one row: the whole corpus
+    def merged(frame: DataFrame) -> DataFrame:
+        sketches = (F.kll_merge_agg_double(m, F.lit(SKETCH_K)).alias(f"{m}_merged") for m in MEASURES)
+        return frame.agg(F.sum("n").alias("n_merged"), *sketches)
+
+    # Groups of too few documents take the merged sketch of their language, or of the corpus (one row of a few kilobytes).
+    filled = groups.where("n > 0")
+    by_language = merged(filled.groupBy(F.col("lang").alias("_lang")))
+    corpus = merged(filled).first().asDict()
+    if not corpus["n_merged"]:
+        corpus = dict.fromkeys(corpus)  # no document passed: no thresholds
+    joined = groups.join(by_language, F.col("lang").eqNullSafe(F.col("_lang")), "left")
+    own, language = F.col("n") >= least_group, F.coalesce(F.col("n_merged") >= least_group, F.lit(False))
+    found = joined.select(
+        "lang",
+        "source",
+        *(
+            F.when(own, F.col(m)).when(language, F.col(f"{m}_merged")).otherwise(_binary(corpus[f"{m}_merged"])).alias(m)
+            for m in MEASURES
+        ),
+    )
     limits = [
         bound.alias(f"{side}_{m}") for m in MEASURES for side, bound in zip(("low", "high"), _bounds(m, m, fence), strict=True)
     ]
-    return found.where("n > 0").select("lang", "source", *limits)
+    return found.select("lang", "source", *limits)
 
 
 def apply_quality_rules(
