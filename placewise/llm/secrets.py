@@ -220,11 +220,13 @@ def random_thresholds(histogram: dict[tuple[str, int, int], int], q: float) -> d
     out = {}
     for encoding, length in {key[:2] for key in histogram}:
         counts = [histogram.get((encoding, length, b), 0) for b in range(BINS)]
-        random_total = sum(counts[int(LAMBDA * BINS) :]) / (1 - LAMBDA)
+        middle = int(LAMBDA * BINS)
+        flagged = sum(counts[middle:])
+        random_total = flagged / (1 - LAMBDA)
         if random_total < LEAST_RANDOM:
             continue
-        flagged = 0
-        for b in reversed(range(BINS)):
+        out[encoding, length] = LAMBDA
+        for b in reversed(range(middle)):
             flagged += counts[b]
             expected = random_total * (1 - b / BINS)
             # One standard deviation of the count of random strings is no false discovery.
