@@ -227,7 +227,7 @@ def find_leaks(
     docs: DataFrame,
     benchmark: DataFrame,
     overlap: int = 13,
-    agreement: float = 0.8,
+    agreement: float = 0.7,
     doc_id: str = "doc_id",
     text: str = "text",
     item_id: str = "item_id",

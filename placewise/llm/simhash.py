@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from placewise.session import stage
 
-from .common import map_batches, small_batches, text_or_empty
+from .common import free_name, map_batches, small_batches, text_or_empty
 from .components import connected_components
 
 SEED = 42
@@ -205,8 +205,9 @@ def drop_near_duplicates(docs: DataFrame, radius: int = 4, doc_id: str = "doc_id
     none, one of them stays.
     """
     found = near_duplicates(docs, radius, doc_id, text)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, docs[doc_id].cast("long") == kept["_kept"], "left_semi")
+    mark = free_name(docs, "kept_id")
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias(mark)).distinct()
+    named = docs.join(kept, docs[doc_id].cast("long") == kept[mark], "left_semi")
     one_each = named.dropDuplicates([doc_id])
     nameless = found.where("component_id is null").select("fingerprint").distinct()
     lost = docs.where(F.col(doc_id).isNull())
@@ -217,8 +218,8 @@ def _one_of_each_nameless(rows: DataFrame, fingerprints_: DataFrame, radius: int
     """Rows without ids whose component has no id either: give them ids of their own and keep one per component."""
     if rows.isEmpty():
         return rows
-    columns = rows.columns
-    own = stage(rows.withColumn("_own", F.monotonically_increasing_id()), "nameless")
-    marked = near_duplicates(own, radius, "_own", text)
+    columns, mark = rows.columns, free_name(rows, "own_id")
+    own = stage(rows.withColumn(mark, F.monotonically_increasing_id()), "nameless")
+    marked = near_duplicates(own, radius, mark, text)
     first = marked.join(fingerprints_, "fingerprint", "left_semi").where("doc_id = component_id")
-    return own.join(first.select(F.col("doc_id").alias("_own")), "_own", "left_semi").select(*columns)
+    return own.join(first.select(F.col("doc_id").alias(mark)), mark, "left_semi").select(*columns)
