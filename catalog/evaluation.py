@@ -155,17 +155,17 @@ def _(spark, sf):
 
 # -- answers and rankings --------------------------------------------------------
 
-_ANSWERS = ("[3, 1, 2]", "Ranking: [2,1,3]", "3, 1, 3, 2", "none", "4", "Yes.")
+_ANSWERS = ("[3, 1, 2]", "Ranking: [2,1,3]", "3, 1, 3, 2", "none", "4", "Yes.", "\n\tYES, friends", "\t No.\n")
 _CASES = " ".join(f"when {i} then '{a}'" for i, a in enumerate(_ANSWERS))
-part("answers", (), f"select event_id, event_type, (event_id%3)::INTEGER as truth_pos, case event_id%6 {_CASES} end as answer from events")
-part("parsed", ("answers",), r"""select *, case event_id%6 when 0 then [2,0,1] when 1 then [1,0,2] when 2 then [2,0,1] end as ranking from answers""")
+part("answers", (), f"select event_id, event_type, (event_id%3)::INTEGER as truth_pos, case event_id%8 {_CASES} end as answer from events")
+part("parsed", ("answers",), r"""select *, case event_id%8 when 0 then [2,0,1] when 1 then [1,0,2] when 2 then [2,0,1] end as ranking from answers""")
 
 
 def answers(spark, sf):
     e = roles.table(spark, sf, "events")
     return e.select(
         "event_id", "event_type", (F.col("event_id") % 3).cast("int").alias("truth_pos"),
-        F.get(F.array(*map(F.lit, _ANSWERS)), (F.col("event_id") % 6).cast("int")).alias("answer"),
+        F.get(F.array(*map(F.lit, _ANSWERS)), (F.col("event_id") % 8).cast("int")).alias("answer"),
     )
 
 
@@ -176,9 +176,10 @@ def _(spark, sf):
 
 
 @query("parse_star_yes_no_minutes", "X7 X8 X9 F14",
-       sql("answers", r"""select event_id, nullif(regexp_extract(trim(answer),'\b([1-5])\b',1),'')::INTEGER as star,
-  case when lower(trim(answer)) like 'yes%' then 1 when lower(trim(answer)) like 'no%' then 0 end as yes_no,
-  coalesce(try_cast(nullif(regexp_extract(answer,'[\d.]+'),'') as double),15.0) as minutes from answers"""))
+       sql("answers", r"""select event_id, nullif(regexp_extract(answer,'\b([1-5])\b',1),'')::INTEGER as star,
+  case when lower(answer) like 'yes%' then 1 when lower(answer) like 'no%' then 0 end as yes_no,
+  coalesce(try_cast(nullif(regexp_extract(answer,'[\d.]+'),'') as double),15.0) as minutes
+  from (select event_id, regexp_replace(answer,'^\s+|\s+$','','g') as answer from answers)"""))
 def _(spark, sf):
     return answers(spark, sf).select(
         "event_id", parsing.parse_star("answer").alias("star"), parsing.parse_yes_no("answer").alias("yes_no"),
@@ -219,7 +220,7 @@ def _(spark, sf):
        sql("test pool", f"""select query_id, candidate_zone, (row_number() over (partition by query_id order by ({draw('yn','query_id','candidate_zone')}%4=0)::int desc,
   {key('ties','query_id','candidate_zone')}, candidate_zone))::INTEGER as rank from cases""", **trips.cases_sql("test", 20)))
 def _(spark, sf):
-    said = F.when(hash_draw("yn", "query_id", "candidate_zone") % 4 == 0, " Yes.").otherwise("no")
+    said = F.when(hash_draw("yn", "query_id", "candidate_zone") % 4 == 0, "\n\tYes.").otherwise("\tno")
     rows = trips.cases(spark, sf).withColumn("prediction", said)
     return ev.rank_yes_no(rows, ["query_id"], "candidate_zone", "prediction").select("query_id", "candidate_zone", "rank")
 

@@ -121,17 +121,32 @@ def _(spark, sf):
 # -- cases ---------------------------------------------------------------------
 
 
-def cases_sql(users: str, n: int, draws: int = plan.DRAWS_PER_CASE) -> dict[str, str]:
+def non_friends_sql(group: list[str], n: int) -> dict[str, str]:
+    """Steps ``walk`` and ``neg`` over the placed users in step ``idx``: all pairs of a group in the seeded order, no cap."""
+    g = "".join(f"{c}, " for c in group)
+    start = draw(SEED, *group) if group else draw(SEED, "'all'")
+    turn = draw(SEED + "o", *group) if group else "0"
+    return {
+        "pools": f"select {g}max(n)*(max(n)-1)//2 as pairs from idx group by all",
+        "walk": f"""select *, (({plan.PAIR_PRIME}::HUGEINT*j+{start}%pairs)%pairs)::BIGINT as k, {turn} as o
+  from (select *, unnest(range(pairs)) as j from pools where pairs>0)""",
+        "spots": "select *, k-yy*(yy-1)//2 as xx from (select *, (case when y0*(y0-1)//2>k then y0-1 when y0*(y0+1)//2<=k then y0+1 else y0 end) as yy"
+        " from (select *, floor((1+sqrt(1+8*k::DOUBLE))/2)::BIGINT as y0 from walk))",
+        "met": f"""select least(x.user_id,y.user_id) as user_a, greatest(x.user_id,y.user_id) as user_b, p.j, p.o
+  from spots p join idx x on x.pos=p.xx{''.join(f' and x.{c}=p.{c}' for c in group)}
+  join idx y on y.pos=p.yy{''.join(f' and y.{c}=p.{c}' for c in group)}""",
+        "neg": f"""select user_a, user_b from met d where not exists (select 1 from friends f where f.a=d.user_a and f.b=d.user_b)
+  order by j, o, user_a, user_b limit {n}""",
+    }
+
+
+def cases_sql(users: str, n: int) -> dict[str, str]:
     """Named steps ``pos``, ``neg`` and ``cases`` over the users in step ``users``."""
     return {
         "pos": f"""select a as user_a, b as user_b from friends where a in (select user_id from {users}) and b in (select user_id from {users})
   order by {key(SEED,'a','b')}, a, b limit {n}""",
         "idx": f"select user_id, row_number() over (order by {key(SEED,'user_id')}, user_id)-1 as pos, count(*) over () as n from {users}",
-        "drawn": f"""select distinct least(x.user_id,y.user_id) as user_a, greatest(x.user_id,y.user_id) as user_b from pos
-  cross join range(1,{draws+1}) t(i) join idx x on x.pos={draw(SEED+'x','user_a','user_b','i')} % x.n
-  join idx y on y.pos={draw(SEED+'y','user_a','user_b','i')} % y.n where x.user_id<>y.user_id""",
-        "neg": f"""select * from drawn d where not exists (select 1 from friends f where f.a=d.user_a and f.b=d.user_b)
-  order by {key(SEED,'user_a','user_b')}, user_a, user_b limit {n}""",
+        **non_friends_sql([], n),
         "cases": "select user_a, user_b, 1 as label from pos union all select user_a, user_b, 0 from neg",
     }
 
@@ -162,21 +177,14 @@ def hard_cases(spark, sf):
     return plan.hard_friendship_cases(roles.friends(spark, sf), p, N_EACH, SEED)
 
 
-def hard_cases_sql(n: int, draws: int = plan.DRAWS_PER_CASE) -> dict[str, str]:
-    base = cases_sql("people", n, draws)
+def hard_cases_sql(n: int) -> dict[str, str]:
+    base = cases_sql("people", n)
     return {
         "people": "select * from profile where user_id in (select user_id from covered)",
         "pos": base["pos"],
-        "idx": f"""select user_id, region_lat, region_lon, row_number() over (partition by region_lat, region_lon order by {key(SEED,'user_id')}, user_id)-1 as pos,
-  count(*) over (partition by region_lat, region_lon) as n from people""",
-        "big": f"""select *, row_number() over (order by {key(SEED,'region_lat','region_lon')}, region_lat, region_lon)-1 as r, count(*) over () as nr
-  from (select distinct region_lat, region_lon, n from idx where n>=5)""",
-        "drawn": f"""select distinct least(x.user_id,y.user_id) as user_a, greatest(x.user_id,y.user_id) as user_b from pos
-  cross join range(1,{draws+1}) t(i) join big on r={draw(SEED+'r','user_a','user_b','i')} % nr
-  join idx x on x.region_lat=big.region_lat and x.region_lon=big.region_lon and x.pos={draw(SEED+'x','user_a','user_b','i')} % x.n
-  join idx y on y.region_lat=big.region_lat and y.region_lon=big.region_lon and y.pos={draw(SEED+'y','user_a','user_b','i')} % y.n
-  where x.user_id<>y.user_id""",
-        "neg": base["neg"],
+        "idx": f"""select * from (select user_id, region_lat, region_lon, row_number() over (partition by region_lat, region_lon order by {key(SEED,'user_id')}, user_id)-1 as pos,
+  count(*) over (partition by region_lat, region_lon) as n from people) where n>=5""",
+        **non_friends_sql(["region_lat", "region_lon"], n),
         "cases": base["cases"],
     }
 

@@ -34,11 +34,12 @@ def write_lines(df, name: str) -> str:
 @query("edge_list_scan", "S1", sql("friends", "select a, b from friends"))
 def _(spark, sf):
     e = roles.friends(spark, sf)
-    forward = e.select(F.concat_ws("\t", "a", "b").alias("value"))
-    back = e.select(F.concat_ws("  ", "b", "a").alias("value"))
+    # White space of any kind may stand at the ends of a good line.
+    forward = e.select(F.concat(F.lit("\t "), F.concat_ws("\t", "a", "b")).alias("value"))
+    back = e.select(F.concat(F.concat_ws("  ", "b", "a"), F.lit("\t")).alias("value"))
     noise = e.select(F.concat_ws(" ", F.lit("#"), "a", "b").alias("value")).union(
         e.select(F.concat_ws(" ", "a", "b", F.lit("7")).alias("value"))
-    )
+    ).union(e.select(F.concat_ws(" ", "a", F.lit("x9")).alias("value")))
     return ci.read_edges(spark, write_lines(forward.union(back).union(noise), "edges"))
 
 
@@ -48,9 +49,11 @@ def _(spark, sf):
 def _(spark, sf):
     ts = F.concat(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
     c = roles.checkins(spark, sf)
-    # Every 97th line loses a field and must be dropped.
-    place = F.when(F.col("event_id") % 97 != 0, F.col("location_id"))
-    lines = c.select(F.concat_ws("\t", "user_id", ts, "latitude", "longitude", place).alias("value"))
+    # Every 97th line loses its last field, or has an empty or a wrong one, and must be dropped; other lines end in a tab.
+    wrong = F.element_at(F.array(F.lit(None), F.lit(""), F.lit("none")), (F.col("event_id") % 3 + 1).cast("int"))
+    place = F.when(F.col("event_id") % 97 != 0, F.col("location_id").cast("string")).otherwise(wrong)
+    end = F.when(F.col("event_id") % 5 == 0, F.lit("\t")).otherwise(F.lit(""))
+    lines = c.select(F.concat(F.concat_ws("\t", "user_id", ts, "latitude", "longitude", place), end).alias("value"))
     return ci.read_checkins(spark, write_lines(lines, "checkins")).select(
         "user_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("ts"),
         round_to("latitude", 6).alias("latitude"), round_to("longitude", 6).alias("longitude"), "location_id",

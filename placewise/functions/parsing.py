@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .numbers import ColumnLike, as_col
+from .texts import strip
 
 # Fixed value: duration assumed when an answer holds no number.
 DEFAULT_MINUTES = 15.0
@@ -33,7 +34,7 @@ def parse_ranking(answer: ColumnLike, n_candidates: int) -> Column:
     first mention only. Numbers outside 1..n are dropped; only the last
     reading removes repeats and rejects an empty outcome.
     """
-    text = F.trim(as_col(answer))
+    text = strip(answer)
     whole_list = F.when(
         text.rlike(r"^\[\s*(-?\d+(\s*,\s*-?\d+)*)?\s*\]$"), F.from_json(text, "array<bigint>")
     )
@@ -52,13 +53,13 @@ def parse_ranking(answer: ColumnLike, n_candidates: int) -> Column:
 
 def parse_star(answer: ColumnLike) -> Column:
     """First stand-alone digit 1..5, else NULL."""
-    found = F.regexp_extract(F.trim(as_col(answer)), r"\b([1-5])\b", 1)
+    found = F.regexp_extract(strip(answer), r"\b([1-5])\b", 1)
     return F.when(found != "", found.cast("int"))
 
 
 def parse_yes_no(answer: ColumnLike) -> Column:
     """1 for an answer starting with yes, 0 for no, else NULL."""
-    text = F.lower(F.trim(as_col(answer)))
+    text = F.lower(strip(answer))
     return F.when(text.startswith("yes"), F.lit(1)).when(text.startswith("no"), F.lit(0))
 
 

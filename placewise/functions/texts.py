@@ -15,10 +15,15 @@ UNKNOWN = "unknown"
 DAY_NAMES = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 
+def strip(text: ColumnLike) -> Column:
+    """The text without white space of any kind at both ends."""
+    return F.regexp_replace(as_col(text), r"(?U)^\s+|\s+$", "")
+
+
 def split_list(text: ColumnLike, separator: str = ",") -> Column:
     """Split, trim and drop empty entries; NULL text gives an empty list."""
     parts = F.split(F.coalesce(as_col(text), F.lit("")), separator)
-    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != F.lit(""))
+    return F.filter(F.transform(parts, strip), lambda x: x != F.lit(""))
 
 
 def split_set(text: ColumnLike, separator: str = ",") -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewise.functions.numbers import HASH_SPACE, hash_draw, hash_key, ratio_or_zero, round_to, star_prediction
+from placewise.functions.texts import strip
 
 
 def _count(condition: Column) -> Column:
@@ -76,7 +77,7 @@ def rank_candidates(df: DataFrame, query: Sequence[str], score: str, tie: Sequen
 
 def rank_yes_no(df: DataFrame, query: Sequence[str], candidate: str, prediction: str, seed: str = "ties") -> DataFrame:
     """Rank yes answers before all others; ties fall in a reproducible random order."""
-    yes = F.lower(F.trim(F.col(prediction))).startswith("yes").cast("int")
+    yes = F.lower(strip(prediction)).startswith("yes").cast("int")
     scored = df.withColumn("_yes", F.coalesce(yes, F.lit(0)))
     tie = [hash_key(seed, *query, candidate), F.col(candidate)]
     return rank_candidates(scored, query, "_yes", tie).drop("_yes")

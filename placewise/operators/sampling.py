@@ -14,14 +14,22 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewise.functions.numbers import ColumnLike, as_col, hash_draw, hash_key
+from placewise.session import stage
 
 SLOT_DIGITS = 3
-PLAIN_TOP_N = 1000
+#: Hash digits of the slots in which a cut is looked for.
+FINE_DIGITS = 4
 _BLOCK = 1024
 
 
-def _place(df: DataFrame, group: Sequence[str], slot: Column, order: Sequence[Column], out: str, size_out: str) -> DataFrame:
-    """0-based position of each row in (slot, order), per group, and the group size."""
+def _place(
+    df: DataFrame, group: Sequence[str], slot: Column, order: Sequence[Column], out: str, size_out: str,
+    first: int | None = None,
+) -> DataFrame:
+    """0-based position of each row in (slot, order), per group, and the group size.
+
+    With ``first``, slots that begin at or after that position are left out before any row is ranked.
+    """
     keyed = df.withColumn("_slot", slot)
     sizes = keyed.groupBy(*group, "_slot").agg(F.count(F.lit(1)).alias("_n"))
     upto = Window.partitionBy(*group).orderBy("_slot")
@@ -31,8 +39,10 @@ def _place(df: DataFrame, group: Sequence[str], slot: Column, order: Sequence[Co
         (F.sum("_n").over(upto.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"),
         F.sum("_n").over(Window.partitionBy(*group)).alias(size_out),
     )
+    if first is not None:
+        sizes = sizes.filter(F.col("_before") < first)
     inner = F.row_number().over(Window.partitionBy(*group, "_slot").orderBy(*order))
-    placed = keyed.withColumn("_rank", inner).join(sizes, [*group, "_slot"])
+    placed = keyed.join(sizes, [*group, "_slot"]).withColumn("_rank", inner)
     return placed.withColumn(out, (F.col("_before") + F.col("_rank") - 1).cast("long")).drop(
         "_slot", "_rank", "_before"
     )
@@ -54,33 +64,36 @@ def shuffled_position(
     return placed.drop("_h")
 
 
-def ordered_position(df: DataFrame, key: str, out: str = "pos", prefix: int = 12) -> DataFrame:
-    """Dense 0-based index of rows in key order. The key's first characters form the slots."""
-    placed = _place(df, (), F.substring(F.col(key), 1, prefix), [F.col(key)], out, "_size")
-    return placed.drop("_size")
+def _range_place(df: DataFrame, order: Sequence[str], out: str, first: int | None = None) -> DataFrame:
+    """Position of each row in an explicit order: the ranges of a distributed sort are the slots.
+
+    The rows are written once, so that the ranges stay the same in every later pass.
+    """
+    ranged = df.repartitionByRange(*map(F.col, order)).withColumn("_range", F.spark_partition_id())
+    placed = _place(stage(ranged, "ranges"), (), F.col("_range"), [F.col(c) for c in order], out, "_size", first)
+    return placed.drop("_range", "_size")
+
+
+def ordered_position(df: DataFrame, key: str, out: str = "pos") -> DataFrame:
+    """Dense 0-based index of rows in key order."""
+    return _range_place(df, [key], out)
 
 
 def take_shuffled(df: DataFrame, key: Sequence[str], n: int, seed: str) -> DataFrame:
     """Exactly ``n`` rows (or all) in reproducible random order.
 
-    A small ``n`` is a plain distributed top-n. For a larger one the merge of
-    ``n`` rows from every partition would pile up in one task, so rows are first
-    counted in 65,536 hash slots and those beyond the slot in which the ``n``-th row
-    falls are left out.
+    Rows are counted in 65,536 hash slots; only the slots up to the one in which the ``n``-th row falls are ranked,
+    each for itself, so no task gathers ``n`` rows.
     """
-    h = hash_key(seed, *key)
-    if n > PLAIN_TOP_N:
-        slot = F.substring(h, 1, 4)
-        sizes = df.groupBy(slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
-        upto = F.sum("_n").over(Window.orderBy("_slot").rowsBetween(Window.unboundedPreceding, 0))
-        last = sizes.withColumn("_upto", upto).filter(F.col("_upto") >= n).select(F.min("_slot")).scalar()
-        df = df.filter(slot <= F.coalesce(last, F.lit("ffff")))
-    return df.orderBy(h, *key).limit(n)
+    keyed = df.withColumn("_h", hash_key(seed, *key))
+    slot = F.substring("_h", 1, FINE_DIGITS)
+    placed = _place(keyed, (), slot, [F.col("_h"), *map(F.col, key)], "_pos", "_size", first=n)
+    return placed.filter(F.col("_pos") < n).drop("_h", "_pos", "_size")
 
 
 def take_first(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` rows of an explicit order."""
-    return df.orderBy(*order).limit(n)
+    """The first ``n`` rows of an explicit order; ranges beyond the ``n``-th row are never ranked."""
+    return _range_place(df, order, "_pos", first=n).filter(F.col("_pos") < n).drop("_pos")
 
 
 def split_bands(df: DataFrame, key: Sequence[str], sizes: dict[str, int], seed: str) -> DataFrame:
@@ -101,10 +114,12 @@ def split_bands(df: DataFrame, key: Sequence[str], sizes: dict[str, int], seed:
 
 
 def balanced(df: DataFrame, label: str, key: Sequence[str], n: int, seed: str) -> DataFrame:
-    """``n/2`` rows of each label value. The rank filter is applied before the shuffle
-    as well (a window group limit), so labels of any size are safe."""
-    w = Window.partitionBy(label).orderBy(hash_key(seed, *key), *key)
-    return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n // 2).drop("_rn")
+    """``n/2`` rows of each label value. Only the hash slots of a label up to its last wanted row are ranked,
+    each for itself, so labels of any size are safe."""
+    keyed = df.withColumn("_h", hash_key(seed, *key))
+    slot = F.substring("_h", 1, FINE_DIGITS)
+    placed = _place(keyed, [label], slot, [F.col("_h"), *map(F.col, key)], "_pos", "_size", first=n // 2)
+    return placed.filter(F.col("_pos") < n // 2).drop("_h", "_pos", "_size")
 
 
 def group_validation_split(

@@ -2,28 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placewise.functions.numbers import floored_ratio, hash_draw, hash_key
+from placewise.functions.numbers import floored_ratio, hash_draw
 from placewise.operators.filters import both_ends, without_pairs
 from placewise.operators.pairs import PAIR, pair_category_features, pair_features
-from placewise.operators.sampling import shuffled_position, take_shuffled
+from placewise.operators.sampling import shuffled_position, take_first, take_shuffled
+from placewise.session import stage
 
 from .levels import feature_names
 
 MIN_CHECKINS = 20
 MIN_KNOWN_SHARE = 0.8
 MIN_REGION_USERS = 5
-DRAWS_PER_CASE = 4
-
-
-def _canonical(df: DataFrame, x: str, y: str) -> DataFrame:
-    return (
-        df.filter(F.col(x) != F.col(y))
-        .select(F.least(x, y).alias("user_a"), F.greatest(x, y).alias("user_b"))
-        .distinct()
-    )
 
 
 def positives(edges: DataFrame, users: DataFrame) -> DataFrame:
@@ -32,56 +26,82 @@ def positives(edges: DataFrame, users: DataFrame) -> DataFrame:
     return both_ends(pairs, users, "user_id", "user_a", "user_b")
 
 
-def random_non_friends(
-    drivers: DataFrame, users: DataFrame, edges: DataFrame, n: int, seed: str, draws: int = DRAWS_PER_CASE
-) -> DataFrame:
-    """``n`` distinct pairs of eligible users who are not friends.
+#: A prime above every number of pairs: multiplying by it permutes the pair numbers of any pool.
+PAIR_PRIME = 1_000_000_000_000_000_003
+_BLOCK = 1024
+
 
-    Every driver row (a positive pair) makes ``draws`` random pairs: two hash
-    draws into the dense index of users, resolved by two equi-joins. Like the
-    rejection sampling it stands for, it gives fewer than ``n`` when non-friends
-    are so rare that the draws do not find enough.
+def _pair_numbers(pools: DataFrame, group: Sequence[str], seed: str) -> DataFrame:
+    """Rows (group, _j) to the ``_j``-th pair of the group's pool in a seeded order: positions _x < _y.
+
+    The pairs of a pool of P users are numbered 0 .. P(P-1)/2 - 1; the order is number = prime * j + start modulo their
+    count, which meets every number once.
+    """
+    wide = "decimal(19,0)"
+    start = F.pmod(hash_draw(seed, *group) if group else hash_draw(seed, F.lit("all")), F.col("_pairs"))
+    turned = F.lit(PAIR_PRIME).cast(wide) * F.col("_j").cast(wide) + start.cast(wide)
+    k = F.pmod(turned, F.col("_pairs").cast(wide)).cast("long")
+    y = F.floor((1 + F.sqrt(1 + 8 * F.col("_k").cast("double"))) / 2).cast("long")
+    rows = pools.withColumn("_k", k).withColumn("_y", y)
+    # The root is a double: put right what it may miss by one.
+    below = F.expr("_y * (_y - 1) div 2")
+    rows = rows.withColumn("_y", F.when(below > F.col("_k"), F.col("_y") - 1).when(below + F.col("_y") <= F.col("_k"), F.col("_y") + 1).otherwise(F.col("_y")))
+    return rows.withColumn("_x", F.col("_k") - F.expr("_y * (_y - 1) div 2"))
+
+
+def _non_friends(placed: DataFrame, edges: DataFrame, group: Sequence[str], n: int, seed: str) -> DataFrame:
+    """``min(n, available)`` distinct pairs of one group who are not friends.
+
+    Every group's pairs are walked in a seeded order without replacement, the same number of steps in each
+    group; if too few non-friends were met, the walk goes on with twice as many steps until ``n`` are found
+    or all pairs are used up. Steps beyond a group's pairs are never made.
     """
-    placed = shuffled_position(users.select("user_id"), ["user_id"], seed)
-    tries = drivers.select(*PAIR, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_t"))
-    size = placed.select(F.max("pool_size")).scalar()
-    tries = tries.select(
-        F.pmod(hash_draw(f"{seed}x", *PAIR, "_t"), size).alias("_x"),
-        F.pmod(hash_draw(f"{seed}y", *PAIR, "_t"), size).alias("_y"),
+    pools = stage(
+        placed.groupBy(*group).agg(F.max("pool_size").alias("_size")).withColumn("_pairs", F.expr("_size * (_size - 1) div 2"))
+        .where("_pairs > 0"),
+        "pools",
     )
-    x = placed.select(F.col("pos").alias("_x"), F.col("user_id").alias("u"))
-    y = placed.select(F.col("pos").alias("_y"), F.col("user_id").alias("v"))
-    drawn = _canonical(tries.join(x, "_x").join(y, "_y"), "u", "v")
-    return take_shuffled(without_pairs(drawn, edges, *PAIR), PAIR, n, seed)
+    x = placed.select(*group, F.col("pos").alias("_x"), F.col("user_id").alias("u"))
+    y = placed.select(*group, F.col("pos").alias("_y"), F.col("user_id").alias("v"))
+    groups, total, most = pools.agg(F.count("*"), F.coalesce(F.sum("_pairs"), F.lit(0)), F.coalesce(F.max("_pairs"), F.lit(0))).first()
+    done, steps, found, kept = 0, -(-5 * n // (4 * max(groups, 1))) + 1, 0, None
+    while total and found < n and done < most:
+        upto = min(done + steps, most)
+        blocks = pools.withColumn("_last", F.least(F.col("_pairs"), F.lit(upto))).where(F.col("_last") > done).withColumn(
+            "_block", F.explode(F.expr(f"sequence({done}L, _last - 1, {_BLOCK}L)"))
+        )
+        # Blocks are spread before they become rows: one group may want very many.
+        steps_taken = blocks.repartition(*group, "_block").withColumn(
+            "_j", F.explode(F.expr(f"sequence(_block, least(_block + {_BLOCK} - 1, _last - 1))"))
+        )
+        drawn = _pair_numbers(steps_taken, group, seed).join(x, [*group, "_x"]).join(y, [*group, "_y"])
+        order = hash_draw(f"{seed}o", *group) if group else F.lit(0)
+        pairs = drawn.select(F.least("u", "v").alias("user_a"), F.greatest("u", "v").alias("user_b"), "_j", order.alias("_o"))
+        met = stage(without_pairs(pairs, edges, *PAIR), "non-friends")
+        kept = met if kept is None else kept.union(met)
+        found += met.count()
+        done, steps = upto, 2 * steps
+    if kept is None:
+        kept = edges.select(F.col("a").alias("user_a"), F.col("b").alias("user_b"), F.lit(0).alias("_j"), F.lit(0).alias("_o")).limit(0)
+    return take_first(kept, ["_j", "_o", *PAIR], n).select(*PAIR)
+
+
+def random_non_friends(users: DataFrame, edges: DataFrame, n: int, seed: str) -> DataFrame:
+    """``min(n, available)`` distinct pairs of eligible users who are not friends."""
+    return _non_friends(shuffled_position(users.select("user_id"), ["user_id"], seed), edges, (), n, seed)
 
 
 def regional_non_friends(
-    drivers: DataFrame, profiles: DataFrame, edges: DataFrame, n: int, seed: str,
-    min_users: int = MIN_REGION_USERS, draws: int = DRAWS_PER_CASE,
+    profiles: DataFrame, edges: DataFrame, n: int, seed: str, min_users: int = MIN_REGION_USERS
 ) -> DataFrame:
-    """``n`` non-friend pairs whose users share their main region.
+    """``min(n, available)`` non-friend pairs whose users share their main region.
 
-    A draw picks a region with at least ``min_users`` users, then two users by
-    their index within it. Indexes are built in hash slots per region, so a
-    region with a large part of all users spreads over many tasks.
+    Regions with at least ``min_users`` users take turns. Indexes are built in hash slots per region, so a region
+    with a large part of all users spreads over many tasks.
     """
     region = ["region_lat", "region_lon"]
     placed = shuffled_position(profiles.select("user_id", *region), ["user_id"], seed, region)
-    placed = placed.filter(F.col("pool_size") >= min_users)
-    regions = placed.groupBy(*region).agg(F.max("pool_size").alias("_size"))
-    regions = shuffled_position(regions, region, seed, out="_r", size_out="_regions")
-    n_regions = regions.select(F.max("_regions")).scalar()
-    tries = drivers.select(*PAIR, F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_t"))
-    tries = tries.withColumn("_r", F.pmod(hash_draw(f"{seed}r", *PAIR, "_t"), n_regions))
-    tries = tries.join(regions.drop("_regions"), "_r").select(
-        *region,
-        F.pmod(hash_draw(f"{seed}x", *PAIR, "_t"), F.col("_size")).alias("_x"),
-        F.pmod(hash_draw(f"{seed}y", *PAIR, "_t"), F.col("_size")).alias("_y"),
-    )
-    x = placed.select(*region, F.col("pos").alias("_x"), F.col("user_id").alias("u"))
-    y = placed.select(*region, F.col("pos").alias("_y"), F.col("user_id").alias("v"))
-    drawn = _canonical(tries.join(x, [*region, "_x"]).join(y, [*region, "_y"]), "u", "v")
-    return take_shuffled(without_pairs(drawn, edges, *PAIR), PAIR, n, seed)
+    return _non_friends(placed.filter(F.col("pool_size") >= min_users), edges, region, n, seed)
 
 
 def region_sizes(profiles: DataFrame, min_users: int = MIN_REGION_USERS) -> DataFrame:
@@ -97,22 +117,16 @@ def labelled(pos: DataFrame, neg: DataFrame) -> DataFrame:
     )
 
 
-def friendship_cases(
-    edges: DataFrame, users: DataFrame, n_each: int, seed: str, draws: int = DRAWS_PER_CASE
-) -> DataFrame:
+def friendship_cases(edges: DataFrame, users: DataFrame, n_each: int, seed: str) -> DataFrame:
     """``n_each`` friend pairs and as many random non-friend pairs of eligible users."""
     pos = take_shuffled(positives(edges, users), PAIR, n_each, seed)
-    return labelled(pos, random_non_friends(pos, users, edges, n_each, seed, draws))
+    return labelled(pos, random_non_friends(users, edges, n_each, seed))
 
 
-def hard_friendship_cases(
-    edges: DataFrame, profiles: DataFrame, n_each: int, seed: str, draws: int = DRAWS_PER_CASE
-) -> DataFrame:
+def hard_friendship_cases(edges: DataFrame, profiles: DataFrame, n_each: int, seed: str) -> DataFrame:
     """``n_each`` friend pairs and as many non-friend pairs from the same region."""
     pos = take_shuffled(positives(edges, profiles), PAIR, n_each, seed)
-    return labelled(
-        pos, regional_non_friends(pos, profiles, edges, n_each, seed, draws=draws)
-    )
+    return labelled(pos, regional_non_friends(profiles, edges, n_each, seed))
 
 
 def _d(name: str) -> Column:

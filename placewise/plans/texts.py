@@ -269,8 +269,8 @@ def few_shot_prefix(examples: DataFrame, tier: str, seed: str, levels: Sequence[
 
 
 def with_few_shots(texts: DataFrame, prefix: DataFrame) -> DataFrame:
-    """Put the examples of the same level before each request (five rows are looked up)."""
-    return texts.join(F.broadcast(prefix.limit(len(LEVELS))), "level").withColumn(
+    """Put the examples of the same level before each request (one row a level is looked up)."""
+    return texts.join(prefix, "level").withColumn(
         "text", sections("prefix", F.lit("--- Now predict for this new pair ---"), "text", separator="\n")
     ).drop("prefix")
 

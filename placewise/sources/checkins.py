@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from placewise.functions.texts import strip
+
 VENUE_CHECKIN_SCHEMA = T.StructType(
     [
         T.StructField("user_id", T.LongType()),
@@ -29,12 +31,12 @@ def canonical_edges(df: DataFrame, u: str, v: str) -> DataFrame:
 
 
 def parse_edges(lines: DataFrame, text: str = "value") -> DataFrame:
-    """Edge list lines: ``#`` comments skipped, exactly two fields needed."""
-    fields = F.split(F.trim(F.col(text)), r"\s+")
+    """Edge list lines: ``#`` comments skipped, exactly two whole numbers needed; white space at the ends is ignored."""
+    fields = F.split(strip(text), r"\s+")
     pairs = lines.filter(~F.col(text).startswith("#")).select(fields.alias("f"))
     pairs = pairs.filter(F.size("f") == 2)
     return canonical_edges(
-        pairs.select(F.col("f")[0].cast("long").alias("u"), F.col("f")[1].cast("long").alias("v")),
+        pairs.select(F.col("f")[0].try_cast("long").alias("u"), F.col("f")[1].try_cast("long").alias("v")).dropna(),
         "u",
         "v",
     )
@@ -44,19 +46,30 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
     return parse_edges(spark.read.text(path))
 
 
-def parse_checkins(lines: DataFrame, text: str = "value") -> DataFrame:
-    """Tab-separated check-ins: lines without exactly five fields are dropped."""
-    f = F.split(F.trim(F.col(text)), "\t")
-    rows = lines.select(f.alias("f")).filter(F.size("f") == 5)
-    return rows.select(
-        F.col("f")[0].cast("long").alias("user_id"),
-        F.to_timestamp_ntz(F.regexp_replace(F.col("f")[1], "Z$", "")).alias("ts"),
-        F.col("f")[2].cast("double").alias("latitude"),
-        F.col("f")[3].cast("double").alias("longitude"),
-        F.col("f")[4].cast("long").alias("location_id"),
+def _checkin_fields(lines: DataFrame, text: str) -> DataFrame:
+    f = F.split(strip(text), "\t")
+    return lines.select(f.alias("f")).select(
+        F.when(F.size("f") == 5, F.col("f")[0].try_cast("long")).alias("user_id"),
+        F.regexp_replace(F.get("f", F.lit(1)), "Z$", "").try_cast("timestamp_ntz").alias("ts"),
+        F.get("f", F.lit(2)).try_cast("double").alias("latitude"),
+        F.get("f", F.lit(3)).try_cast("double").alias("longitude"),
+        F.get("f", F.lit(4)).try_cast("long").alias("location_id"),
     )
 
 
+def parse_checkins(lines: DataFrame, text: str = "value") -> DataFrame:
+    """Tab-separated check-ins; white space at the ends of a line is ignored. Lines without exactly five fields, or with one that is
+    no number or time, are dropped; :func:`count_bad_checkins` counts them."""
+    return _checkin_fields(lines, text).dropna()
+
+
+def count_bad_checkins(lines: DataFrame, text: str = "value") -> DataFrame:
+    """One row: lines in all, and lines that :func:`parse_checkins` drops."""
+    fields = _checkin_fields(lines, text)
+    whole = F.greatest(*(F.col(c).isNull() for c in fields.columns))
+    return fields.agg(F.count(F.lit(1)).alias("n_lines"), F.count_if(whole).alias("n_bad"))
+
+
 def read_checkins(spark: SparkSession, path: str) -> DataFrame:
     return parse_checkins(spark.read.text(path))
 
