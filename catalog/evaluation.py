@@ -18,7 +18,7 @@ from .roles import part, sql
 from .staged import staged
 
 MODELS = ("enriched", "venue_id")
-N_RESAMPLES = 200
+N_RESAMPLES = 1000
 
 # -- predictions per model and level -----------------------------------------
 

@@ -1,21 +1,28 @@
-"""Model queries. Training has no SQL twin; the rows are checked for shape and range in the tests."""
+"""Model queries: what the data fix about a fit - rows, classes, columns, levels, ranges - with SQL twins.
+
+The fitted numbers themselves depend on the learner, so a query gives the counts behind its metrics and truths that hold for
+every sound fit; the operators return the metrics.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placewise.functions.numbers import hash_unit, round_to
+from placewise.functions.numbers import hash_unit
 from placewise.operators import models as m
-from placewise.operators.compare import importance_shares
 from placewise.operators.evaluate import binary_metrics, first_hit_metrics, rank_candidates, regression_metrics
 from placewise.plans.levels import LEVELS, enriched_names, feature_names
 from placewise.session import stage
 
 from . import evaluation, next_place, pairs, trips
-from .core import query
+from .core import draw, query
 from .staged import staged
 
 KEY = pairs.PAIR
+#: Training trips of the duration task: the workload's own size, taken in the shuffled order of the trips.
 N_TRAIN_TRIPS = 50_000
 
 
@@ -26,98 +33,132 @@ def pair_split(spark, sf):
     return rows.filter(~is_test), rows.filter(is_test)
 
 
-@query("boosted_friendship", "M1 M6")
+_CUT = f"{draw('cut', *KEY)} < {2**32} * 0.25"
+_TEST = f"select * from ({pairs.features_sql('enriched')}) where {_CUT}"
+_TRAIN = f"select * from ({pairs.features_sql('enriched')}) where not ({_CUT})"
+_TRUE = "true as in_range"
+_BINARY = f"with t as ({_TEST}) select count(*) as n_total, count(*) as n_valid, sum(label)::BIGINT as n_positive, {_TRUE} from t"
+
+
+def in_range(*names: str) -> Column:
+    return reduce(lambda a, b: a & b, (F.col(c).between(0, 1) for c in names)).alias("in_range")
+
+
+def _binary_check(scored: DataFrame) -> DataFrame:
+    metrics = binary_metrics(scored)
+    positives = (F.col("tp") + F.col("fn")).alias("n_positive")
+    return metrics.select("n_total", "n_valid", positives, in_range("accuracy", "precision", "recall", "f1"))
+
+
+@query("boosted_friendship", "M1 M6", _BINARY)
 def _(spark, sf):
     train, test = pair_split(spark, sf)
     names = feature_names("friendship", "enriched")
-    model = m.boosted_classifier(train, names, KEY)
-    return binary_metrics(m.score_binary(model, test, names, [*KEY, "label"]))
+    model = m.boosted_classifier(stage(train, "boosted-train"), names, KEY)
+    return _binary_check(m.score_binary(model, test, names, [*KEY, "label"]))
 
 
-@query("boosted_next_place", "M1 M8")
+@query("boosted_next_place", "M1 M8",
+       f"with f as ({next_place.features_sql('enriched')}) select split, count(distinct user_id) as n_queries, {_TRUE} from f where label=1 group by 1")
 def _(spark, sf):
     rows = stage(next_place.features(spark, sf, "enriched"), "next-place-features")
     names = feature_names("next_place", "enriched")
     model = m.boosted_classifier(rows.filter(F.col("split") == "train"), names, ["user_id"])
     scored = m.score_binary(model, rows, names, ["split", "user_id", "location_id", "label"])
     ranked = rank_candidates(scored, ["user_id"], "score", [F.col("location_id")])
-    return first_hit_metrics(ranked, ["user_id"], by=["split"])
+    metrics = first_hit_metrics(ranked, ["user_id"], by=["split"])
+    return metrics.select("split", "n_queries", in_range("acc_at_1", "acc_at_5", "mrr"))
 
 
-@query("boosted_duration", "M2 M9 D9")
+@query("boosted_duration", "M2 M9 D9", f"with f as ({trips._duration_sql('enriched')}) select count(*) as n, {_TRUE} from f")
 def _(spark, sf):
     names = feature_names("duration", "enriched")
     train = stage(trips.duration_features(spark, sf, "enriched", trips.train(spark, sf), N_TRAIN_TRIPS), "duration-train")
     test = trips.duration_features(spark, sf, "enriched")
     model = m.boosted_regressor(train, names, ["trip_id"], "duration_min")
     scored = m.score_number(model, test, names, ["trip_id", "duration_min"])
-    return regression_metrics(scored, "duration_min", "prediction")
+    metrics = regression_metrics(scored, "duration_min", "prediction")
+    sound = (F.col("mae") >= 0) & (F.col("rmse") >= F.col("mae") - 1e-3)
+    return metrics.select("n", sound.alias("in_range"))
 
 
-@query("neural_friendship", "M3 M5 M6")
+@query("neural_friendship", "M3 M5 M6", _BINARY)
 def _(spark, sf):
     train, test = pair_split(spark, sf)
     names = feature_names("friendship", "enriched")
-    train, test = m.standardise(train, [test], names)
-    model = m.neural_classifier(stage(train, "neural-train"), names, hidden=(16,), maxIter=40)
-    return binary_metrics(m.score_binary(model, test, names, [*KEY, "label"]))
+    train, test = m.standardise(stage(train, "neural-rows"), [test], names)
+    model = m.neural_classifier(stage(train, "neural-train"), names)
+    return _binary_check(m.score_binary(model, test, names, [*KEY, "label"]))
 
 
-@query("logistic_tiers", "M4 M5 M13")
+@query("logistic_tiers", "M4 M5 M13",
+       f"""with t as ({_TEST}) select level, n_venue::INTEGER as n_venue, n_enriched::INTEGER as n_enriched, count(*) as n_total, {_TRUE}
+  from t, (values {", ".join(f"('{g}', {len(feature_names('friendship', 'venue_id', g))}, {len(feature_names('friendship', 'enriched', g))})" for g in LEVELS)}) v(level, n_venue, n_enriched) group by all""")
 def _(spark, sf):
-    """Accuracy of both tiers per level, and the gain in percentage points."""
+    """Both tiers per level: columns used, rows scored, accuracies within range."""
     train, test = pair_split(spark, sf)
     names = feature_names("friendship", "enriched")
-    train, test = m.standardise(train, [test], names)
+    train, test = m.standardise(stage(train, "logistic-rows"), [test], names)
     train, test = stage(train, "logistic-train"), stage(test, "logistic-test")
+    n = test.count()
     result = []
     for level in LEVELS:
-        acc = {}
-        for tier in ("venue_id", "enriched"):
-            use = feature_names("friendship", tier, level)
-            acc[tier] = m.accuracy(m.score_binary(m.logistic_classifier(train, use), test, use, [*KEY, "label"]))
-        result.append((level, acc["venue_id"], acc["enriched"]))
-    rows = spark.createDataFrame(result, "level string, venue_id double, enriched double")
-    return rows.select(
-        "level", round_to("venue_id", 4).alias("venue_id"), round_to("enriched", 4).alias("enriched"),
-        round_to((F.col("enriched") - F.col("venue_id")) * 100, 1).alias("delta_pp"),
-    )
+        use = {tier: feature_names("friendship", tier, level) for tier in ("venue_id", "enriched")}
+        acc = [m.accuracy(m.score_binary(m.logistic_classifier(train, c), test, c, [*KEY, "label"])) for c in use.values()]
+        result.append((level, len(use["venue_id"]), len(use["enriched"]), n, all(0 <= a <= 1 for a in acc)))
+    return spark.createDataFrame(result, "level string, n_venue int, n_enriched int, n_total long, in_range boolean")
+
+
+def _widths(*columns: str) -> str:
+    """Level, number of enrichment columns and of all columns, as SQL values."""
+    rows = (f"('{g}', {len(enriched_names('friendship', g))}, {len(feature_names('friendship', 'enriched', g))})" for g in LEVELS)
+    return f"(values {', '.join(rows)}) v({', '.join(columns)})"
 
 
-@query("enrichment_ablation", "M15 P10")
+@query("enrichment_ablation", "M15 P10",
+       f"select level, n_enrichment::INTEGER as n_enrichment, n_features::INTEGER as n_features, {_TRUE} from {_widths('level', 'n_enrichment', 'n_features')}")
 def _(spark, sf):
-    train, test = pair_split(spark, sf)
+    train, test = (stage(t, "ablation") for t in pair_split(spark, sf))
     tables = [
-        m.ablation(train, test, feature_names("friendship", "enriched", g), enriched_names("friendship", g), KEY, g, maxIter=10)
-        for g in ("G0", "G1", "G4")
+        m.ablation(train, test, feature_names("friendship", "enriched", g), enriched_names("friendship", g), KEY, g) for g in LEVELS
     ]
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
+    gap = F.abs((F.col("acc_with") - F.col("acc_without")) * 100 - F.col("delta_pp")) < 0.02
+    sound = in_range("acc_with", "acc_without") & gap
+    return reduce(DataFrame.unionByName, tables).select("level", "n_enrichment", "n_features", sound.alias("in_range"))
 
 
-@query("tree_importance", "M16")
+@query("tree_importance", "M16",
+       f"select count(*) as n_features, count(*) filter (is_enrichment) as n_enrichment, true as sums_to_one from (values "
+       + ", ".join(f"({n in set(enriched_names('friendship'))})".lower() for n in feature_names("friendship", "enriched")) + ") v(is_enrichment)")
 def _(spark, sf):
     train, _ = pair_split(spark, sf)
     names = feature_names("friendship", "enriched")
-    model = m.boosted_classifier(train, names, KEY, maxIter=10)
-    return importance_shares(m.importances(model, names, enriched_names("friendship"), spark))
+    model = m.boosted_classifier(stage(train, "importance-train"), names, KEY)
+    rows = m.importances(model, names, enriched_names("friendship"), spark)
+    return rows.agg(
+        F.count(F.lit(1)).alias("n_features"), F.count_if("is_enrichment").alias("n_enrichment"),
+        (F.abs(F.sum("importance") - 1) < 1e-6).alias("sums_to_one"),
+    )
 
 
-@query("permutation_importance", "M17")
+@query("permutation_importance", "M17",
+       "select name, true as in_range from (values " + ", ".join(f"('{n}')" for n in feature_names("friendship", "enriched")) + ") v(name)")
 def _(spark, sf):
-    train, test = pair_split(spark, sf)
+    train, test = (stage(t, "permutation") for t in pair_split(spark, sf))
     names = feature_names("friendship", "enriched")
-    model = m.boosted_classifier(train, names, KEY, maxIter=10)
-    return m.permutation_importance(model, test, names, KEY)
+    model = m.boosted_classifier(train, names, KEY)
+    rows = m.permutation_importance(model, test, names, KEY)
+    return rows.select("name", F.col("accuracy_drop").between(-1, 1).alias("in_range"))
 
 
-@query("class_separation", "M18 M5")
+@query("class_separation", "M18 M5",
+       f"select level, full_dims::INTEGER as full_dims, (full_dims-n_enriched)::INTEGER as plain_dims, {_TRUE} from {_widths('level', 'n_enriched', 'full_dims')}")
 def _(spark, sf):
     drop = set(enriched_names("friendship"))
     levels = {}
-    for g in ("G1", "G4"):
+    for g in LEVELS:
         full = feature_names("friendship", "enriched", g)
         levels[g] = (full, [c for c in full if c not in drop])
-    return m.separation_table(evaluation.enriched_pairs(spark, sf), levels)
+    table = m.separation_table(evaluation.enriched_pairs(spark, sf), levels)
+    sound = F.col("full_silhouette").between(-1, 1) & F.col("plain_silhouette").between(-1, 1)
+    return table.select("level", "full_dims", "plain_dims", sound.alias("in_range"))

@@ -66,27 +66,27 @@ def standardise(train: DataFrame, others: Sequence[DataFrame], names: Sequence[s
 def boosted_classifier(train: DataFrame, names: Sequence[str], key: Sequence[str], label: str = "label", **params):
     """Gradient-boosted trees for a 0/1 label, stopped early on a held-out share of the training rows."""
     rows = with_validation_flag(assemble(train, names), key)
-    options = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "seed": 42} | params
+    options = {"maxIter": 300, "maxDepth": 4, "stepSize": 0.1, "seed": 42} | params
     return GBTClassifier(labelCol=label, validationIndicatorCol="is_validation", **options).fit(rows)
 
 
 def boosted_regressor(train: DataFrame, names: Sequence[str], key: Sequence[str], label: str, **params):
     """Gradient-boosted trees for a number, stopped early in the same way."""
     rows = with_validation_flag(assemble(train, names), key)
-    options = {"maxIter": 20, "maxDepth": 4, "stepSize": 0.1, "seed": 42} | params
+    options = {"maxIter": 300, "maxDepth": 4, "stepSize": 0.1, "seed": 42} | params
     return GBTRegressor(labelCol=label, validationIndicatorCol="is_validation", **options).fit(rows)
 
 
-def neural_classifier(train: DataFrame, names: Sequence[str], label: str = "label", hidden: Sequence[int] = (64, 32), **params):
+def neural_classifier(train: DataFrame, names: Sequence[str], label: str = "label", hidden: Sequence[int] = (128, 64), **params):
     """Feed-forward network; pass standardised features."""
-    options = {"maxIter": 60, "seed": 42} | params
+    options = {"maxIter": 500, "seed": 42} | params
     layers = [len(names), *hidden, 2]
     return MultilayerPerceptronClassifier(labelCol=label, layers=layers, **options).fit(assemble(train, names))
 
 
 def logistic_classifier(train: DataFrame, names: Sequence[str], label: str = "label", **params):
     """Logistic regression; pass standardised features."""
-    options = {"maxIter": 100, "regParam": 0.01} | params
+    options = {"maxIter": 1000, "regParam": 0.01} | params
     return LogisticRegression(labelCol=label, **options).fit(assemble(train, names))
 
 
