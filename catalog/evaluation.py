@@ -243,7 +243,7 @@ def _(spark, sf):
 def _(spark, sf):
     from placewise.operators.trip_stats import destination_stats
 
-    counts = destination_stats(trips.train(spark, sf)).select(
+    counts = destination_stats(trips.day_counts(spark, sf)).select(
         F.col("do_zone").alias("candidate_zone"), F.col("do_count").alias("popularity")
     )
     popular = ev.popularity_line(trips.cases(spark, sf), ["query_id"], "candidate_zone", counts, [F.col("candidate_zone")])

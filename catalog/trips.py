@@ -108,29 +108,34 @@ def _(spark, sf):
     )
 
 
+@staged
+def day_counts(spark, sf):
+    return ts.trip_counts(train(spark, sf))
+
+
 @query("od_statistics", "A14 A15 A19 D10", sql("od", "select * from od"))
 def _(spark, sf):
-    return ts.od_stats(train(spark, sf))
+    return ts.od_stats(day_counts(spark, sf))
 
 
 @query("origin_statistics", "A14 A15 A16 A19 D10", sql("origin", "select * from origin"))
 def _(spark, sf):
-    return ts.origin_stats(train(spark, sf))
+    return ts.origin_stats(day_counts(spark, sf))
 
 
 @query("destination_statistics", "A14 A15 D10", sql("dest", "select * from dest"))
 def _(spark, sf):
-    return ts.destination_stats(train(spark, sf))
+    return ts.destination_stats(day_counts(spark, sf))
 
 
 @query("origin_geo_spread", "A17 D10", sql("spread", "select * from spread"))
 def _(spark, sf):
-    return ts.origin_spread(train(spark, sf), roles.zones(spark, sf))
+    return ts.origin_spread(day_counts(spark, sf), roles.zones(spark, sf))
 
 
 @query("origin_hour_statistics", "A18 D10", sql("hourly", "select * from hourly"))
 def _(spark, sf):
-    return ts.origin_hour_stats(train(spark, sf))
+    return ts.origin_hour_stats(day_counts(spark, sf))
 
 
 @query("recent_trips_per_origin", "W2 W1 D10",
@@ -149,7 +154,7 @@ def _(spark, sf):
        sql("train zones", f"""select {cell('lat',3)} as cell_lat, {cell('lon',3)} as cell_lon, count(*) as dropoffs
   from train join zones on zone_id=do_zone group by all"""))
 def _(spark, sf):
-    return ts.cell_counts(train(spark, sf), roles.zones(spark, sf))[1].withColumnsRenamed(
+    return ts.cell_counts(day_counts(spark, sf), roles.zones(spark, sf))[1].withColumnsRenamed(
         {"d_lat": "cell_lat", "d_lon": "cell_lon"}
     )
 
@@ -224,7 +229,7 @@ def _(spark, sf):
 def _(spark, sf):
     from placewise.functions.numbers import hash_key
 
-    counts = ts.destination_stats(train(spark, sf)).select(
+    counts = ts.destination_stats(day_counts(spark, sf)).select(
         F.col("do_zone").alias("candidate_zone"), F.col("do_count").alias("popularity")
     )
     tie = [hash_key("tie", "query_id", "candidate_zone")]

@@ -1,8 +1,12 @@
-"""Statistics of training trips, as one table per key."""
+"""Statistics of training trips, as one table per key.
+
+One pass brings the trips to counts and sums per (origin, destination, day, hour): a table bounded by zones and calendar, not by
+trips. All statistics but the last trips of an origin follow from it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from placewise.functions.geo import cell, haversine_km
@@ -12,37 +16,59 @@ from .history import last_n_array
 from .profiles import CELL_PLACES
 
 
-def od_stats(trips: DataFrame) -> DataFrame:
+def trip_counts(trips: DataFrame) -> DataFrame:
+    """Trips, minutes and squared minutes per origin, destination, day and hour."""
+    minutes = F.col("duration_min")
+    return trips.groupBy("pu_zone", "do_zone", "pickup_date", "pickup_hour").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(minutes).alias("minutes"), F.sum(minutes * minutes).alias("squares")
+    )
+
+
+def _mean(total: str) -> Column:
+    return round_to(F.sum(total) / F.sum("n"), 2)
+
+
+def _mean_hour() -> Column:
+    return round_to(F.sum(F.col("pickup_hour") * F.col("n")) / F.sum("n"), 2)
+
+
+def od_stats(counts: DataFrame) -> DataFrame:
     """Trips, mean duration and mean pickup hour per origin and destination."""
-    return trips.groupBy("pu_zone", "do_zone").agg(
-        F.count(F.lit(1)).alias("od_count"),
-        round_to(F.avg("duration_min"), 2).alias("od_mean_dur"),
-        round_to(F.avg("pickup_hour"), 2).alias("avg_hour_od"),
+    return counts.groupBy("pu_zone", "do_zone").agg(
+        F.sum("n").alias("od_count"), _mean("minutes").alias("od_mean_dur"), _mean_hour().alias("avg_hour_od")
     )
 
 
-def origin_stats(trips: DataFrame) -> DataFrame:
-    """Trips, mean duration, distinct destinations and days, hour mean and population deviation."""
-    return trips.groupBy("pu_zone").agg(
-        F.count(F.lit(1)).alias("pu_count"),
-        round_to(F.avg("duration_min"), 2).alias("pu_mean_dur"),
-        F.count_distinct("do_zone").alias("unique_dropoffs"),
-        F.count_distinct("pickup_date").alias("active_days"),
-        round_to(F.avg("pickup_hour"), 2).alias("mean_hour"),
-        round_to(F.stddev_pop("pickup_hour"), 2).alias("std_hour"),
+def origin_stats(counts: DataFrame) -> DataFrame:
+    """Trips, mean duration, distinct destinations and days, hour mean and population deviation.
+
+    The distinct counts are taken over rows that are distinct already: destinations first, then days, each summed to
+    its origin.
+    """
+    n, hours = F.sum("n"), F.sum(F.col("pickup_hour") * F.col("n"))
+    squares = F.sum(F.col("pickup_hour") * F.col("pickup_hour") * F.col("n"))
+    sums = counts.groupBy("pu_zone").agg(
+        n.alias("pu_count"),
+        _mean("minutes").alias("pu_mean_dur"),
+        _mean_hour().alias("mean_hour"),
+        round_to(F.sqrt(F.greatest(squares / n - (hours / n) * (hours / n), F.lit(0.0))), 2).alias("std_hour"),
     )
 
+    def distinct(key: str, out: str) -> DataFrame:
+        return counts.select("pu_zone", key).distinct().groupBy("pu_zone").agg(F.count(key).alias(out))
+
+    whole = sums.join(distinct("do_zone", "unique_dropoffs"), "pu_zone").join(distinct("pickup_date", "active_days"), "pu_zone")
+    return whole.select("pu_zone", "pu_count", "pu_mean_dur", "unique_dropoffs", "active_days", "mean_hour", "std_hour")
 
-def destination_stats(trips: DataFrame) -> DataFrame:
+
+def destination_stats(counts: DataFrame) -> DataFrame:
     """Arrivals and mean duration per destination."""
-    return trips.groupBy("do_zone").agg(
-        F.count(F.lit(1)).alias("do_count"), round_to(F.avg("duration_min"), 2).alias("do_mean_dur")
-    )
+    return counts.groupBy("do_zone").agg(F.sum("n").alias("do_count"), _mean("minutes").alias("do_mean_dur"))
 
 
-def origin_spread(trips: DataFrame, zones: DataFrame) -> DataFrame:
+def origin_spread(counts: DataFrame, zones: DataFrame) -> DataFrame:
     """Population deviation of the distance to the distinct destinations; 0 for one."""
-    pairs = trips.select("pu_zone", "do_zone").distinct()
+    pairs = counts.select("pu_zone", "do_zone").distinct()
     o = zones.select(F.col("zone_id").alias("pu_zone"), F.col("lat").alias("_olat"), F.col("lon").alias("_olon"))
     d = zones.select(F.col("zone_id").alias("do_zone"), F.col("lat").alias("_dlat"), F.col("lon").alias("_dlon"))
     away = pairs.join(o, "pu_zone").join(d, "do_zone", "left")
@@ -52,11 +78,13 @@ def origin_spread(trips: DataFrame, zones: DataFrame) -> DataFrame:
     )
 
 
-def origin_hour_stats(trips: DataFrame) -> DataFrame:
+def origin_hour_stats(counts: DataFrame) -> DataFrame:
     """Mean and sample deviation of the duration per origin and hour; 0 for a single trip."""
-    return trips.groupBy("pu_zone", "pickup_hour").agg(
-        round_to(F.avg("duration_min"), 2).alias("hour_mean"),
-        round_to(F.coalesce(F.stddev_samp("duration_min"), F.lit(0.0)), 2).alias("hour_std"),
+    n, total, squares = F.sum("n"), F.sum("minutes"), F.sum("squares")
+    variance = F.try_divide(F.greatest(squares - total * total / n, F.lit(0.0)), n - 1)
+    return counts.groupBy("pu_zone", "pickup_hour").agg(
+        _mean("minutes").alias("hour_mean"),
+        round_to(F.coalesce(F.sqrt(variance), F.lit(0.0)), 2).alias("hour_std"),
     )
 
 
@@ -72,14 +100,12 @@ def zone_cells(zones: DataFrame) -> DataFrame:
     return zones.withColumns({"cell_lat": cell("lat", CELL_PLACES), "cell_lon": cell("lon", CELL_PLACES)})
 
 
-def cell_counts(trips: DataFrame, zones: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def cell_counts(counts: DataFrame, zones: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Pickups per cell, drop-offs per cell, and trips per cell pair with their mean duration.
 
-    Trips are first counted per zone pair, so only small tables are joined to cells.
+    Counts are first summed per zone pair, so only small tables are joined to cells.
     """
-    pairs = trips.groupBy("pu_zone", "do_zone").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("duration_min").alias("minutes")
-    )
+    pairs = counts.groupBy("pu_zone", "do_zone").agg(F.sum("n").alias("n"), F.sum("minutes").alias("minutes"))
     cells = zone_cells(zones)
     o = cells.select(F.col("zone_id").alias("pu_zone"), F.col("cell_lat").alias("o_lat"), F.col("cell_lon").alias("o_lon"))
     d = cells.select(F.col("zone_id").alias("do_zone"), F.col("cell_lat").alias("d_lat"), F.col("cell_lon").alias("d_lon"))

@@ -13,6 +13,7 @@ from placewise.functions.texts import UNKNOWN
 from placewise.operators import trip_stats as ts
 from placewise.operators.history import array_mean
 from placewise.operators.sampling import keep_per_case, probe, shuffled_position, take_shuffled
+from placewise.session import stage
 
 from .levels import feature_names
 
@@ -36,11 +37,15 @@ class TripStats:
 
 
 def trip_stats(train: DataFrame, zones: DataFrame) -> TripStats:
-    """All statistics of the training trips. ``zones`` may carry ``primary_category``."""
+    """All statistics of the training trips. ``zones`` may carry ``primary_category``.
+
+    The trips are read twice: once for the counts, which are written, and once for the last trips.
+    """
+    counts = stage(ts.trip_counts(train), "trip-counts")
     cells = ts.zone_cells(zones)
     if "primary_category" not in cells.columns:
         cells = cells.withColumn("primary_category", F.lit(UNKNOWN))
-    pickups, dropoffs, cell_pairs = ts.cell_counts(train, zones)
+    pickups, dropoffs, cell_pairs = ts.cell_counts(counts, zones)
     recent = ts.recent_trips(train)
     # At most five entries per origin are opened, looked up and packed again.
     opened = recent.select("pu_zone", F.posexplode("recent").alias("_k", "_t"))
@@ -54,11 +59,11 @@ def trip_stats(train: DataFrame, zones: DataFrame) -> TripStats:
     )
     recent = looked_up.groupBy("pu_zone").agg(F.sort_array(F.collect_list(item)).alias("recent"))
     return TripStats(
-        ts.origin_stats(train),
-        ts.destination_stats(train),
-        ts.od_stats(train),
-        ts.origin_hour_stats(train),
-        ts.origin_spread(train, zones),
+        ts.origin_stats(counts),
+        ts.destination_stats(counts),
+        ts.od_stats(counts),
+        ts.origin_hour_stats(counts),
+        ts.origin_spread(counts, zones),
         recent,
         pickups,
         dropoffs,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from placewise.operators import compare, evaluate, history, pairs, profiles, sampling, spatial
 from placewise.operators.filters import clean_trips, first_per_key, without_pairs
-from placewise.operators.trip_stats import origin_hour_stats
+from placewise.operators.trip_stats import origin_hour_stats, trip_counts
 from placewise.plans import friendship, levels, next_place, reviews
 from placewise.sources import checkins as ci
 
@@ -142,8 +142,8 @@ def test_entropy_and_concentration(spark):
 
 
 def test_single_trip_has_zero_deviation(spark):
-    df = spark.createDataFrame([(1, 5, 10.0)], "pu_zone int, pickup_hour int, duration_min double")
-    assert origin_hour_stats(df).first()["hour_std"] == 0.0
+    df = spark.createDataFrame([(1, 2, 3, 5, 10.0)], "pu_zone int, do_zone int, pickup_date int, pickup_hour int, duration_min double")
+    assert origin_hour_stats(trip_counts(df)).first()["hour_std"] == 0.0
 
 
 def test_upper_median(spark):
