@@ -37,6 +37,8 @@ BOILERPLATE_TAGS = frozenset(
     "object embed canvas audio video map".split()
 )
 RAW_TAGS = frozenset("script style textarea title noscript iframe template".split())
+#: Elements without a box of their own: they do not end a line.
+UNSEEN_TAGS = frozenset("script style noscript template".split())
 INLINE_TAGS = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr".split()
@@ -128,7 +130,7 @@ def page_lines(html: str) -> list[tuple[str, int]]:
                 del stack[open_at:]
             continue
         below = _element_kind(tag, match["rest"], kind)
-        if below != kind or tag not in INLINE_TAGS:
+        if tag not in UNSEEN_TAGS and (below != kind or tag not in INLINE_TAGS):
             flush()
         if tag in RAW_TAGS:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.IGNORECASE).search(html, at)
@@ -316,7 +318,8 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     # Two hashes over the whole row are its key: rows that share it are repeated rows.
     keyed = named.withColumns({"k1": F.xxhash64("page_id", "url", "html"), "k2": F.xxhash64("html", F.lit("2"), "url", "page_id")})
     found = stage(shared_lines(keyed), "shared")
-    rows = keyed.join(found, _KEY, "left").select("page_id", "url", "html", "shared")
+    # The pages move once, by hash, at any size; only the small side is held in memory.
+    rows = keyed.join(found.hint("shuffle_hash"), _KEY, "left").select("page_id", "url", "html", "shared")
 
     def extract(batch: pa.RecordBatch) -> pa.RecordBatch:
         shared = batch.column("shared").to_pylist()
