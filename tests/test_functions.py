@@ -104,3 +104,17 @@ def test_other_answers(spark):
 def test_pair_vector(spark):
     a, b = F.array(F.lit(1.0), F.lit(2.0)), F.array(F.lit(3.0), F.lit(5.0))
     assert one(spark, vectors.pair_vector(a, b, F.array(F.lit(9.0)))) == [1, 2, 3, 5, -2, -3, 3, 10, 9]
+
+
+def test_white_space_of_any_kind_is_stripped(spark):
+    from placewise.functions.parsing import parse_yes_no
+    from placewise.sources.checkins import count_bad_checkins, parse_checkins, parse_edges
+
+    answers = spark.createDataFrame([(i, a) for i, a in enumerate(["\nYes", "\tNo.", " \r\nyes\t", "maybe", None])], "i int, a string")
+    assert [r["v"] for r in answers.orderBy("i").select(parse_yes_no("a").alias("v")).collect()] == [1, 0, 1, None, None]
+    edges = spark.createDataFrame([("\t1\t2",), ("5\t6\t",), ("7 8 9",), ("# 1 2",), ("a b",), ("4   3",)], "value string")
+    assert {tuple(r) for r in parse_edges(edges).collect()} == {(1, 2), (5, 6), (3, 4)}
+    good = "1\t2010-10-19T23:55:27Z\t30.2\t-97.7\t22847"
+    lines = spark.createDataFrame([(good + "\t",), ("\n" + good,), (good.rsplit("\t", 1)[0] + "\t",), (good.replace("30.2", "north"),), ("",)], "value string")
+    assert parse_checkins(lines).count() == 2
+    assert tuple(count_bad_checkins(lines).first()) == (5, 3)

@@ -405,3 +405,61 @@ def test_trip_limits(spark):
     df = spark.createDataFrame(rows, "pu_zone int, do_zone int, pickup_ts timestamp_ntz, dropoff_ts timestamp_ntz, trip_distance double")
     got = clean_trips(df, [9]).collect()
     assert sorted(r["duration_min"] for r in got) == [1.0, 120.0] and got[0]["pickup_dow"] == 0
+
+
+def _placed_profiles(spark, regions):
+    rows = [(u, r, 0, f"r{r}") for r, users in regions.items() for u in users]
+    return spark.createDataFrame(rows, "user_id long, region_lat int, region_lon int, primary_region string")
+
+
+def test_negatives_are_complete_in_a_dense_graph(spark):
+    """Nearly everybody is a friend of everybody: every non-friend pair is found, none twice, none beyond."""
+    people = range(30)
+    missing = {(0, 7), (3, 21), (28, 29), (5, 6), (11, 13)}
+    edges = spark.createDataFrame([(a, b) for a in people for b in people if a < b and (a, b) not in missing], "a long, b long")
+    users = spark.createDataFrame([(u,) for u in people], "user_id long")
+    for n in (2, 5, 400):
+        found = [tuple(r) for r in friendship.random_non_friends(users, edges, n, "s").collect()]
+        assert len(found) == len(set(found)) == min(n, 5) and set(found) <= missing
+
+
+def test_regional_negatives_take_all_regions(spark):
+    profiles = _placed_profiles(spark, {1: range(6), 2: range(10, 30), 3: range(40, 43)})
+    edges = spark.createDataFrame([(0, 1), (10, 11)], "a long, b long")
+    found = {tuple(r) for r in friendship.regional_non_friends(profiles, edges, 10**6, "s").collect()}
+    want = {(a, b) for users in (range(6), range(10, 30)) for a in users for b in users if a < b} - {(0, 1), (10, 11)}
+    assert found == want
+    few = [tuple(r) for r in friendship.regional_non_friends(profiles, edges, 20, "s").collect()]
+    # Regions take turns: the small one, with 14 pairs, is not drowned by the large one.
+    assert len(few) == 20 and sum(a < 6 for a, _ in few) >= 9
+    alone = spark.createDataFrame([], edges.schema)
+    assert friendship.random_non_friends(profiles.select("user_id").limit(1), alone, 5, "s").count() == 0
+
+
+def test_cuts_have_no_single_task(spark):
+    from placewise.operators.sampling import balanced, ordered_position, take_first, take_shuffled
+
+    df = spark.range(5000).withColumn("label", (F.col("id") % 3).cast("int"))
+    cut = {
+        "shuffled": take_shuffled(df, ["id"], 2000, "s"),
+        "first": take_first(df, ["id"], 2000),
+        "balanced": balanced(df, "label", ["id"], 2000, "s"),
+    }
+    for rows in cut.values():
+        assert "TakeOrdered" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert cut["shuffled"].distinct().count() == 2000
+    assert sorted(r["id"] for r in cut["first"].collect()) == list(range(2000))
+    assert {r["count"] for r in cut["balanced"].groupBy("label").count().collect()} == {1000}
+    named = df.select(F.concat(F.lit("request-with-a-long-common-prefix-"), F.lpad("id", 6, "0")).alias("k"))
+    placed = ordered_position(named, "k").collect()
+    assert all(int(r["k"][-6:]) == r["pos"] for r in placed)
+
+
+def test_few_shot_examples_are_not_asked(spark):
+    from catalog.registry import all_queries
+
+    rows = all_queries()["few_shot_texts"].build(spark, "/root/testdata/sf0.001").where("level = 'G4'").collect()
+    shown = rows[0]["text"].split("--- Now predict for this new pair ---")[0]
+    assert rows and shown.count("--- Example") > 1
+    for r in rows:
+        assert r["text"].split("--- Now predict for this new pair ---")[1].strip().rsplit("\n\n", 1)[0] not in shown
