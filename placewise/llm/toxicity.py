@@ -34,10 +34,10 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, small_batches, text_or_empty
+from .common import HELD_OUT, fold, labelled_sample, map_batches, small_batches, text_or_empty
 
 WORDS = re.compile(r"[^\W\d_]+")
 #: Lengths of word beginnings that are terms beside the whole word.
@@ -51,13 +51,6 @@ BLOCK = 64
 PRIOR_WEIGHT = 1.0
 _MEMO = 400_000
 
-FIT_FOLDS = (0, 1, 3)
-HELD_OUT = 2
-
-
-def fold(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(4))
-
 
 def words(text: str) -> Counter[str]:
     return Counter(WORDS.findall(text.lower()))
@@ -215,28 +208,12 @@ def isotonic(points: list[tuple[float, int, float]], prior: float) -> list[tuple
     return [(r / w, (y + prior) / (w + 1)) for w, y, r in steps]
 
 
-def _sample(labels: DataFrame, per_class: int) -> tuple[DataFrame, dict[int, float]]:
-    """(doc_id, toxic) of about ``per_class`` rows a class by hash, and the share taken of each class."""
-    rows = (
-        labels.where(fold(F.col("doc_id")).isin(*FIT_FOLDS) & F.col("toxic").isin(0, 1))
-        .groupBy(F.col("doc_id").cast("long").alias("_id"))
-        .agg(F.max("toxic").cast("int").alias("_toxic"))
-    )
-    sizes = {r["_toxic"]: r["count"] for r in rows.groupBy("_toxic").count().collect()}
-    share = {c: min(1.0, per_class / n) for c, n in sizes.items()}
-    place = F.pmod(F.xxhash64(F.lit("sample"), "_id"), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    taken = F.lit(False)
-    for c, s in share.items():
-        taken = taken | ((F.col("_toxic") == c) & (place < s))
-    return rows.where(taken).limit(3 * per_class), share
-
-
 def _vocabulary(texts: DataFrame, size: int) -> list[str]:
     """Terms of the sample texts with far apart shares in the two classes."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         toxic, clean = Counter(), Counter()
-        for text, label in zip(batch.column("text").to_pylist(), batch.column("_toxic").to_pylist(), strict=True):
+        for text, label in zip(batch.column("text").to_pylist(), batch.column("_label").to_pylist(), strict=True):
             (toxic if label else clean).update({t for w in words(text) for t in terms_of(w)})
         terms = list(toxic.keys() | clean.keys())
         return pa.RecordBatch.from_pydict(
@@ -247,7 +224,7 @@ def _vocabulary(texts: DataFrame, size: int) -> list[str]:
             }
         )
 
-    sizes = {r["_toxic"]: r["count"] for r in texts.groupBy("_toxic").count().collect()}
+    sizes = {r["_label"]: r["count"] for r in texts.groupBy("_label").count().collect()}
     n1, n0 = sizes.get(1, 0), sizes.get(0, 0)
     if not n1 or not n0:
         return []
@@ -289,7 +266,7 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Fit on the labelled rows outside the held-out fold; see the module for the steps."""
     small_batches(docs.sparkSession)
-    sample, share = _sample(labels, per_class)
+    sample, share = labelled_sample(labels, "toxic", per_class)
     # The sample is bounded by per_class rows a class of two numbers each: small enough to be sent to every task.
     texts = docs.select(F.col(doc_id).cast("long").alias("_id"), text_or_empty(text).alias("text")).join(
         F.broadcast(sample), "_id"
@@ -304,7 +281,7 @@ def fit_toxicity(
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("_id"),
-                batch.column("_toxic"),
+                batch.column("_label"),
                 pa.array([list(c) for c in counted], pa.list_(pa.int32())),
                 pa.array([list(c.values()) for c in counted], pa.list_(pa.int32())),
             ],
