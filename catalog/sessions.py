@@ -131,16 +131,15 @@ def _(spark, sf):
     )
 
 
-@query("rolling_popularity", "ST2 A20",
-       sql("checkins", "select location_id, count(*) as popularity from checkins group by 1"))
-def _(spark, sf):
-    """Counts kept by merging one micro-batch after another."""
+def rolling(spark, sf):
+    """The state after all micro-batches of the check-ins, and the last batch's number."""
     from placewise.session import scratch_path
     from placewise.streaming.rolling import RollingState
 
     rows = roles.checkins(spark, sf)
     source = scratch_path(spark, "stream-input")
-    rows.repartition(3).write.parquet(source)
+    rows.write.option("maxRecordsPerFile", 2000).parquet(source)
+    n_files = len(spark.read.schema(rows.schema).parquet(source).inputFiles())
     state = RollingState(spark, scratch_path(spark, "rolling"))
     last = []
 
@@ -148,9 +147,27 @@ def _(spark, sf):
         state.merge_batch(batch, batch_id)
         last.append(batch_id)
 
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    # About five micro-batches, whatever the size of the input.
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, n_files // 5)).parquet(source)
     run = stream.writeStream.foreachBatch(merge).option(
         "checkpointLocation", scratch_path(spark, "rolling-checkpoint")
     ).trigger(availableNow=True).start()
     run.awaitTermination()
-    return state.popularity(max(last)).withColumn("popularity", F.col("popularity").cast("long"))
+    return state, max(last)
+
+
+@query("rolling_popularity", "ST2 A20",
+       sql("checkins", "select location_id, count(*) as popularity from checkins group by 1"))
+def _(spark, sf):
+    """Counts kept by merging one micro-batch after another."""
+    state, last = rolling(spark, sf)
+    return state.popularity(last).withColumn("popularity", F.col("popularity").cast("long"))
+
+
+@query("rolling_last_checkins", "ST2 W1",
+       sql("checkins", """select user_id, event_id, location_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r
+  from checkins) where r<=5"""))
+def _(spark, sf):
+    """The last five check-ins of every user, kept in the same way."""
+    state, last = rolling(spark, sf)
+    return state.recent(last).select("user_id", "event_id", "location_id")

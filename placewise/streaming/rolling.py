@@ -3,19 +3,34 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from placewise.operators.history import last_n
 
+Run = tuple[int, int]
+
+
+def runs_after(batch_id: int) -> list[Run]:
+    """Ranges of batches whose states are kept after a batch: the powers of two that make up the number of batches."""
+    left, start, out = batch_id + 1, 0, []
+    while left:
+        size = 1 << (left.bit_length() - 1)
+        out.append((start, start + size))
+        start, left = start + size, left - size
+    return out
+
 
 class RollingState:
-    """Two small Parquet tables under ``path``: counts per place and last rows per user.
+    """Counts per place and last rows per user under ``path``, as a few runs of Parquet tables.
 
-    ``merge_batch`` is meant for ``writeStream.foreachBatch``. Each batch writes the
-    folder of its own number, reading the one before, so a batch that is
-    run again after a failure starts from the same state and gives the same result.
+    ``merge_batch`` is meant for ``writeStream.foreachBatch``. A batch writes one run: its own counts, merged with
+    the runs of equal or smaller size before it. A row is so rewritten a logarithmic number of times, not in every batch,
+    and a read adds up at most as many runs as the number of batches has binary digits. A batch that is run again
+    after a failure reads the same runs and gives the same result; runs that neither the last batch nor this one needs are
+    deleted.
     """
 
     def __init__(self, spark: SparkSession, path: str, n: int = 5, key: str = "user_id",
@@ -23,23 +38,41 @@ class RollingState:
         self.spark, self.path, self.n = spark, path.rstrip("/"), n
         self.key, self.place, self.order = key, place, list(order)
 
-    def _table(self, name: str, batch: int) -> str:
-        return f"{self.path}/{name}/batch={batch:08d}"
+    def _table(self, name: str, run: Run) -> str:
+        return f"{self.path}/{name}/from={run[0]:08d}-to={run[1]:08d}"
+
+    def _read(self, name: str, runs: Sequence[Run]) -> list[DataFrame]:
+        return [self.spark.read.parquet(self._table(name, run)) for run in runs]
+
+    def _counts(self, parts: Sequence[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, parts).groupBy(self.place).agg(F.sum("popularity").alias("popularity"))
+
+    def _latest(self, parts: Sequence[DataFrame]) -> DataFrame:
+        return last_n(reduce(DataFrame.unionByName, parts), [self.key], self.order, self.n).drop("rn")
 
     def merge_batch(self, batch: DataFrame, batch_id: int) -> None:
-        counts = batch.groupBy(self.place).agg(F.count(F.lit(1)).alias("popularity"))
-        recent = batch
-        if batch_id > 0:
-            before = self.spark.read.parquet(self._table("popularity", batch_id - 1))
-            counts = counts.unionByName(before).groupBy(self.place).agg(F.sum("popularity").alias("popularity"))
-            recent = batch.unionByName(self.spark.read.parquet(self._table("recent", batch_id - 1)))
-        counts.write.mode("overwrite").parquet(self._table("popularity", batch_id))
-        last_n(recent, [self.key], self.order, self.n).drop("rn").write.mode("overwrite").parquet(
-            self._table("recent", batch_id)
-        )
+        now = runs_after(batch_id)
+        before = runs_after(batch_id - 1) if batch_id else []
+        absorbed = [run for run in before if run not in now]
+        counted = batch.select(self.place, F.lit(1).cast("long").alias("popularity"))
+        tables = {
+            "popularity": self._counts([counted, *self._read("popularity", absorbed)]),
+            "recent": self._latest([batch, *self._read("recent", absorbed)]),
+        }
+        for name, table in tables.items():
+            table.write.mode("overwrite").parquet(self._table(name, now[-1]))
+        if batch_id > 1:
+            self._delete([run for run in runs_after(batch_id - 2) if run not in before and run not in now])
+
+    def _delete(self, runs: Sequence[Run]) -> None:
+        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
+        for run in runs:
+            for name in ("popularity", "recent"):
+                folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._table(name, run))
+                folder.getFileSystem(hadoop).delete(folder, True)
 
     def popularity(self, batch_id: int) -> DataFrame:
-        return self.spark.read.parquet(self._table("popularity", batch_id))
+        return self._counts(self._read("popularity", runs_after(batch_id)))
 
     def recent(self, batch_id: int) -> DataFrame:
-        return self.spark.read.parquet(self._table("recent", batch_id))
+        return self._latest(self._read("recent", runs_after(batch_id)))

@@ -463,3 +463,25 @@ def test_few_shot_examples_are_not_asked(spark):
     assert rows and shown.count("--- Example") > 1
     for r in rows:
         assert r["text"].split("--- Now predict for this new pair ---")[1].strip().rsplit("\n\n", 1)[0] not in shown
+
+
+def test_rolling_runs_are_few_and_cover_all_batches(spark, tmp_path):
+    from placewise.streaming.rolling import RollingState, runs_after
+
+    for b in range(70):
+        runs = runs_after(b)
+        assert runs[0][0] == 0 and runs[-1][1] == b + 1 and len(runs) <= 7
+        assert all(x[1] == y[0] for x, y in zip(runs, runs[1:], strict=False))
+    state = RollingState(spark, str(tmp_path / "state"), n=2)
+    rows = [(u, p, t, 10 * t + u) for t in range(9) for u in (1, 2) for p in (u * t % 3,)]
+    schema = "user_id int, location_id int, ts int, event_id int"
+    for b in range(6):
+        batch = spark.createDataFrame(rows[3 * b : 3 * b + 3], schema)
+        state.merge_batch(batch, b)
+        state.merge_batch(batch, b)  # a batch that is run again changes nothing
+        seen = rows[: 3 * b + 3]
+        counts = {r["location_id"]: r["popularity"] for r in state.popularity(b).collect()}
+        assert counts == {p: sum(r[1] == p for r in seen) for p in {r[1] for r in seen}}
+        latest = {(r["user_id"], r["event_id"]) for r in state.recent(b).collect()}
+        assert latest == {(u, r[3]) for u in (1, 2) for r in sorted(x for x in seen if x[0] == u)[-2:]}
+    assert len(list((tmp_path / "state" / "recent").iterdir())) <= 4
