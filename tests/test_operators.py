@@ -483,5 +483,5 @@ def test_rolling_runs_are_few_and_cover_all_batches(spark, tmp_path):
         counts = {r["location_id"]: r["popularity"] for r in state.popularity(b).collect()}
         assert counts == {p: sum(r[1] == p for r in seen) for p in {r[1] for r in seen}}
         latest = {(r["user_id"], r["event_id"]) for r in state.recent(b).collect()}
-        assert latest == {(u, r[3]) for u in (1, 2) for r in sorted(x for x in seen if x[0] == u)[-2:]}
+        assert latest == {(u, r[3]) for u in (1, 2) for r in sorted((x for x in seen if x[0] == u), key=lambda x: x[2])[-2:]}
     assert len(list((tmp_path / "state" / "recent").iterdir())) <= 4
