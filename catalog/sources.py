@@ -13,6 +13,7 @@ from placewise.functions.numbers import fixed, round_to
 from placewise.functions.texts import day_name
 from placewise.functions.numbers import thousands
 from placewise.operators.filters import without_pairs
+from placewise.operators.history import last_n_array
 from placewise.operators.sampling import balanced, take_first
 from placewise.session import scratch_path
 from placewise.sources import checkins as ci
@@ -166,13 +167,15 @@ def _(spark, sf):
 
 
 @query("case_table_round_trip", "S9",
-       sql("checkins", "select user_id, count(*) as n, min(event_id) as first_event from checkins group by 1"))
+       sql("checkins", """select user_id, count(*) as n, min(event_id) as first_event from (select *, row_number() over (partition by user_id
+  order by ts desc, event_id desc) as r from checkins) where r<=15 group by 1"""))
 def _(spark, sf):
-    nested = roles.checkins(spark, sf).groupBy("user_id").agg(F.sort_array(F.collect_list("event_id")).alias("events"))
+    """A nested history column of the last fifteen check-ins, written and read back."""
+    nested = last_n_array(roles.checkins(spark, sf), ["user_id"], ["ts", "event_id"], 15, ["event_id"], "events")
     path = scratch_path(spark, "cases")
     sinks.write_table(nested, path)
     return sinks.read_table(spark, path).select(
-        "user_id", F.size("events").cast("long").alias("n"), F.get("events", F.lit(0)).alias("first_event")
+        "user_id", F.size("events").cast("long").alias("n"), F.array_min("events.event_id").alias("first_event")
     )
 
 

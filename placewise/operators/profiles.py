@@ -7,7 +7,7 @@ heavy users and popular places shrink early, and later steps never see raw rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from placewise.functions.geo import cell, cell_pair_label, haversine_km
@@ -140,15 +140,18 @@ def profile_categories(counts: DataFrame, profiles: DataFrame, top: int = 5) ->
 def place_points(visits: DataFrame) -> DataFrame:
     """Median coordinate per place.
 
-    Counts per distinct coordinate value come first, so the median works on as
-    many entries as a place has distinct recorded values, not rows.
+    Counts per distinct coordinate value come first. The middle values are found by running counts over the sorted
+    values, which spill to disk, so no place has to fit in memory.
     """
 
     def median(value: str, out: str) -> DataFrame:
-        counted = visits.groupBy("location_id", value).agg(F.sum("n").alias("_n"))
-        return counted.groupBy("location_id").agg(
-            F.expr(f"percentile({value}, 0.5, _n)").alias(out)
-        )
+        counted = visits.where(F.col(value).isNotNull()).groupBy("location_id", value).agg(F.sum("n").alias("_n"))
+        place = Window.partitionBy("location_id")
+        upto = F.sum("_n").over(place.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+        running = counted.withColumns({"_upto": upto, "_all": F.sum("_n").over(place)})
+        low = F.min(F.when(F.col("_upto") > F.expr("(_all - 1) div 2"), F.col(value)))
+        high = F.min(F.when(F.col("_upto") > F.expr("_all div 2"), F.col(value)))
+        return running.groupBy("location_id").agg(((low + high) / 2).alias(out))
 
     return median("latitude", "lat").join(median("longitude", "lon"), "location_id")
 

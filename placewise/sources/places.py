@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from placewise.functions.geo import cell, within_box
+from placewise.functions.geo import within_box
 
 # Fixed values: (south, west, north, east).
 US_BOX = (24.0, -130.0, 50.0, -60.0)
@@ -34,9 +34,9 @@ def read_places(
 
 
 def write_places(pois: DataFrame, path: str) -> None:
-    """Filtered places, one folder per whole-degree latitude band, for pruning by area."""
+    """Filtered places, one folder per whole-degree latitude band, for pruning by area; crowded bands are split."""
     banded = pois.withColumn("lat_band", F.floor("lat").cast("int"))
-    banded.repartition("lat_band", cell("lon", 1)).write.partitionBy("lat_band").parquet(path)
+    banded.hint("rebalance", F.col("lat_band")).write.partitionBy("lat_band").parquet(path)
 
 
 def read_written_places(

@@ -39,6 +39,15 @@ def chat_messages(system: Column, user: Column, answer: Column | None = None) ->
     )
 
 
+#: Rows of one chat file at most.
+CHAT_FILE_ROWS = 100_000
+
+
 def write_chat(df: DataFrame, path: str) -> None:
-    """Chat files, one folder per split and level; test rows keep their metadata columns."""
-    df.repartition("split", "level").write.partitionBy("split", "level").json(path)
+    """Chat files, one folder per split and level; test rows keep their metadata columns.
+
+    Rows are rebalanced by folder: small folders stay in one task, large ones are split over many, and no file
+    grows without bound.
+    """
+    spread = df.hint("rebalance", F.col("split"), F.col("level"))
+    spread.write.option("maxRecordsPerFile", CHAT_FILE_ROWS).partitionBy("split", "level").json(path)
