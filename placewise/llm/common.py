@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -45,10 +46,16 @@ def map_batches(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBat
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Let Arrow batches hold few rows, so that a batch of very long texts fits a worker.
+    """Let Arrow batches hold few rows, so that a batch of very long texts fits a worker, and let workers find this package
+    from whatever folder the session was started.
 
-    Only a larger number than ours is lowered; the setting changes no result.
+    Only a larger number of rows than ours is lowered; the settings change no result.
     """
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([root, *paths])
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key, "10000")) <= BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))
