@@ -207,7 +207,7 @@ def fit_quality(
     )
     unlabelled = drawn.select("*", F.lit(None).cast("int").alias("_label"), F.lit(sum(mass.values()) / (2 * pool)).alias("_weight"))
     rows = stage(_features(labelled.unionByName(unlabelled)), "views")
-    rows = rows.repartition(1 + (2 * per_class + pool) // FIT_ROWS, "_id")  # one task per FIT_ROWS rows of the bounded sample
+    rows = rows.coalesce(1 + (2 * per_class + pool) // FIT_ROWS)  # one task per FIT_ROWS rows of the bounded sample
     known = rows.where("_label is not null").withColumn("_check", hash_share("calibration", "_id") < 1 / 3)
     train, check, free = known.where("not _check").drop("_check"), known.where("_check").drop("_check"), rows.where("_label is null")
     if {r["_label"] for r in train.select("_label").distinct().collect()} != {0, 1}:
