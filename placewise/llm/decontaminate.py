@@ -2,7 +2,8 @@
 
 Words (runs of letters, digits and underscores, in lower case) are hashed one by one. A mask such as ``11011011`` hashes the
 marked words of a window and ignores the others, so a hit survives substitutions at the ignored
-positions. Steps:
+positions. The masks are chosen by enumeration: whichever words the default rule (13 words, 70 %) lets differ, one
+mask at least still hits; items of 6 to 12 words have further, shorter masks. Steps:
 
 1. Seeds of the benchmark items, and a Bloom filter of them with a fixed number of bits. Only the filter,
    whose size is a parameter, is sent to the tasks; it drops almost every training window early.
@@ -11,7 +12,7 @@ positions. Steps:
 3. Every (stretch, item, alignment) is verified once: along the alignment the words are compared, and a
    window of ``overlap`` words (the whole item if it is shorter) must agree in at least ``agreement`` of them.
 
-Defined results: null texts are empty and leak nothing; items of fewer words than the shortest mask are too
+Defined results: null texts are empty and leak nothing; items of fewer than six words are too
 short to show a leak; repeated rows leak alike and stay repeated; null ids are carried along; an empty corpus or
 benchmark gives an empty result; other columns are ignored by ``find_leaks`` and kept by ``drop_leaks``.
 """
@@ -31,8 +32,14 @@ from placewise.session import stage
 from .common import map_batches, small_batches, text_or_empty
 
 WORDS = re.compile(r"\w+")
-#: Fixed masks: every one marks six words.
-MASKS = ("111111", "1111011", "11011011", "101101011")
+#: Fixed masks: every one marks six words. Any 3 of 13 words may differ and one of them still hits.
+MASKS = ("111111", "1111011", "11011011", "101101011", "1110001011", "1110111", "1110100011")
+#: Masks of four words for items of 6 to 12 words, of which 70 % agree. Documents are searched for them only if the benchmark
+#: has such items.
+SHORT_MASKS = ("1111", "11011", "1100011", "1010101", "10111")
+ALL_MASKS = MASKS + SHORT_MASKS
+#: Items of fewer words are too short to show a leak; items of fewer than the second number have the short masks too.
+LEAST_WORDS, SHORT_WORDS = 6, 13
 #: Words kept on both sides of a hit for the verification.
 REACH = 32
 #: Bits of the Bloom filter as a power of two (2 MB), and its probes.
@@ -65,18 +72,25 @@ def word_hashes(text: str) -> np.ndarray:
 
 def seeds(tokens: np.ndarray, mask: int) -> np.ndarray:
     """The hash of every window of this mask."""
-    marks = [i for i, c in enumerate(MASKS[mask]) if c == "1"]
-    n = len(tokens) - len(MASKS[mask]) + 1
+    marks = [i for i, c in enumerate(ALL_MASKS[mask]) if c == "1"]
+    n = len(tokens) - len(ALL_MASKS[mask]) + 1
     if n <= 0:
         return np.empty(0, np.uint64)
     mixed = np.full(n, (mask + 1) * 0x2545F4914F6CDD1D & 0xFFFFFFFFFFFFFFFF, np.uint64)
-    for odd, i in zip(_ODD, marks, strict=True):
+    for odd, i in zip(_ODD, marks, strict=False):
         mixed += tokens[i : i + n] * odd
         mixed ^= mixed >> np.uint64(29)
     mixed *= _ODD[1]
     return mixed ^ (mixed >> np.uint64(32))
 
 
+def item_masks(n_words: int) -> range:
+    """The masks of a benchmark item of so many words."""
+    if n_words < LEAST_WORDS:
+        return range(0)
+    return range(len(ALL_MASKS) if n_words < SHORT_WORDS else len(MASKS))
+
+
 def _probe(hashes: np.ndarray, which: int) -> np.ndarray:
     """Bit position of a hash for one probe of the filter."""
     turned = hashes * _ODD[which] if which else hashes
@@ -97,7 +111,7 @@ def _item_seeds(benchmark: DataFrame, item_id: str, text: str) -> tuple[DataFram
     def tokens(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [word_hashes(t) for t in batch.column("text").to_pylist()]
         rows = [
-            [(m, int(h), at) for m in range(len(MASKS)) for at, h in enumerate(seeds(t, m).view(np.int64))] for t in found
+            [(m, int(h), at) for m in item_masks(len(t)) for at, h in enumerate(seeds(t, m).view(np.int64))] for t in found
         ]
         return pa.RecordBatch.from_arrays(
             [
@@ -161,10 +175,10 @@ def _stretches(found: list[tuple[int, int, int]]) -> list[list[tuple[int, int, i
     return groups
 
 
-def _document_hits(docs: DataFrame, packed: bytes, doc_id: str, text: str) -> DataFrame:
-    """One row per stretch of hits: the document's key, the word hashes around, and the hits."""
+def _document_hits(docs: DataFrame, packed: bytes, masks: list[int], doc_id: str, text: str) -> DataFrame:
+    """One row per stretch of hits of these masks: the document's key, the word hashes around, and the hits."""
     shared = docs.sparkSession.sparkContext.broadcast(packed)  # 2**FILTER_BITS bits, whatever the data
-    longest = max(map(len, MASKS))
+    longest = max(map(len, ALL_MASKS))
 
     def search(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         bits = _unpacked(shared.value)
@@ -172,11 +186,11 @@ def _document_hits(docs: DataFrame, packed: bytes, doc_id: str, text: str) -> Da
         ends = np.cumsum([len(t) for t in per_doc])
         tokens = np.concatenate(per_doc) if per_doc else np.empty(0, np.uint64)
         hits: dict[int, list[tuple[int, int, int]]] = {}
-        for mask in range(len(MASKS)):
+        for mask in masks:
             hashes = seeds(tokens, mask)
             at = passing(hashes, bits)
             owner = np.searchsorted(ends, at, side="right")
-            inside = at + len(MASKS[mask]) <= ends[owner] if len(at) else np.empty(0, bool)
+            inside = at + len(ALL_MASKS[mask]) <= ends[owner] if len(at) else np.empty(0, bool)
             for d, i, h in zip(owner[inside].tolist(), at[inside].tolist(), hashes[at[inside]].view(np.int64).tolist(), strict=True):
                 hits.setdefault(d, []).append((i, mask, h))
         if not hits:
@@ -236,8 +250,9 @@ def find_leaks(
     that agree, the word position of the overlap, and text_key (a hash of the text)."""
     small_batches(docs.sparkSession)
     items, item_seeds = _item_seeds(benchmark, item_id, text)
+    masks = sorted(r["mask"] for r in item_seeds.select("mask").distinct().collect())  # at most one row a mask
     stretches = stage(
-        _document_hits(docs, _filter(item_seeds), doc_id, text).withColumn("stretch", F.monotonically_increasing_id()),
+        _document_hits(docs, _filter(item_seeds), masks, doc_id, text).withColumn("stretch", F.monotonically_increasing_id()),
         "stretches",
     )
     hits = stretches.select("stretch", F.inline("hits"))

@@ -1,9 +1,12 @@
+import math
 import random
 import re
+from itertools import combinations
 
 import numpy as np
+import pytest
 
-from placewise.llm.decontaminate import MASKS, aligned_overlap, drop_leaks, find_leaks
+from placewise.llm.decontaminate import ALL_MASKS, MASKS, aligned_overlap, drop_leaks, find_leaks, item_masks
 
 from .conftest import ROWS
 
@@ -72,3 +75,35 @@ def test_odd_inputs(spark, odd_docs, no_docs):
     none = items.limit(0)
     assert find_leaks(odd_docs, none).count() == 0 and find_leaks(no_docs, items).count() == 0
     assert drop_leaks(odd_docs, none).count() == len(ROWS)
+
+
+@pytest.mark.parametrize("size", range(6, 14))
+def test_every_allowed_pattern_has_a_hit(size):
+    agree = math.ceil(round(0.7 * size, 9))
+    masks = [ALL_MASKS[m] for m in item_masks(size)]
+    spots = [{s + i for i, c in enumerate(m) if c == "1"} for m in masks for s in range(size - len(m) + 1)]
+    patterns = list(combinations(range(size), size - agree))
+    assert [p for p in patterns if not any(spot.isdisjoint(p) for spot in spots)] == []
+    assert size != 13 or len(patterns) == 286
+
+
+def test_spread_substitutions_are_found(spark):
+    rng = random.Random(7)
+    words = [f"word{i}" for i in range(5000)]
+    pick = lambda n: [rng.choice(words) for _ in range(n)]
+    items = {size: pick(size) for size in [*range(6, 14), 20, 60]}
+    changes = []
+    for size in range(6, 14):
+        allowed = size - math.ceil(round(0.7 * size, 9))
+        changes += [(size, set(c)) for c in combinations(range(size), allowed)]
+    changes += [(size, set(range(phase, size, 4))) for size in (20, 60) for phase in range(4)]
+    docs = []
+    for i, (size, gone) in enumerate(changes):
+        passage = [f"new{i}x{at}" if at in gone else w for at, w in enumerate(items[size])]
+        docs.append((i, " ".join(pick(30) + passage + pick(30))))
+    found = find_leaks(
+        spark.createDataFrame(docs, "doc_id long, text string"),
+        spark.createDataFrame([(n, " ".join(p)) for n, p in items.items()], "item_id long, text string"),
+    )
+    met = {(r["doc_id"], r["item_id"]): r["n_words"] for r in found.collect()}
+    assert all(met.get((i, size), 0) >= size - len(gone) for i, (size, gone) in enumerate(changes))
