@@ -4,11 +4,13 @@
    markup: inside navigation, header, footer, sidebar, notice, advert, form, comment or hidden elements; inside an article;
    inside a main element; inside a container named as content; or open.
 2. Pages of a host are sorted by URL path and each is paired with the neighbour that shares more leading path
-   segments (the one before on a tie). Sorting is by range over (host, path), so a hot host is spread; the ends of
-   the ranges are matched through a table of one row per range.
+   segments (the one before on a tie). Neighbours that are copies (``COPY`` of the characters outside boilerplate
+   elements are shared, on either page) form a run, and a page is paired with the nearest page before or after its run.
+   Sorting is by range over (host, path), so a hot host is spread; the ends of the ranges are matched through tables of
+   one row per range.
 3. The lines of a pair are aligned by longest common subsequence on their hashes, and shared lines are deleted -
-   except lines inside an article or main element: copies of an article, or passages that many articles quote, are
-   shared too and are article text. Lines of boilerplate elements are deleted, shared or not.
+   except lines inside an article or main element: passages that many articles quote are shared too and are article
+   text. Two copies delete nothing from each other. Lines of boilerplate elements are deleted, shared or not.
 4. What is left of the best place (article, then main, then named container, then open lines) is the text.
 
 Defined results: a null or empty page, or one without text, gives the empty text; a null URL, or a host with one page,
@@ -24,7 +26,7 @@ from html import unescape
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from placewise.session import stage
@@ -58,6 +60,8 @@ CONTENT_NAMES = frozenset(
 )
 
 BOILERPLATE, ARTICLE, MAIN, NAMED, OPEN = range(5)
+#: Share of the characters outside boilerplate elements from which on a shared page is a copy.
+COPY = 0.9
 
 _TAG = re.compile(
     r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z))""",
@@ -237,13 +241,25 @@ def _last_row(a: list[int], b: list[int]) -> list[int]:
 _KEY = ["k1", "k2"]
 
 
+def is_copy(a: list[int], a_sizes: list[int], b: list[int], b_sizes: list[int]) -> bool:
+    """Whether one of two pages, given by the hashes of their lines and their characters that count, is nearly all in the other."""
+
+    def most(x: list[int], sizes: list[int], y: list[int], other: list[int]) -> bool:
+        there = {h for h, n in zip(y, other, strict=True) if n}
+        return sum(n for h, n in zip(x, sizes, strict=True) if h in there) >= COPY * sum(sizes)
+
+    return most(a, a_sizes, b, b_sizes) or most(b, b_sizes, a, a_sizes)
+
+
 def _line_hashes(keyed: DataFrame) -> DataFrame:
-    """(k1, k2, host, path, hashes): one small row per page."""
+    """(k1, k2, host, path, hashes, sizes): one small row per page. Lines of boilerplate elements have the size 0."""
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
-        hashes = [[xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in page_lines(h)] for h in batch.column("html").to_pylist()]
-        kept = [batch.column(c) for c in ("k1", "k2", "host", "path")]
-        return pa.RecordBatch.from_arrays([*kept, pa.array(hashes, pa.list_(pa.int64()))], ["k1", "k2", "host", "path", "hashes"])
+        pages = [page_lines(h) for h in batch.column("html").to_pylist()]
+        hashes = pa.array([[xxhash.xxh64_intdigest(t) - (1 << 63) for t, _ in p] for p in pages], pa.list_(pa.int64()))
+        sizes = pa.array([[len(t) if k != BOILERPLATE else 0 for t, k in p] for p in pages], pa.list_(pa.int32()))
+        kept = ("k1", "k2", "host", "path")
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), hashes, sizes], [*kept, "hashes", "sizes"])
 
     rows = keyed.select(
         "k1",
@@ -252,7 +268,7 @@ def _line_hashes(keyed: DataFrame) -> DataFrame:
         F.regexp_extract("url", r"^[A-Za-z][\w+.-]*://[^/?#]*([^?#]*)", 1).alias("path"),
         "html",
     )
-    return map_batches(rows, digest, "k1 long, k2 long, host string, path string, hashes array<long>")
+    return map_batches(rows, digest, "k1 long, k2 long, host string, path string, hashes array<long>, sizes array<int>")
 
 
 def _shared_segments(a: Column, b: Column) -> Column:
@@ -262,51 +278,98 @@ def _shared_segments(a: Column, b: Column) -> Column:
     return F.when(differs > 0, differs - 1).otherwise(F.size(same))
 
 
+def _run_starts(sliced: DataFrame, order: WindowSpec, met: DataFrame) -> DataFrame:
+    """The rows of ``sliced`` without their lines, with ``start``: whether the page before, in order, is no copy of it."""
+    lines = F.struct("host", "hashes", "sizes")
+    ends = sliced.groupBy("slice").agg(F.max_by(lines, F.struct("host", "path", *_KEY)).alias("end"))
+    before = met.select("slice", F.col("previous").alias("at")).join(ends.select(F.col("slice").alias("at"), "end"), "at").drop("at")
+    rows = sliced.withColumn("prior", F.lag(lines).over(order)).join(before, "slice", "left")
+    prior = F.coalesce("prior", "end")
+    names = ["k1", "k2", "host", "path", "slice"]
+
+    def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
+        columns = (batch.column(c).to_pylist() for c in ("hashes", "sizes", "others", "other_sizes"))
+        start = [y is None or not is_copy(x, n, y, m) for x, n, y, m in zip(*columns, strict=True)]
+        return pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(start, pa.bool_())], [*names, "start"])
+
+    pairs = rows.withColumn("prior", F.when(prior["host"] == F.col("host"), prior)).select(
+        *names, "hashes", "sizes", F.col("prior.hashes").alias("others"), F.col("prior.sizes").alias("other_sizes")
+    )
+    return stage(map_batches(pairs, compare, "k1 long, k2 long, host string, path string, slice int, start boolean"), "runs")
+
+
 def nearest_pages(pages: DataFrame) -> DataFrame:
-    """(k1, k2, p1, p2): each page's neighbour by path within its host. Pages without one are left out."""
+    """(k1, k2, p1, p2): each page's neighbour by path within its host, beyond the run of copies it stands in; within the run if the
+    host has no other page. Pages without one are left out. Without the columns ``hashes`` and ``sizes`` no page is a copy."""
     place = ["host", "path", *_KEY]
+    lines = [c for c in ("hashes", "sizes") if c in pages.columns]
     sliced = stage(
-        pages.where(F.coalesce(F.col("host"), F.lit("")) != "").select(*place).distinct().repartitionByRange(*place).withColumn(
+        pages.where(F.coalesce(F.col("host"), F.lit("")) != "").select(*place, *lines).dropDuplicates(place).repartitionByRange(*place).withColumn(
             "slice", F.spark_partition_id()
         ),
         "slices",
     )
     own = F.struct(*place)
     order = Window.partitionBy("slice").orderBy(*place)
-    ends = sliced.groupBy("slice").agg(F.min(own).alias("first"), F.max(own).alias("last"))
     along = Window.orderBy("first")  # one row per range of the sort: as many as partitions
-    met = ends.select("slice", F.lag("last").over(along).alias("before_slice"), F.lead("first").over(along).alias("after_slice"))
+    ends = sliced.groupBy("slice").agg(F.min(own).alias("first"), F.max(own).alias("last"))
+    met = ends.select(
+        "slice", "first", F.lag("slice").over(along).alias("previous"), F.lag("last").over(along).alias("before_slice"), F.lead("first").over(along).alias("after_slice")
+    )
+    runs = _run_starts(sliced, order, met) if lines else sliced.withColumn("start", F.lit(True))
     around = (
-        sliced.withColumns({"before": F.lag(own).over(order), "after": F.lead(own).over(order)})
+        runs.withColumns({"before": F.lag(own).over(order), "after": F.lead(own).over(order)})
         .join(met, "slice")
         .withColumns({"before": F.coalesce("before", "before_slice"), "after": F.coalesce("after", "after_slice")})
     )
+    # The page before the start of the own run, and the start of the next run; a run may go on over several slices.
+    back = Window.partitionBy("slice").orderBy(*[F.col(c).desc() for c in place])
+    edge = F.when(F.col("start"), F.struct(F.col("before").alias("page")))
+    seen = around.withColumns({
+        "outer_before": F.last(edge, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+        "outer_after": F.last(F.when(F.col("start"), own), ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)),
+    })
+    states = seen.groupBy("slice", "first").agg(
+        F.max_by("outer_before", own).alias("ending"), F.min(F.when(F.col("start"), own)).alias("opening")
+    )
+    carried = states.select(
+        "slice",
+        F.last("ending", ignorenulls=True).over(along.rowsBetween(Window.unboundedPreceding, -1)).alias("ending"),
+        F.last("opening", ignorenulls=True).over(Window.orderBy(F.col("first").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("opening"),
+    )
+    outer = seen.join(carried, "slice").withColumns(
+        {"outer_before": F.coalesce("outer_before", "ending")["page"], "outer_after": F.coalesce("outer_after", "opening")}
+    )
 
     def near(side: str) -> Column:
         return F.when(F.col(f"{side}.host") == F.col("host"), _shared_segments(F.col("path"), F.col(f"{side}.path"))).otherwise(F.lit(-1))
 
-    chosen = around.withColumns({"b": near("before"), "a": near("after")}).where((F.col("b") >= 0) | (F.col("a") >= 0))
-    partner = F.when(F.col("a") > F.col("b"), F.col("after")).otherwise(F.col("before"))
-    return chosen.select(*_KEY, partner.alias("partner")).select(
+    def nearer(before: str, after: str) -> Column:
+        found = F.when(near(after) > near(before), F.col(after)).otherwise(F.col(before))
+        return F.when((near(before) >= 0) | (near(after) >= 0), found)
+
+    partner = F.coalesce(nearer("outer_before", "outer_after"), nearer("before", "after"))
+    return outer.select(*_KEY, partner.alias("partner")).where("partner is not null").select(
         *_KEY, F.col("partner.k1").alias("p1"), F.col("partner.k2").alias("p2")
     )
 
 
 def shared_lines(pages: DataFrame) -> DataFrame:
-    """(k1, k2, shared): positions of the lines that a page has in common with its partner, in order."""
+    """(k1, k2, shared, copy): positions of the lines that a page has in common with its partner, in order, and whether the two are
+    copies."""
     lines = stage(_line_hashes(pages).dropDuplicates(_KEY), "lines")
     pairs = nearest_pages(lines)
-    other = lines.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("hashes").alias("others"))
-    both = pairs.join(other, ["p1", "p2"]).join(lines.select(*_KEY, "hashes"), _KEY).select(*_KEY, "hashes", "others")
+    other = lines.select(F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("hashes").alias("others"), F.col("sizes").alias("other_sizes"))
+    names = ["hashes", "sizes", "others", "other_sizes"]
+    both = pairs.join(other, ["p1", "p2"]).join(lines.select(*_KEY, "hashes", "sizes"), _KEY).select(*_KEY, *names)
 
     def align(batch: pa.RecordBatch) -> pa.RecordBatch:
-        pairs = zip(batch.column("hashes").to_pylist(), batch.column("others").to_pylist(), strict=True)
-        found = [common_subsequence(a, b) for a, b in pairs]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("k1"), batch.column("k2"), pa.array(found, pa.list_(pa.int32()))], ["k1", "k2", "shared"]
-        )
+        rows = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
+        found = pa.array([common_subsequence(a, b) for a, _, b, _ in rows], pa.list_(pa.int32()))
+        copy = pa.array([is_copy(*row) for row in rows], pa.bool_())
+        return pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), found, copy], ["k1", "k2", "shared", "copy"])
 
-    return map_batches(both, align, "k1 long, k2 long, shared array<int>")
+    return map_batches(both, align, "k1 long, k2 long, shared array<int>, copy boolean")
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -319,12 +382,12 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     keyed = named.withColumns({"k1": F.xxhash64("page_id", "url", "html"), "k2": F.xxhash64("html", F.lit("2"), "url", "page_id")})
     found = stage(shared_lines(keyed), "shared")
     # The pages move once, by hash, at any size; only the small side is held in memory.
-    rows = keyed.join(found.hint("shuffle_hash"), _KEY, "left").select("page_id", "url", "html", "shared")
+    rows = keyed.join(found.hint("shuffle_hash"), _KEY, "left").select("page_id", "url", "html", "shared", "copy")
 
     def extract(batch: pa.RecordBatch) -> pa.RecordBatch:
         shared = batch.column("shared").to_pylist()
-        pages = zip(batch.column("html").to_pylist(), shared, strict=True)
-        texts = [main_text(page_lines(h), set(s or ())) for h, s in pages]
+        pages = zip(batch.column("html").to_pylist(), shared, batch.column("copy").to_pylist(), strict=True)
+        texts = [main_text(page_lines(h), set() if copy else set(s or ())) for h, s, copy in pages]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("page_id"),

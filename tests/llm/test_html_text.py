@@ -121,3 +121,39 @@ def test_odd_inputs(spark):
     assert texts[1] == texts[2] == texts[5] == "" and texts[None] == "x" and texts[3].count("word") == 20_000
     assert extract_main_text(pages.limit(0)).count() == 0
     assert BOILERPLATE == 0
+
+
+def texts(spark, rows):
+    found = extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    return {r["page_id"]: r["text"] for r in found}
+
+
+def test_copied_pages_without_article_keep_their_text(spark):
+    def page(body, at=""):
+        return f"<body><div>Welcome to our site</div><div class='post-content'><p>{body}</p></div><div>All about us {at}</div></body>"
+
+    body = "The same passage in every copy, long enough to be most of the page. " * 3
+    copies = [(i, f"http://h.example/a/1?utm_source={i}", page(body)) for i in range(40)]
+    copies += [(40 + i, "http://h.example/a/1", page(body, i)) for i in range(5)]
+    assert set(texts(spark, copies).values()) == {body.strip()}
+    plain = [(i, u, h.replace(" class='post-content'", "")) for i, u, h in copies]
+    assert all(body.strip() in t for t in texts(spark, plain).values())
+    # A page of other content behind the run of copies: its template lines go from every copy, and the text stays.
+    other = "Something else that only this page says, and not one copy of the first. " * 3
+    found = texts(spark, [*plain[:40], (99, "http://h.example/a/2", page(other).replace(" class='post-content'", ""))])
+    assert found.pop(99) == other.strip() and set(found.values()) == {body.strip()}
+
+
+def test_runs_of_copies_are_left_over_slices(spark):
+    rows = [(i, 0, "h.example", f"/a/{i:03}", [1000 if 5 <= i < 95 else i, 2000], [8, 2]) for i in range(100)]
+    mine = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "13"}
+    old = {k: spark.conf.get(k) for k in mine}
+    for k, x in mine.items():
+        spark.conf.set(k, x)
+    try:
+        pages = spark.createDataFrame(rows, "k1 long, k2 long, host string, path string, hashes array<long>, sizes array<int>")
+        got = {r["k1"]: r["p1"] for r in nearest_pages(pages).collect()}
+    finally:
+        for k, x in old.items():
+            spark.conf.set(k, x)
+    assert len(got) == 100 and all(got[i] == 4 for i in range(5, 95)) and got[0] == 1 and got[99] == 98 and got[95] == 94
