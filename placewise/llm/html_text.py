@@ -11,7 +11,12 @@
 3. The lines of a pair are aligned by longest common subsequence on their hashes, and shared lines are deleted -
    except lines inside an article or main element: passages that many articles quote are shared too and are article
    text. Two copies delete nothing from each other. Lines of boilerplate elements are deleted, shared or not.
-4. What is left of the best place (article, then main, then named container, then open lines) is the text.
+4. What is left of the best place (article, then main, then named container, then open lines) is the text. Lines of a main
+   element stay beside those of articles in the page unless they are shared.
+
+A class or id name marks boilerplate as a whole (``sidebar``, ``post-comments``, ``cookie-notice``), not by one word in it
+(``has-sidebar``, ``share-price``), and never for html, body, main and article. Articles inside an element that only its name
+rejects are taken if the page has no other article, main element or named container.
 
 Defined results: a null or empty page, or one without text, gives the empty text; a null URL, or a host with one page,
 has no partner, and only the markup decides; repeated rows (same id, URL and html) share a partner and stay repeated;
@@ -46,20 +51,28 @@ INLINE_TAGS = frozenset(
     "strong sub sup time tt u var wbr".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class or id that mark boilerplate.
+#: Words of class or id names that mark boilerplate, and words that may stand beside them in such a name.
 BOILERPLATE_NAMES = frozenset(
     "ad ads advert adverts advertisement adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
     "disclaimer disqus footer gdpr menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted "
     "promotion related respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar "
     "topbar widget".split()
 )
+NEUTRAL_NAMES = frozenset(
+    "area bar block blocks body bottom box btn button buttons col column container content div footer form global group header holder icons "
+    "inner item items left link links list main message outer page panel post posts primary right secondary section site slot "
+    "stories text title top unit wrap wrapper".split()
+)
+#: Names of elements that hold articles other than the page's own.
+OTHERS_NAMES = frozenset("comment comments commentlist disqus promo promoted promotion related respond sponsor sponsored".split())
+NEVER_BY_NAME = frozenset("html body main article".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 CONTENT_NAMES = frozenset(
     "article article-body article-content articlebody body-text content entry entry-content main main-content maincontent post "
     "post-body post-content story story-body text".split()
 )
 
-BOILERPLATE, ARTICLE, MAIN, NAMED, OPEN = range(5)
+BOILERPLATE, ARTICLE, MAIN, NAMED, OPEN, BY_NAME = range(6)
 #: Share of the characters outside boilerplate elements from which on a shared page is a copy.
 COPY = 0.9
 
@@ -68,6 +81,7 @@ _TAG = re.compile(
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_CONTENT_ELEMENT = re.compile(r"""<(?:article|main)\b|role\s*=\s*["']?main\b""", re.IGNORECASE)
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
 
 
@@ -75,20 +89,31 @@ def _attributes(rest: str) -> dict[str, str]:
     return {name.lower(): unescape(value.strip("\"'")) if value else "" for name, value in _ATTRIBUTE.findall(rest)}
 
 
-def _element_kind(tag: str, rest: str, kind: int) -> int:
-    """The kind of the lines in this element, given the kind around it."""
+def _boilerplate_name(name: str, inside: bool) -> bool:
+    """Whether a class or id name is that of boilerplate as a whole. Headers inside an article are part of it."""
+    parts = [p for p in _NAME_PARTS.split(name) if p and not p.isdigit()]
+    marks = [p in BOILERPLATE_NAMES or (p == "header" and not inside) for p in parts]
+    return any(marks) and all(m or p in NEUTRAL_NAMES for m, p in zip(marks, parts, strict=True))
+
+
+def _element_kind(tag: str, rest: str, kind: int, reopen: bool = False) -> int:
+    """The kind of the lines in this element, given the kind around it; with ``reopen``, elements that their name rejects have the
+    kind BY_NAME, in which articles and main elements count."""
     if kind == BOILERPLATE:
         return kind
     given = _attributes(rest) if rest.strip(" /") else {}
     names = f"{given.get('class', '')} {given.get('id', '')}".lower().split()
-    parts = {p for n in names for p in _NAME_PARTS.split(n)} if names else set()
     role = given.get("role", "").lower()
     hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
     inside = kind in (ARTICLE, MAIN)
     if tag in BOILERPLATE_TAGS and not (tag == "header" and inside):
         return BOILERPLATE
-    if hidden or role in BOILERPLATE_ROLES or parts & BOILERPLATE_NAMES or ("header" in parts and not inside):
+    if hidden or role in BOILERPLATE_ROLES:
         return BOILERPLATE
+    rejected = [] if tag in NEVER_BY_NAME or role == "main" else [n for n in names if _boilerplate_name(n, inside)]
+    if rejected:
+        others = any(p in OTHERS_NAMES for n in rejected for p in _NAME_PARTS.split(n))
+        return BY_NAME if reopen and not inside and not others else BOILERPLATE
     if tag == "article":
         return ARTICLE
     if kind == ARTICLE:
@@ -102,6 +127,15 @@ def _element_kind(tag: str, rest: str, kind: int) -> int:
 
 def page_lines(html: str) -> list[tuple[str, int]]:
     """(text, kind) of every line of the page in order; script and style content is no line."""
+    lines = _lines(html, False)
+    if _CONTENT_ELEMENT.search(html) and not any(k in (ARTICLE, MAIN, NAMED) for _, k in lines):
+        found = _lines(html, True)
+        if any(k in (ARTICLE, MAIN) for _, k in found):
+            return [(t, BOILERPLATE if k == BY_NAME else k) for t, k in found]
+    return lines
+
+
+def _lines(html: str, reopen: bool) -> list[tuple[str, int]]:
     lines: list[tuple[str, int]] = []
     buffer: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements with the kind around them
@@ -133,7 +167,7 @@ def page_lines(html: str) -> list[tuple[str, int]]:
                 kind = stack[open_at][1]
                 del stack[open_at:]
             continue
-        below = _element_kind(tag, match["rest"], kind)
+        below = _element_kind(tag, match["rest"], kind, reopen)
         if tag not in UNSEEN_TAGS and (below != kind or tag not in INLINE_TAGS):
             flush()
         if tag in RAW_TAGS:
@@ -143,7 +177,7 @@ def page_lines(html: str) -> list[tuple[str, int]]:
         if tag not in VOID_TAGS and not match["rest"].rstrip().endswith("/"):
             if tag in ("p", "li") and stack and stack[-1][0] == tag:
                 kind = stack.pop()[1]
-                below = _element_kind(tag, match["rest"], kind)
+                below = _element_kind(tag, match["rest"], kind, reopen)
             stack.append((tag, kind))
             kind = below
     if at < len(html):
@@ -153,10 +187,11 @@ def page_lines(html: str) -> list[tuple[str, int]]:
 
 
 def main_text(lines: list[tuple[str, int]], shared: set[int]) -> str:
-    """The lines of the best place, without shared ones outside article and main elements, joined by one space."""
-    kept = [(t, k) for i, (t, k) in enumerate(lines) if k in (ARTICLE, MAIN) or (k != BOILERPLATE and i not in shared)]
-    best = min((k for _, k in kept), default=OPEN)
-    return " ".join(t for t, k in kept if k == best)
+    """The lines of the best place, without shared ones outside article and main elements, joined by one space. Lines of a main
+    element outside its articles are of the best place too, unless shared."""
+    kept = [(i, t, k) for i, (t, k) in enumerate(lines) if k in (ARTICLE, MAIN) or (k != BOILERPLATE and i not in shared)]
+    best = min((k for _, _, k in kept), default=OPEN)
+    return " ".join(t for i, t, k in kept if k == best or (k == MAIN and best == ARTICLE and i not in shared))
 
 
 # -- alignment -----------------------------------------------------------------

@@ -157,3 +157,30 @@ def test_runs_of_copies_are_left_over_slices(spark):
         for k, x in old.items():
             spark.conf.set(k, x)
     assert len(got) == 100 and all(got[i] == 4 for i in range(5, 95)) and got[0] == 1 and got[99] == 98 and got[95] == 94
+
+
+LAYOUTS = {
+    "<body class='single has-sidebar'><p>Body</p></body>": "Body",
+    "<body class='sidebar'><nav>x</nav><article>Body</article></body>": "Body",
+    "<div class='content with-sidebar'><article><p>Body</p></article></div>": "Body",
+    "<article class='post comment-open'><p>Body</p></article>": "Body",
+    "<article><p>One</p><p class='share-price'>Two</p><p class='share-buttons'>Tweet</p></article>": "One Two",
+    "<div class='widget'><h2>Widget</h2><article>Body</article></div><p>Other</p>": "Body",
+    "<div id='widget'><div role='main'>Body</div></div>": "Body",
+    "<div class='post-content'>Body</div><section class='comments'><article>I disagree</article></section>": "Body",
+    "<p>Body</p><div class='related-posts'><article>Teaser</article></div>": "Body",
+    "<div class='widget'><article>Teaser</article></div><article>Body</article>": "Body",
+    "<main><p>Intro</p><article>Body</article><div class='widget-area'>Side</div></main>": "Intro Body",
+    "<main><p>Body</p><article>Teaser</article></main><footer>End</footer>": "Body Teaser",
+    "<div class='social-links'>x</div><div class='site-footer'>y</div><p>Body</p>": "Body",
+}
+
+
+@pytest.mark.parametrize("html", LAYOUTS)
+def test_names_of_boilerplate_are_whole_names(html):
+    assert text_of(html) == LAYOUTS[html]
+
+
+def test_shared_lines_of_main_go_beside_an_article():
+    lines = page_lines("<main><p>Intro</p><p>Site line</p><article>Body</article></main>")
+    assert main_text(lines, {1, 2}) == "Intro Body"
