@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from placewise.functions.geo import cell as cell_of, haversine_km
-from placewise.functions.numbers import hash_draw, round_to
+from placewise.functions.numbers import round_to
 from placewise.operators import profiles as pr
 from placewise.operators import trip_stats as ts
 from placewise.operators.history import last_n_array
@@ -171,11 +171,10 @@ _EXAMPLE_SQL = f"{draw('fewshot', 'user_a', 'user_b')} % 4 <> 0"
            t=by_level(lambda g: join_sql([pair_body("enriched", g), q(tx.FRIENDSHIP_QUESTION)]), _PAIR_FROM, "user_a, user_b, label")))
 def _(spark, sf):
     rows = pair_rows(spark, sf)
-    # Examples come from one part of the pairs and requests from the other, so no request shows its own answer.
-    example = F.pmod(hash_draw("fewshot", *pairs.PAIR), F.lit(4)) != 0
-    examples = balanced(rows.filter(example), "label", pairs.PAIR, _SHOTS, "shot")
+    # Every pair that is no example is asked, so no request shows its own answer.
+    examples = balanced(rows, "label", pairs.PAIR, _SHOTS, "shot")
     prefix = tx.few_shot_prefix(examples, "enriched", "shot")
-    texts = tx.friendship_texts(rows.filter(~example), ["user_a", "user_b", "label"], "enriched")
+    texts = tx.friendship_texts(rows.join(examples.select(*pairs.PAIR), pairs.PAIR, "left_anti"), ["user_a", "user_b", "label"], "enriched")
     return tx.with_few_shots(texts, prefix).select("user_a", "user_b", "label", "level", "text")
 
 

@@ -465,6 +465,16 @@ def test_few_shot_examples_are_not_asked(spark):
         assert r["text"].split("--- Now predict for this new pair ---")[1].strip().rsplit("\n\n", 1)[0] not in shown
 
 
+def test_few_shot_requests_of_every_other_pair(spark):
+    from catalog import texts
+    from catalog.registry import all_queries
+
+    sf = "/root/testdata/sf0.001"
+    asked = all_queries()["few_shot_texts"].build(spark, sf).where("level = 'G4'").select("user_a", "user_b").collect()
+    known = {(r["user_a"], r["user_b"]) for r in texts.pair_rows(spark, sf).collect()}
+    assert len(asked) == len(set(asked)) == len(known) - texts._SHOTS and {tuple(r) for r in asked} < known
+
+
 def test_rolling_runs_are_few_and_cover_all_batches(spark, tmp_path):
     from placewise.streaming.rolling import RollingState, runs_after
 
