@@ -18,7 +18,7 @@ from .roles import PARTS, part, sql
 from .staged import staged
 
 SEED = "places"
-N_TRAIN, N_TEST = 50, 200
+N_TRAIN, N_TEST = 1000, 200
 
 
 def mine(spark, sf):

@@ -475,6 +475,13 @@ def test_few_shot_requests_of_every_other_pair(spark):
     assert len(asked) == len(set(asked)) == len(known) - texts._SHOTS and {tuple(r) for r in asked} < known
 
 
+def test_next_place_training_is_not_cut_to_fifty_users(spark):
+    from catalog import next_place
+
+    users = next_place.cases(spark, "/root/testdata/sf0.01").filter("split = 'train'").select("user_id").distinct().count()
+    assert next_place.N_TRAIN == 1000 and 50 < users <= 1000
+
+
 def test_rolling_runs_are_few_and_cover_all_batches(spark, tmp_path):
     from placewise.streaming.rolling import RollingState, runs_after
 
