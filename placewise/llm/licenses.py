@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from functools import reduce
 from itertools import product
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,6 +86,13 @@ SENTENCES = (
 VERBS = ("Licensed", "Released", "Distributed", "Made available")
 THINGS = ("work", "program", "project", "software", "file", "document", "article", "text")
 
+# Lines of the standard headers that name their license.
+HEADERS = (
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License");'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'),
+    ("MPL-2.0", "License, v. 2.0. If a copy of the MPL was not distributed with this"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+)
 # Entire license texts without their copyright lines.
 TEXTS = {
     "MIT": """MIT License
@@ -115,6 +123,9 @@ Permission is granted to anyone to use this software for any purpose, including
 3. This notice may not be removed or altered from any source distribution.""",
 }
 
+#: And those of the data folder, as their authors publish them.
+TEXTS |= {p.stem: p.read_text("utf-8") for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+
 
 # -- canonical form ------------------------------------------------------------
 
@@ -137,7 +148,7 @@ def canonical_sql(text: str) -> str:
 
 def notice_rows() -> list[tuple[str, str]]:
     """(license id, notice) by rule: every sentence with every name, and the identifier lines."""
-    rows = []
+    rows = list(HEADERS)
     for license_id, names in NAMES:
         for sentence, verb, thing, name in product(SENTENCES, VERBS, THINGS, names):
             rows.append((license_id, sentence.format(verb=verb.lower(), thing=thing, name=name)))

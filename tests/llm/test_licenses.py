@@ -58,3 +58,12 @@ def test_odd_inputs(spark, odd_docs, no_docs):
     assert scan_licenses(odd_docs, nothing, nothing).where("license_id is not null or n_notices > 0").count() == 0
     plan = scan_licenses(odd_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_whole_texts_and_header_lines(spark):
+    ids = ["Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "CC0-1.0", "BSD-2-Clause", "BSD-3-Clause", "Unlicense"]
+    rows = [(i, TEXTS[x].replace(" ", "  ")) for i, x in enumerate(ids)]
+    rows += [(100, 'Code.\n# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file')]
+    found = {r["doc_id"]: r for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [found[i]["license_id"] for i in range(len(ids))] == ids
+    assert found[100]["notice_ids"] == "Apache-2.0"
