@@ -16,6 +16,7 @@ from .decontaminate import find_leaks
 from .html_text import extract_main_text
 from .licenses import scan_licenses, scan_sql
 from .packing import digest_packed, pack_tokens, write_packed
+from .periodic_runs import collapse_runs, digest_runs, planted_periods, runs_sql
 from .quality_rules import apply_quality_rules
 from .secrets import scan_secrets
 from .simhash import near_duplicates
@@ -68,6 +69,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_runs(collapse_runs(planted_periods(table(spark, sf_dir, "documents"))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
@@ -79,6 +84,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_toxicity": op10_toxicity,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_license_scan": scan_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": scan_sql(),
+    "op12_periodic_runs": runs_sql(),
+}
