@@ -13,6 +13,7 @@ from .byte_bpe import round_trip
 from .common import table
 from .cotraining import fit_quality, score_quality
 from .decontaminate import find_leaks
+from .filter_audit import audit_filters, audit_sql
 from .html_text import extract_main_text
 from .licenses import scan_licenses, scan_sql
 from .packing import digest_packed, pack_tokens, write_packed
@@ -73,6 +74,10 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_runs(collapse_runs(planted_periods(table(spark, sf_dir, "documents"))))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_license_scan": op2_license_scan,
@@ -85,9 +90,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_toxicity": op10_toxicity,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": scan_sql(),
     "op12_periodic_runs": runs_sql(),
+    "op13_filter_audit": audit_sql(),
 }
