@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from placewise.session import scratch_path
 
@@ -20,6 +21,7 @@ from .packing import digest_packed, pack_tokens, write_packed
 from .periodic_runs import collapse_runs, digest_runs, planted_periods, runs_sql
 from .quality_rules import apply_quality_rules
 from .secrets import scan_secrets
+from .sharding import assign_shards
 from .simhash import near_duplicates
 from .toxicity import fit_toxicity, score_toxicity
 
@@ -70,6 +72,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The law is equal bytes; a record's slot is its place in its shard."""
+    rows = assign_shards(table(spark, sf_dir, "documents"), scratch_path(spark, "slot_map"), shards=40)
+    return rows.select(
+        "doc_id",
+        "size",
+        "text_crc32",
+        F.lit("bytes").alias("law"),
+        "shard",
+        F.col("place").alias("slot"),
+        F.lit(None).cast("int").alias("grown_shard"),
+        "virtual_slot",
+    )
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_runs(collapse_runs(planted_periods(table(spark, sf_dir, "documents"))))
 
@@ -89,6 +106,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_toxicity": op10_toxicity,
+    "op11_sharding": op11_sharding,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_filter_audit": op13_filter_audit,
 }

@@ -11,7 +11,7 @@ from .test_simhash import plain_components, plain_fingerprint
 
 def test_operators_and_the_pipeline_are_registered():
     names = queries()
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in (*range(1, 11), 12)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(QUERIES) | {"pipeline"} <= set(names) and set(ORACLE_SQL) <= set(oracle_sql())
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "secrets", "tokens"]
 
