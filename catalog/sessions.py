@@ -131,43 +131,35 @@ def _(spark, sf):
     )
 
 
-def rolling(spark, sf):
-    """The state after all micro-batches of the check-ins, and the last batch's number."""
+def drained(spark, sf, stream_of):
+    """The checkpoint of a stream that has read all check-ins in about five micro-batches."""
     from placewise.session import scratch_path
-    from placewise.streaming.rolling import RollingState
+    from placewise.streaming import rolling
 
     rows = roles.checkins(spark, sf)
-    source = scratch_path(spark, "stream-input")
+    source, checkpoint = scratch_path(spark, "stream-input"), scratch_path(spark, "rolling")
     rows.write.option("maxRecordsPerFile", 2000).parquet(source)
     n_files = len(spark.read.schema(rows.schema).parquet(source).inputFiles())
-    state = RollingState(spark, scratch_path(spark, "rolling"))
-    last = []
-
-    def merge(batch, batch_id):
-        state.merge_batch(batch, batch_id)
-        last.append(batch_id)
-
-    # About five micro-batches, whatever the size of the input.
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, n_files // 5)).parquet(source)
-    run = stream.writeStream.foreachBatch(merge).option(
-        "checkpointLocation", scratch_path(spark, "rolling-checkpoint")
-    ).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return state, max(last)
+    rolling.start(stream_of(stream), checkpoint).awaitTermination()
+    return checkpoint
 
 
 @query("rolling_popularity", "ST2 A20",
        sql("checkins", "select location_id, count(*) as popularity from checkins group by 1"))
 def _(spark, sf):
-    """Counts kept by merging one micro-batch after another."""
-    state, last = rolling(spark, sf)
-    return state.popularity(last).withColumn("popularity", F.col("popularity").cast("long"))
+    """Counts in the state of a streaming count."""
+    from placewise.streaming.rolling import popularity_stream, read_popularity
+
+    return read_popularity(spark, drained(spark, sf, popularity_stream))
 
 
 @query("rolling_last_checkins", "ST2 W1",
        sql("checkins", """select user_id, event_id, location_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as r
   from checkins) where r<=5"""))
 def _(spark, sf):
-    """The last five check-ins of every user, kept in the same way."""
-    state, last = rolling(spark, sf)
-    return state.recent(last).select("user_id", "event_id", "location_id")
+    """The last five check-ins of every user, in a list state."""
+    from placewise.streaming.rolling import last_rows_stream, read_last_rows
+
+    checkpoint = drained(spark, sf, lambda rows: last_rows_stream(rows.select("user_id", "ts", "event_id", "location_id")))
+    return read_last_rows(spark, checkpoint).select("user_id", "event_id", "location_id")

@@ -1,78 +1,111 @@
-"""Popularity counts and last-N rows per key, kept up to date batch by batch."""
+"""Popularity counts and last-N rows per key over a stream, in the state that Spark keeps.
+
+The streams are Spark's own stateful operators: a streaming count, and a ``StatefulProcessor`` with a list state. Checkpoints,
+recovery and exactly-once updates are Spark's; a query started again on its checkpoint goes on where it stopped.
+The current state is read with the ``statestore`` source, so no output table has to be kept up to date for it.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+import heapq
+from collections.abc import Iterator, Sequence
+from itertools import chain
+from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.types import StructType
+
+#: List state needs this state store.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = "last_rows"
+
+
+def popularity_stream(visits: DataFrame, place: str = "location_id") -> DataFrame:
+    """Visits per place so far. A batch updates the places it holds; counts are added up before the shuffle."""
+    return visits.groupBy(place).agg(F.count(F.lit(1)).alias("popularity"))
+
+
+def trim(batch: pa.RecordBatch, key: str, order: Sequence[str], n: int) -> pa.RecordBatch:
+    """The last ``n`` rows of every key in a batch."""
+    codes = batch.column(key).dictionary_encode(null_encoding="encode").indices
+    table = pa.table([codes, *(batch.column(c) for c in order)], names=["key", *(f"o{i}" for i in range(len(order)))])
+    sorting = [("key", "ascending"), *((f"o{i}", "descending") for i in range(len(order)))]
+    at = pc.sort_indices(table, sort_keys=sorting).to_numpy()
+    keys = codes.to_numpy()[at]
+    starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else keys
+    rank = np.arange(len(keys)) - np.repeat(starts, np.diff(np.append(starts, len(keys))))
+    return batch.take(pa.array(np.sort(at[rank < n])))
+
+
+class LastRows(StatefulProcessor):
+    """Keeps the last ``n`` rows of a key in a list state and returns them after every batch that changed them.
+
+    With ``forget_ms`` the rows of a key are dropped after that time without a new one, so that keys which never
+    return do not stay in the state.
+    """
 
-from placewise.operators.history import last_n
+    def __init__(self, schema: StructType, order: Sequence[str], n: int, forget_ms: int | None):
+        self.schema, self.order, self.n, self.forget_ms = schema, list(order), n, forget_ms
 
-Run = tuple[int, int]
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.rows = handle.getListState(STATE, self.schema, self.forget_ms)
 
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        at = [self.schema.names.index(c) for c in self.order]
+        # A missing order value comes before all others, as in an ascending sort.
+        place = lambda row: tuple((row[i] is not None, row[i]) if row[i] is not None else (False,) for i in at)
+        known = [tuple(r) for r in self.rows.get()]
+        kept = heapq.nlargest(self.n, chain(known, (tuple(r) for r in rows)), key=place)
+        if sorted(known, key=place) != kept[::-1]:
+            self.rows.put(kept)
+            row = Row(*self.schema.names)
+            yield from (row(*r) for r in kept)
 
-def runs_after(batch_id: int) -> list[Run]:
-    """Ranges of batches whose states are kept after a batch: the powers of two that make up the number of batches."""
-    left, start, out = batch_id + 1, 0, []
-    while left:
-        size = 1 << (left.bit_length() - 1)
-        out.append((start, start + size))
-        start, left = start + size, left - size
-    return out
+    def close(self) -> None:
+        pass
 
 
-class RollingState:
-    """Counts per place and last rows per user under ``path``, as a few runs of Parquet tables.
+def last_rows_stream(
+    rows: DataFrame, n: int = 5, key: str = "user_id", order: Sequence[str] = ("ts", "event_id"), forget_ms: int | None = None
+) -> DataFrame:
+    """The last ``n`` rows per key; update mode returns all rows of every key that a batch changed.
 
-    ``merge_batch`` is meant for ``writeStream.foreachBatch``. A batch writes one run: its own counts, merged with
-    the runs of equal or smaller size before it. A row is so rewritten a logarithmic number of times, not in every batch,
-    and a read adds up at most as many runs as the number of batches has binary digits. A batch that is run again
-    after a failure reads the same runs and gives the same result; runs that neither the last batch nor this one needs are
-    deleted.
+    Every task keeps only the last ``n`` rows of a key in each of its Arrow batches before the shuffle, so a key with a large
+    part of all rows sends few of them.
     """
+    schema = rows.schema
+
+    def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (trim(batch, key, order, n) for batch in batches)
+
+    mode = "None" if forget_ms is None else "ProcessingTime"
+    return rows.mapInArrow(trimmed, schema).groupBy(key).transformWithState(
+        LastRows(schema, order, n, forget_ms), outputStructType=schema, outputMode="Update", timeMode=mode
+    )
+
+
+def start(stream: DataFrame, checkpoint: str, **trigger: Any) -> StreamingQuery:
+    """Run a stream for its state alone; ``trigger`` as in ``writeStream.trigger`` (all that is there, then stop, if not given).
+
+    Writers that need the changes use ``stream.writeStream.outputMode("update").foreachBatch(...)`` instead.
+    """
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    writer = stream.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_popularity(spark: SparkSession, checkpoint: str, place: str = "location_id") -> DataFrame:
+    """Visits per place as of the last finished batch."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return state.select(F.col(f"key.{place}").alias(place), F.col("value.count").alias("popularity"))
+
 
-    def __init__(self, spark: SparkSession, path: str, n: int = 5, key: str = "user_id",
-                 place: str = "location_id", order: Sequence[str] = ("ts", "event_id")) -> None:
-        self.spark, self.path, self.n = spark, path.rstrip("/"), n
-        self.key, self.place, self.order = key, place, list(order)
-
-    def _table(self, name: str, run: Run) -> str:
-        return f"{self.path}/{name}/from={run[0]:08d}-to={run[1]:08d}"
-
-    def _read(self, name: str, runs: Sequence[Run]) -> list[DataFrame]:
-        return [self.spark.read.parquet(self._table(name, run)) for run in runs]
-
-    def _counts(self, parts: Sequence[DataFrame]) -> DataFrame:
-        return reduce(DataFrame.unionByName, parts).groupBy(self.place).agg(F.sum("popularity").alias("popularity"))
-
-    def _latest(self, parts: Sequence[DataFrame]) -> DataFrame:
-        return last_n(reduce(DataFrame.unionByName, parts), [self.key], self.order, self.n).drop("rn")
-
-    def merge_batch(self, batch: DataFrame, batch_id: int) -> None:
-        now = runs_after(batch_id)
-        before = runs_after(batch_id - 1) if batch_id else []
-        absorbed = [run for run in before if run not in now]
-        counted = batch.select(self.place, F.lit(1).cast("long").alias("popularity"))
-        tables = {
-            "popularity": self._counts([counted, *self._read("popularity", absorbed)]),
-            "recent": self._latest([batch, *self._read("recent", absorbed)]),
-        }
-        for name, table in tables.items():
-            table.write.mode("overwrite").parquet(self._table(name, now[-1]))
-        if batch_id > 1:
-            self._delete([run for run in runs_after(batch_id - 2) if run not in before and run not in now])
-
-    def _delete(self, runs: Sequence[Run]) -> None:
-        hadoop = self.spark.sparkContext._jsc.hadoopConfiguration()
-        for run in runs:
-            for name in ("popularity", "recent"):
-                folder = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self._table(name, run))
-                folder.getFileSystem(hadoop).delete(folder, True)
-
-    def popularity(self, batch_id: int) -> DataFrame:
-        return self._counts(self._read("popularity", runs_after(batch_id)))
-
-    def recent(self, batch_id: int) -> DataFrame:
-        return self._latest(self._read("recent", runs_after(batch_id)))
+def read_last_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """The kept rows of all keys as of the last finished batch."""
+    state = spark.read.format("statestore").option("stateVarName", STATE).load(checkpoint)
+    return state.select("list_element.*")

@@ -482,23 +482,49 @@ def test_next_place_training_is_not_cut_to_fifty_users(spark):
     assert next_place.N_TRAIN == 1000 and 50 < users <= 1000
 
 
-def test_rolling_runs_are_few_and_cover_all_batches(spark, tmp_path):
-    from placewise.streaming.rolling import RollingState, runs_after
-
-    for b in range(70):
-        runs = runs_after(b)
-        assert runs[0][0] == 0 and runs[-1][1] == b + 1 and len(runs) <= 7
-        assert all(x[1] == y[0] for x, y in zip(runs, runs[1:], strict=False))
-    state = RollingState(spark, str(tmp_path / "state"), n=2)
+def _halves(spark, folder):
+    """Check-ins in two files, the second with later rows, earlier rows and a new user."""
     rows = [(u, p, t, 10 * t + u) for t in range(9) for u in (1, 2) for p in (u * t % 3,)]
+    rows += [(7, 1, t, 1000 + t) for t in range(400)] + [(3, 2, 5, 999), (None, 0, 1, 998)]
     schema = "user_id int, location_id int, ts int, event_id int"
-    for b in range(6):
-        batch = spark.createDataFrame(rows[3 * b : 3 * b + 3], schema)
-        state.merge_batch(batch, b)
-        state.merge_batch(batch, b)  # a batch that is run again changes nothing
-        seen = rows[: 3 * b + 3]
-        counts = {r["location_id"]: r["popularity"] for r in state.popularity(b).collect()}
-        assert counts == {p: sum(r[1] == p for r in seen) for p in {r[1] for r in seen}}
-        latest = {(r["user_id"], r["event_id"]) for r in state.recent(b).collect()}
-        assert latest == {(u, r[3]) for u in (1, 2) for r in sorted((x for x in seen if x[0] == u), key=lambda x: x[2])[-2:]}
-    assert len(list((tmp_path / "state" / "recent").iterdir())) <= 4
+    parts = [[r for i, r in enumerate(rows) if i % 3 == 1], [r for i, r in enumerate(rows) if i % 3 != 1]]
+    return rows, [lambda p=p: spark.createDataFrame(p, schema).coalesce(1).write.mode("append").parquet(folder) for p in parts], schema
+
+
+def test_rolling_state_goes_on_after_a_restart(spark, tmp_path):
+    from placewise.streaming.rolling import last_rows_stream, popularity_stream, read_last_rows, read_popularity, start
+
+    source = str(tmp_path / "in")
+    rows, writes, schema = _halves(spark, source)
+    seen = 0
+    for write in writes:
+        write()
+        stream = spark.readStream.schema(schema).parquet(source)
+        start(popularity_stream(stream), str(tmp_path / "counts")).awaitTermination()
+        start(last_rows_stream(stream, 3), str(tmp_path / "rows")).awaitTermination()
+        now = read_popularity(spark, str(tmp_path / "counts")).collect()
+        assert sum(r["popularity"] for r in now) > seen
+        seen = sum(r["popularity"] for r in now)
+    assert {r["location_id"]: r["popularity"] for r in now} == {p: sum(r[1] == p for r in rows) for p in range(3)}
+    wanted = {r for u in {r[0] for r in rows} for r in sorted((x for x in rows if x[0] == u), key=lambda x: (x[2], x[3]))[-3:]}
+    found = [tuple(r) for r in read_last_rows(spark, str(tmp_path / "rows")).collect()]
+    assert set(found) == wanted and len(found) == len(wanted)
+    # Nothing new: the same state after one more start.
+    start(last_rows_stream(spark.readStream.schema(schema).parquet(source), 3), str(tmp_path / "rows")).awaitTermination()
+    assert {tuple(r) for r in read_last_rows(spark, str(tmp_path / "rows")).collect()} == wanted
+
+
+def test_rolling_changes_reach_a_writer(spark, tmp_path):
+    from placewise.streaming.rolling import ROCKSDB, last_rows_stream
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    source, out = str(tmp_path / "in"), []
+    rows, writes, schema = _halves(spark, source)
+    for write in writes:
+        write()
+    stream = last_rows_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), 2)
+    query = stream.writeStream.outputMode("update").foreachBatch(lambda b, i: out.append([tuple(r) for r in b.collect()])).option(
+        "checkpointLocation", str(tmp_path / "state")
+    ).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(out) == 2 and {(7, 1, 399, 1399), (7, 1, 398, 1398)} <= {r for b in out for r in b}
