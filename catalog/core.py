@@ -63,6 +63,24 @@ def draw(seed: str, *parts: str) -> str:
     return f"('0x'||substr({key(seed, *parts)},1,8))::BIGINT"
 
 
+def permuted(index: str, size: str, seed: str, *parts: str) -> str:
+    """Twin of the keyed permutation: the same rounds as list folds."""
+    digests = f"({key(seed, *parts)}||{key(seed + '+', *parts)})"
+    words = [f"('0x'||substr({digests},{8 * i + 1},8))::BIGINT" for i in range(6)]
+    bits = f"greatest(length(bin(({size})::BIGINT-1)),6)"
+    mixed = "((s.r+k)%2147483648*1597334677%2147483648)"
+
+    def once(x: str) -> str:
+        high, low = f"(1::BIGINT<<({bits}//2))", f"(1::BIGINT<<(({bits}+1)//2))"
+        return (
+            f"list_transform([list_reduce([{','.join(words)}], lambda s, k: {{'l': s.r, 'r': xor(s.l, ({mixed}*{mixed}>>20)%s.w), "
+            f"'w': s.v, 'v': s.w}}, {{'l': ({x})//{low}, 'r': ({x})%{low}, 'w': {high}, 'v': {low}}})], lambda z: z.l*{low}+z.r)[1]"
+        )
+
+    start = once(f"({index})::BIGINT")
+    return f"list_reduce(range(1,64), lambda x, _: case when x>=({size}) then {once('x')} else x end, {start})"
+
+
 def cell(expr: str, places: int) -> str:
     return f"round(({expr})*{10**places})::INTEGER"
 

@@ -13,7 +13,7 @@ from placewise.plans.levels import feature_names
 
 from . import roles
 from . import visits as v
-from .core import cell, draw, hav, key, query, region_label, rnd
+from .core import cell, hav, key, permuted, query, region_label, rnd
 from .roles import PARTS, part, sql
 from .staged import staged
 
@@ -56,14 +56,16 @@ part("npool", ("mine", "nvenues"), f"""select user_id, m.location_id as truth, s
   count(*) over (partition by user_id) as n from mine m join nvenues s on abs({cell('s.lat',1)}-{cell('m.latitude',1)})<=1
   and abs({cell('s.lon',1)}-{cell('m.longitude',1)})<=1 where rn=1""")
 part("nready", ("npool",), """select user_id, count(*) filter (location_id<>truth) as n_candidates from npool group by 1""")
-part("nchosen", ("nready",), f"""select user_id, case when k<={N_TRAIN} then 'train' else 'test' end as split from (select user_id,
-  row_number() over (order by {key(SEED,'user_id')}, user_id) as k from nready where n_candidates>=19) where k<={N_TRAIN+N_TEST}""")
-part("ncases", ("nchosen", "npool", "mine"), f"""select split, user_id, location_id, latitude as lat, longitude as lon, 1 as label
+part("nchosen", ("nready",), f"""select user_id, case when k<=least(n,{N_TRAIN+N_TEST})*{N_TRAIN}//{N_TRAIN+N_TEST} then 'train' else 'test' end as split
+  from (select user_id, row_number() over (order by {key(SEED,'user_id')}, user_id) as k, count(*) over () as n from nready
+  where n_candidates>=19) where k<={N_TRAIN+N_TEST}""")
+part("ncases", ("nchosen", "npool", "mine"), f"""with probes as (select user_id, n, {permuted('j','n',SEED,'user_id')} as pos
+  from (select *, unnest(range(least(20,n))) as j from (select distinct user_id, n from npool) semi join nchosen using (user_id)))
+  select split, user_id, location_id, latitude as lat, longitude as lon, 1 as label
   from mine join nchosen using (user_id) where rn=1 union all
   select split, user_id, location_id, lat, lon, 0 from (select *, row_number() over (partition by user_id
-  order by {key(SEED,'user_id','location_id')}, location_id) as k from nchosen join npool p using (user_id)
-  where location_id<>truth and exists (select 1 from range(0,20) t(j) where j<least(20,p.n)
-  and p.pos=({draw(SEED,'user_id')} % p.n + (j*p.n)//least(20,p.n)) % p.n)) where k<=19""")
+  order by {key(SEED,'user_id','location_id')}, location_id) as k from nchosen join npool p using (user_id) join probes using (user_id, pos)
+  where location_id<>truth) where k<=19""")
 part("hist", ("mine", "nchosen"), "select * exclude (rn) from mine join nchosen using (user_id) where rn>1")
 # The profile steps again, over the histories.
 for _step in ("centre", "region_of", "profile"):

@@ -13,7 +13,7 @@ from placewise.plans.levels import feature_names
 
 from . import roles
 from . import visits as v
-from .core import cell, draw, hav, key, query, ratio, rnd
+from .core import cell, draw, hav, key, permuted, query, ratio, rnd
 from .roles import part, sql
 from .staged import staged
 
@@ -124,11 +124,11 @@ def _(spark, sf):
 def non_friends_sql(group: list[str], n: int) -> dict[str, str]:
     """Steps ``walk`` and ``neg`` over the placed users in step ``idx``: all pairs of a group in the seeded order, no cap."""
     g = "".join(f"{c}, " for c in group)
-    start = draw(SEED, *group) if group else draw(SEED, "'all'")
+    place = permuted("j", "pairs", SEED, *(group or ["'all'"]))
     turn = draw(SEED + "o", *group) if group else "0"
     return {
         "pools": f"select {g}max(n)*(max(n)-1)//2 as pairs from idx group by all",
-        "walk": f"""select *, (({plan.PAIR_PRIME}::HUGEINT*j+{start}%pairs)%pairs)::BIGINT as k, {turn} as o
+        "walk": f"""select *, {place} as k, {turn} as o
   from (select *, unnest(range(pairs)) as j from pools where pairs>0)""",
         "spots": "select *, k-yy*(yy-1)//2 as xx from (select *, (case when y0*(y0-1)//2>k then y0-1 when y0*(y0+1)//2<=k then y0+1 else y0 end) as yy"
         " from (select *, floor((1+sqrt(1+8*k::DOUBLE))/2)::BIGINT as y0 from walk))",

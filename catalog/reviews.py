@@ -13,7 +13,7 @@ from placewise.plans import reviews as plan
 from placewise.plans.levels import feature_names
 
 from . import roles
-from .core import draw, hav, key, query, ratio, rnd
+from .core import draw, hav, key, permuted, query, ratio, rnd
 from .roles import part, sql
 from .staged import staged
 
@@ -174,7 +174,7 @@ def _(spark, sf):
 part("bcand", ("rtest", "rranked", "biz"), f"""with mine as (select * from rranked where user_id in (select user_id from rtest)),
   idx as (select business_id, row_number() over (order by {key(SEED,'business_id')}, business_id)-1 as pos, count(*) over () as n from biz),
   sized as (select user_id, least(count(distinct business_id)+19, (select max(n) from idx)) as m from mine group by 1),
-  probes as (select user_id, ({draw(SEED,'user_id')} % n + (j*n)//m) % n as pos from sized, (select max(n) as n from idx), range(0,5000) t(j) where j<m),
+  probes as (select user_id, {permuted('j','n',SEED,'user_id')} as pos from (select *, unnest(range(m)) as j from sized, (select max(n) as n from idx))),
   neg as (select user_id, business_id, row_number() over (partition by user_id order by {key(SEED,'user_id','business_id')}, business_id) as k
   from probes join idx using (pos) where not exists (select 1 from mine x where x.user_id=probes.user_id and x.business_id=idx.business_id)),
   enough as (select user_id from neg where k=19),

@@ -11,7 +11,7 @@ from placewise.streaming.sessions import closed_sessions
 
 from . import roles
 from . import visits as v
-from .core import draw, key, query
+from .core import key, permuted, query
 from .roles import part, sql
 from .staged import staged
 
@@ -83,9 +83,9 @@ part("tcases", ("stops", "sess", "checkins"), f"""with chosen as (select user_id
   idx as (select location_id, row_number() over (order by {key(SEED,'location_id')}, location_id)-1 as pos, count(*) over () as n from (select distinct location_id from checkins)),
   sized as (select t.*, inside, n, n-inside>=19 as strict, least((case when n-inside>=19 then inside else 1 end)+19, n) as m from truths t join
   (select user_id, session_no, count(distinct location_id) as inside from mine group by all) using (user_id, session_no), (select max(n) as n from idx)),
+  probes as (select *, {permuted('j','n',SEED,'user_id','session_no')} as pos from (select *, unnest(range(m)) as j from sized)),
   neg as (select s.user_id, s.session_no, i.location_id, row_number() over (partition by s.user_id, s.session_no
-  order by {key(SEED,'s.user_id','s.session_no','i.location_id')}, i.location_id) as k from sized s join idx i on i.location_id<>truth
-  and exists (select 1 from range(0,200) r(j) where j<m and i.pos=({draw(SEED,'s.user_id','s.session_no')} % s.n + (j*s.n)//m) % s.n)
+  order by {key(SEED,'s.user_id','s.session_no','i.location_id')}, i.location_id) as k from probes s join idx i on i.location_id<>truth and i.pos=s.pos
   where not (strict and exists (select 1 from mine x where x.user_id=s.user_id and x.session_no=s.session_no and x.location_id=i.location_id))),
   both_sides as (select user_id, session_no, truth as location_id, 1 as label from truths union all select user_id, session_no, location_id, 0 from neg where k<=19)
   select *, (row_number() over (partition by user_id, session_no order by {key(SEED,'user_id','session_no','location_id')}, location_id)-1)::INTEGER as pos from both_sides""")

@@ -17,7 +17,7 @@ from placewise.plans.levels import LEVELS
 
 from . import next_place, pairs, reviews, roles, sessions, trips
 from . import visits as v
-from .core import cell, draw, fix, hav, key, query, region_label, rnd
+from .core import cell, fix, hav, key, query, region_label, rnd
 from .roles import part, sql
 from .staged import staged
 
@@ -157,15 +157,13 @@ for _tier in ("venue_id", "latlng", "enriched"):
 _SHOTS = 4
 
 
-_EXAMPLE_SQL = f"{draw('fewshot', 'user_a', 'user_b')} % 4 <> 0"
-
-
 @query("few_shot_texts", "X5b T8",
        sql(_PAIR_NEEDS, f"""select t.user_a, t.user_b, t.label, level, concat_ws({NL}, 'Here are '||n||' labeled examples:'||{NL}, shown, '--- Now predict for this new pair ---', text) as text
   from t join (select level, count(*) as n, string_agg('--- Example '||i||' ---'||{NL}||body||{NL}||'Answer: '||case when label=1 then 'Yes' else 'No' end||{NL}, {NL} order by i) as shown
   from (select *, row_number() over (partition by level order by {key('shot','user_a','user_b')}, body) as i from (
-  select *, row_number() over (partition by level, label order by {key('shot','user_a','user_b')}, user_a, user_b) as rn from b where {_EXAMPLE_SQL})
-  where rn<={_SHOTS//2}) group by 1) using (level) where not ({_EXAMPLE_SQL})""",
+  select *, row_number() over (partition by level, label order by {key('shot','user_a','user_b')}, user_a, user_b) as rn from b)
+  where rn<={_SHOTS//2}) group by 1) using (level) anti join (select user_a, user_b from (select *, row_number() over (partition by level, label
+  order by {key('shot','user_a','user_b')}, user_a, user_b) as rn from b) where rn<={_SHOTS//2}) using (user_a, user_b)""",
            **pair_steps(),
            b=by_level(lambda g: pair_body("enriched", g), _PAIR_FROM, "user_a, user_b, label").replace(" as text", " as body"),
            t=by_level(lambda g: join_sql([pair_body("enriched", g), q(tx.FRIENDSHIP_QUESTION)]), _PAIR_FROM, "user_a, user_b, label")))

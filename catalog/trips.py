@@ -17,7 +17,7 @@ from placewise.plans.levels import feature_names
 from placewise.session import stage
 
 from . import roles
-from .core import cell, draw, fix, hav, key, query, rnd
+from .core import cell, draw, fix, hav, key, permuted, query, rnd
 from .roles import part, sql
 from .staged import staged
 
@@ -85,7 +85,7 @@ def cases_sql(source: str, n_candidates: int) -> dict[str, str]:
         "sized": f"""select q.trip_id as query_id, pu_zone as origin_zone, do_zone as truth, pickup_hour, pickup_dow,
   case when (select count(*) from open_zones z where z.borough=o.borough and z.zone_id not in (q.pu_zone,q.do_zone)) >= {w}
   then o.borough else '*' end as pool from queries q join open_zones o on o.zone_id=q.pu_zone""",
-        "probes": f"""select s.*, ({draw(SEED,'query_id')} % n + (j*n)//least({w+2},n)) % n as pos from sized s
+        "probes": f"""select s.*, {permuted('j','n',SEED,'query_id')} as pos from sized s
   join (select distinct pool, n from pool) using (pool), range(0,{w+2}) t(j) where j < least({w+2},n)""",
         "kept": f"""select *, row_number() over (partition by query_id order by {key(SEED,'query_id','zone_id')}, zone_id) as rn
   from probes join pool using (pool, pos) where zone_id not in (truth, origin_zone)""",

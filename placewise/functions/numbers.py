@@ -81,3 +81,46 @@ def hash_draw(seed: str, *parts: ColumnLike) -> Column:
 def hash_unit(seed: str, *parts: ColumnLike) -> Column:
     """Reproducible number in ``[0, 1)``."""
     return hash_draw(seed, *parts) / F.lit(float(HASH_SPACE))
+
+
+#: Rounds of a keyed permutation, and steps of its walk back into range (it leaves with probability under a half).
+PERMUTATION_ROUNDS, PERMUTATION_WALK = 6, 64
+#: Least bits of its range: smaller halves would not mix. A walk in 2**6 numbers ends within 64 steps.
+PERMUTATION_BITS = 6
+
+
+def permutation_keys(seed: str, *parts: ColumnLike) -> Column:
+    """Round keys of the permutation that belongs to a case."""
+    digests = F.concat(hash_key(seed, *parts), hash_key(f"{seed}+", *parts))
+    words = (F.conv(F.substring(digests, 8 * i + 1, 8), 16, 10).cast("long") for i in range(PERMUTATION_ROUNDS))
+    return F.array(*words)
+
+
+def permuted(index: ColumnLike, size: ColumnLike, keys: ColumnLike) -> Column:
+    """Where a keyed permutation of ``0 .. size - 1`` sends ``index``; ``size`` is below 2**60.
+
+    A Feistel network over the smallest power of two (64 at least) that holds ``size`` numbers, walked along its cycle until
+    it is back in range. Different keys give unrelated permutations, so the first m places of a case are m draws without replacement,
+    independent of those of any other case.
+    """
+    size, start, keys = as_col(size).cast("long"), as_col(index).cast("long"), as_col(keys)
+    bits = F.greatest(F.length(F.bin(size - 1)), F.lit(PERMUTATION_BITS))
+    high, low = (F.pow(F.lit(2.0), half).cast("long") for half in (F.floor(bits / 2), F.ceil(bits / 2)))
+
+    def turn(state: Column, key: Column) -> Column:
+        mixed = (state["right"] + key) % F.lit(1 << 31) * F.lit(1597334677) % F.lit(1 << 31)
+        # The middle of a square follows all bits of its root.
+        square = F.shiftright(mixed * mixed, 20) % state["wide"]
+        return F.struct(
+            state["right"].alias("left"), state["left"].bitwiseXOR(square).alias("right"),
+            state["narrow"].alias("wide"), state["wide"].alias("narrow"),
+        )
+
+    def once(x: Column) -> Column:
+        right = x % low
+        left = ((x - right) / low).cast("long")  # exact: the difference ends in zeros
+        parts = F.struct(left.alias("left"), right.alias("right"), high.alias("wide"), low.alias("narrow"))
+        return F.aggregate(keys, parts, turn, lambda s: s["left"] * low + s["right"])
+
+    walk = F.sequence(F.lit(2), F.lit(PERMUTATION_WALK))
+    return F.aggregate(walk, once(start), lambda x, _: F.when(x >= size, once(x)).otherwise(x))

@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placewise.functions.numbers import ColumnLike, as_col, hash_draw, hash_key
+from placewise.functions.numbers import ColumnLike, as_col, hash_draw, hash_key, permutation_keys, permuted
 from placewise.session import stage
 
 SLOT_DIGITS = 3
@@ -113,6 +113,23 @@ def split_bands(df: DataFrame, key: Sequence[str], sizes: dict[str, int], seed:
     return placed.withColumn("split", label).drop("_pos", "_size")
 
 
+def split_in_proportion(df: DataFrame, key: Sequence[str], sizes: dict[str, int], seed: str) -> DataFrame:
+    """Slices as in ``split_bands``; where there are fewer rows than the sum of ``sizes``, every slice shrinks in proportion.
+
+    So no slice of a small input is empty because those before it took all rows.
+    """
+    total = sum(sizes.values())
+    taken = take_shuffled(df, key, total, seed)
+    placed = shuffled_position(taken, key, seed, out="_pos", size_out="_size")
+    label: Column | None = None
+    upper = 0
+    for name, size in sizes.items():
+        upper += size
+        condition = F.col("_pos") < F.expr(f"_size * {upper} div {total}")
+        label = F.when(condition, name) if label is None else label.when(condition, name)
+    return placed.withColumn("split", label).drop("_pos", "_size")
+
+
 def balanced(df: DataFrame, label: str, key: Sequence[str], n: int, seed: str) -> DataFrame:
     """``n/2`` rows of each label value. Only the hash slots of a label up to its last wanted row are ranked,
     each for itself, so labels of any size are safe."""
@@ -169,26 +186,21 @@ def explode_range(df: DataFrame, count: str, out: str) -> DataFrame:
 def probe(
     cases: DataFrame, case: Sequence[str], pool_size: str, wanted: ColumnLike, seed: str, out: str = "probe_pos"
 ) -> DataFrame:
-    """Evenly spaced positions in a shuffled pool, from a random start per case.
+    """Random positions in a shuffled pool, drawn without replacement and for every case on its own.
 
     Position -1 is added to every case: it stands for the true candidate, so that
     truths and negatives come from one pass over the cases.
 
     ``wanted`` is the number of candidates plus the number of pool members that
-    may have to be thrown out again, so enough always survive; positions are
-    distinct, and when ``wanted`` reaches the pool size they are the whole pool.
+    may have to be thrown out again, so enough always survive; the positions are the first ones of a permutation keyed by
+    the case, and when ``wanted`` reaches the pool size they are the whole pool.
     The cost per case is what it needs, never the pool.
     """
-    with_count = cases.withColumn(
-        "_m", F.least(as_col(wanted).cast("long"), F.col(pool_size).cast("long"))
-    ).withColumn("_start", F.pmod(hash_draw(seed, *case), F.greatest(F.col(pool_size), F.lit(1))))
-    with_count = with_count.withColumn("_probes", F.col("_m") + 1)
-    rows = explode_range(with_count, "_probes", "_j").withColumn("_j", F.col("_j") - 1)
-    # Whole-number division keeps the positions exactly distinct.
-    step = F.expr(f"(_j * {pool_size}) div greatest(_m, 1)")
-    spot = F.pmod(F.col("_start") + step, F.greatest(F.col(pool_size), F.lit(1)))
-    spot = F.when(F.col("_j") < 0, F.lit(-1)).otherwise(spot)
-    return rows.withColumn(out, spot.cast("long")).drop("_m", "_start", "_j", "_probes")
+    sized = cases.withColumn("_m", F.least(as_col(wanted).cast("long"), F.col(pool_size).cast("long")))
+    sized = sized.withColumns({"_probes": F.col("_m") + 1, "_keys": permutation_keys(seed, *case)})
+    rows = explode_range(sized, "_probes", "_j").withColumn("_j", F.col("_j") - 1)
+    spot = F.when(F.col("_j") < 0, F.lit(-1).cast("long")).otherwise(permuted("_j", pool_size, "_keys"))
+    return rows.withColumn(out, spot).drop("_m", "_j", "_probes", "_keys")
 
 
 def keep_per_case(

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from placewise.functions.numbers import floored_ratio, hash_draw
+from placewise.functions.numbers import floored_ratio, hash_draw, permutation_keys, permuted
 from placewise.operators.filters import both_ends, without_pairs
 from placewise.operators.pairs import PAIR, pair_category_features, pair_features
 from placewise.operators.sampling import shuffled_position, take_first, take_shuffled
@@ -26,23 +26,17 @@ def positives(edges: DataFrame, users: DataFrame) -> DataFrame:
     return both_ends(pairs, users, "user_id", "user_a", "user_b")
 
 
-#: A prime above every number of pairs: multiplying by it permutes the pair numbers of any pool.
-PAIR_PRIME = 1_000_000_000_000_000_003
 _BLOCK = 1024
 
 
 def _pair_numbers(pools: DataFrame, group: Sequence[str], seed: str) -> DataFrame:
     """Rows (group, _j) to the ``_j``-th pair of the group's pool in a seeded order: positions _x < _y.
 
-    The pairs of a pool of P users are numbered 0 .. P(P-1)/2 - 1; the order is number = prime * j + start modulo their
-    count, which meets every number once.
+    The pairs of a pool of P users are numbered 0 .. P(P-1)/2 - 1; the order is a permutation of the numbers keyed by the group.
     """
-    wide = "decimal(19,0)"
-    start = F.pmod(hash_draw(seed, *group) if group else hash_draw(seed, F.lit("all")), F.col("_pairs"))
-    turned = F.lit(PAIR_PRIME).cast(wide) * F.col("_j").cast(wide) + start.cast(wide)
-    k = F.pmod(turned, F.col("_pairs").cast(wide)).cast("long")
+    keys = permutation_keys(seed, *group) if group else permutation_keys(seed, F.lit("all"))
     y = F.floor((1 + F.sqrt(1 + 8 * F.col("_k").cast("double"))) / 2).cast("long")
-    rows = pools.withColumn("_k", k).withColumn("_y", y)
+    rows = pools.withColumn("_k", permuted("_j", "_pairs", keys)).withColumn("_y", y)
     # The root is a double: put right what it may miss by one.
     below = F.expr("_y * (_y - 1) div 2")
     rows = rows.withColumn("_y", F.when(below > F.col("_k"), F.col("_y") - 1).when(below + F.col("_y") <= F.col("_k"), F.col("_y") + 1).otherwise(F.col("_y")))

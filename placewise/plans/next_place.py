@@ -19,7 +19,7 @@ from placewise.operators.profiles import (
     visit_counts,
     with_category,
 )
-from placewise.operators.sampling import keep_per_case, probe, shuffled_position, split_bands
+from placewise.operators.sampling import keep_per_case, probe, shuffled_position, split_in_proportion
 
 from .levels import feature_names
 
@@ -80,7 +80,7 @@ def next_place_cases(
     checkins: DataFrame, users: DataFrame, n_train: int, n_test: int, seed: str,
     n_negatives: int = N_NEGATIVES,
 ) -> tuple[DataFrame, DataFrame]:
-    """``(cases, history)`` for randomly chosen train and test users.
+    """``(cases, history)`` for randomly chosen train and test users, fewer of both in proportion if the input has too few.
 
     A case row is (split, user, candidate place and point, label). The history
     is everything before each user's last check-in; it is what profiles are built on.
@@ -90,7 +90,7 @@ def next_place_cases(
     last = last.select("user_id", "location_id", "latitude", "longitude")
     venues = first_points(visit_counts(mine))
     ready = pool_sizes(last, venues, seed).filter(F.col("n_candidates") >= n_negatives)
-    chosen = split_bands(ready.select("user_id"), ["user_id"], {"train": n_train, "test": n_test}, seed)
+    chosen = split_in_proportion(ready.select("user_id"), ["user_id"], {"train": n_train, "test": n_test}, seed)
 
     truths = last.join(chosen, "user_id").withColumn("_truth", F.col("location_id"))
     pools, index = neighbour_regions(truths, venues, seed)

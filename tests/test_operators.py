@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from placewise.functions import numbers
 from placewise.operators import compare, evaluate, history, pairs, profiles, sampling, spatial
 from placewise.operators.filters import clean_trips, first_per_key, without_pairs
 from placewise.operators.trip_stats import origin_hour_stats, trip_counts
@@ -264,6 +265,40 @@ def test_probes_are_distinct_and_cover_the_pool_when_wanted(spark):
     assert of(2) == [-1, *range(7)] and of(3) == [-1]
 
 
+def test_keyed_permutations_meet_every_number_once(spark):
+    sizes = [1, 2, 3, 7, 64, 65, 1000]
+    rows = spark.createDataFrame([(c, n) for c in range(4) for n in sizes], "c int, n bigint")
+    rows = rows.withColumn("j", F.explode(F.expr("sequence(0L, n - 1)"))).withColumn("k", numbers.permutation_keys("s", "c", "n"))
+    found = rows.select("c", "n", numbers.permuted("j", "n", "k").alias("p")).collect()
+    for c in range(4):
+        for n in sizes:
+            assert sorted(r["p"] for r in found if (r["c"], r["n"]) == (c, n)) == list(range(n))
+
+
+def test_probes_of_two_cases_are_independent(spark):
+    """Every ordered pair of pool members is met as often as chance says, within a case and across two cases."""
+    pool, cases = 12, 12_000
+    df = spark.range(cases).select(F.col("id").alias("c"), F.lit(pool).cast("long").alias("size"))
+    rows = sampling.probe(df, ["c"], "size", F.lit(2), "s", "pos").where("pos >= 0")
+    sets = rows.groupBy("c").agg(F.sort_array(F.collect_list("pos")).alias("s")).withColumn("other", (F.col("c") / 2).cast("int"))
+    within = sets.groupBy("s").count().collect()
+    wanted = cases / (pool * (pool - 1) / 2)
+    chi = sum((r["count"] - wanted) ** 2 / wanted for r in within)
+    assert len(within) == 66 and chi < 65 + 4 * (2 * 65) ** 0.5
+    across = sets.groupBy("other").agg(F.min_by("s", "c").alias("a"), F.max_by("s", "c").alias("b"))
+    met = across.groupBy(F.size(F.array_intersect("a", "b")).alias("shared")).count().collect()
+    chance = {0: 45 / 66, 1: 20 / 66, 2: 1 / 66}
+    chi = sum((r["count"] - cases / 2 * chance[r["shared"]]) ** 2 / (cases / 2 * chance[r["shared"]]) for r in met)
+    assert chi < 14  # two degrees of freedom
+
+
+def test_slices_shrink_in_proportion(spark):
+    rows = sampling.split_in_proportion(spark.range(77), ["id"], {"train": 1000, "test": 200}, "s").collect()
+    assert len(rows) == 77 and sum(r["split"] == "test" for r in rows) == 13
+    rows = sampling.split_in_proportion(spark.range(100), ["id"], {"a": 30, "b": 50}, "s").collect()
+    assert sum(r["split"] == "a" for r in rows) == 30 and len(rows) == 80
+
+
 def test_long_ranges_are_built_in_blocks(spark):
     df = spark.createDataFrame([(1, 5000)], "k int, n bigint")
     rows = [r["i"] for r in sampling.explode_range(df, "n", "i").collect()]
@@ -480,6 +515,7 @@ def test_next_place_training_is_not_cut_to_fifty_users(spark):
 
     users = next_place.cases(spark, "/root/testdata/sf0.01").filter("split = 'train'").select("user_id").distinct().count()
     assert next_place.N_TRAIN == 1000 and 50 < users <= 1000
+    assert next_place.cases(spark, "/root/testdata/sf0.01").filter("split = 'test'").select("user_id").distinct().count() == 13
 
 
 def _halves(spark, folder):
