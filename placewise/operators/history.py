@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from placewise.functions.numbers import hash_key
+from placewise.session import stage
 
-from .sampling import SLOT_DIGITS
+from .sampling import row_at
 
 
 def last_n(df: DataFrame, key: Sequence[str], order: Sequence[str], n: int, out: str = "rn") -> DataFrame:
@@ -61,44 +65,59 @@ def sessionise(
 
     Rows are worked on in (key, time slice) groups, so a key with a large part of
     all rows still spreads over many tasks. One small row per slice carries its first
-    and last time and its inner breaks; a running sum over those rows gives
-    every slice the number it starts from.
+    and last time, its inner breaks, and the rows before its first and from its last break; sums over those rows give
+    every slice the number it starts from and the lengths of the sessions that reach beyond it. The rows
+    themselves are read twice and shuffled once with all their columns.
     """
     gap = F.expr(f"INTERVAL '{int(gap_hours)}' HOUR")
     sliced = df.withColumn("_slice", F.date_trunc(slice_unit, F.col(ts)).cast("timestamp_ntz"))
     inside = Window.partitionBy(key, "_slice").orderBy(ts, tie)
-    previous = F.lag(ts).over(inside)
-    breaks = sliced.withColumn("_prev", previous).withColumn(
-        "_brk", F.when(F.col(ts) > F.col("_prev") + gap, 1).otherwise(0)
+    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
+
+    def broken(rows: DataFrame) -> DataFrame:
+        breaks = F.when(F.col(ts) > F.lag(ts).over(inside) + gap, 1).otherwise(0)
+        return rows.withColumn("_brk", breaks).withColumn("_run", F.sum("_brk").over(so_far))
+
+    numbers = _slice_sessions(broken(sliced.select(key, "_slice", ts, tie)), key, ts, inside, gap)
+    joined = broken(sliced).join(numbers, [key, "_slice"])
+    fragment = Window.partitionBy(key, "_slice", "_run")
+    length = (
+        F.when(F.col("_run") == 0, F.col("_head_rows"))
+        .when(F.col("_run") == F.col("_inner"), F.col("_tail_rows"))
+        .otherwise(F.count(F.lit(1)).over(fragment))
     )
-    slices = breaks.groupBy(key, "_slice").agg(
-        F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.sum("_brk").alias("_inner")
+    numbered = joined.withColumn(out, (F.col("_base") + F.col("_run")).cast("long"))
+    if min_length > 1:
+        numbered = numbered.withColumn("_length", length).filter(F.col("_length") >= min_length)
+    return numbered.select(*df.columns, out)
+
+
+def _slice_sessions(breaks: DataFrame, key: str, ts: str, inside: WindowSpec, gap: Column) -> DataFrame:
+    """One row per (key, slice): the number its first session has, its breaks, and the whole lengths of its first and last session."""
+    at_break = F.when(F.col("_brk") == 1, F.col("_at"))
+    slices = breaks.withColumn("_at", F.row_number().over(inside)).groupBy(key, "_slice").agg(
+        F.min(ts).alias("_first"), F.max(ts).alias("_last"), F.sum("_brk").alias("_inner"), F.count(F.lit(1)).alias("_n"),
+        F.min(at_break).alias("_first_break"), F.max(at_break).alias("_last_break"),
     )
     across = Window.partitionBy(key).orderBy("_slice")
-    slices = slices.withColumn("_before", F.lag("_last").over(across)).withColumn(
-        "_head",
-        F.when(F.col("_before").isNull() | (F.col("_first") > F.col("_before") + gap), 1).otherwise(0),
+    before = F.lag("_last").over(across)
+    starts = F.when(before.isNull() | (F.col("_first") > before + gap), 1).otherwise(0)
+    total = F.sum(F.col("_starts") + F.col("_inner")).over(across.rowsBetween(Window.unboundedPreceding, 0))
+    slices = slices.withColumn("_starts", starts).withColumn("_base", total - F.col("_inner"))
+    head = F.struct(
+        F.lit(True).alias("head"), F.col("_base").alias("no"), F.coalesce(F.col("_first_break") - 1, F.col("_n")).alias("rows")
     )
-    total = F.sum(F.col("_head") + F.col("_inner")).over(
-        across.rowsBetween(Window.unboundedPreceding, 0)
+    tail = F.struct(
+        F.lit(False).alias("head"), (F.col("_base") + F.col("_inner")).alias("no"),
+        F.coalesce(F.col("_n") - F.col("_last_break") + 1, F.lit(0)).alias("rows"),
     )
-    slices = slices.select(key, "_slice", (total - F.col("_inner")).alias("_base"))
-    running = F.sum("_brk").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    numbered = (
-        breaks.withColumn("_run", running)
-        .join(slices, [key, "_slice"])
-        .withColumn(out, (F.col("_base") + F.col("_run")).cast("long"))
-        .drop("_slice", "_prev", "_brk", "_run", "_base")
+    pieces = slices.select(key, "_slice", "_base", "_inner", F.explode(F.array(head, tail)).alias("_piece"))
+    whole = F.sum("_piece.rows").over(Window.partitionBy(key, "_piece.no"))
+    return pieces.withColumn("_whole", whole).groupBy(key, "_slice").agg(
+        F.max("_base").alias("_base"), F.max("_inner").alias("_inner"),
+        F.max(F.when(F.col("_piece.head"), F.col("_whole"))).alias("_head_rows"),
+        F.max(F.when(~F.col("_piece.head"), F.col("_whole"))).alias("_tail_rows"),
     )
-    if min_length <= 1:
-        return numbered
-    long_enough = (
-        numbered.groupBy(key, out)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") >= min_length)
-        .select(key, out)
-    )
-    return numbered.join(long_enough, [key, out], "left_semi")
 
 
 def chronological_split(
@@ -111,76 +130,44 @@ def chronological_split(
 ) -> DataFrame:
     """Cut the global time order at ``floor(n * share)`` rows, exactly.
 
-    The cut rows are found level by level: days, then the seconds of the days that
-    hold a cut, then the microseconds of those seconds, then hash slots of those
-    microseconds. Each sorted table is bounded by the calendar or the number of
-    slots, and all rows outside a cut group are placed by their group
-    alone. Rows of one timestamp fall in the order of a hash of the ``tie`` columns,
-    so even a timestamp shared by very many rows spreads over the slots.
+    Rows are counted per hour, a table bounded by the calendar. Only the rows of the hours that hold a cut are put in order
+    (by time, then a hash of the ``tie`` columns, so even a timestamp shared by very many rows spreads over the ranges of the
+    sort), and the row at each cut is found there. Every other row is labelled by comparing it with those few rows,
+    without a shuffle. Rows without a time are not counted and belong to ``rest``; rows equal in time and ``tie`` stay on one side.
     """
-    names = [name for name, _ in shares]
-    cuts = [f"_cut{i}" for i in range(len(shares))]
-    micros = F.unix_micros(F.col(ts).cast("timestamp"))
-    levels = ["_day", "_sec", "_us", "_slot"]
-    rows = df.withColumns(
-        {
-            "_day": F.floor(micros / F.lit(86_400_000_000)).cast("int"),
-            "_sec": F.pmod(F.floor(micros / F.lit(1_000_000)), F.lit(86_400)).cast("int"),
-            "_us": F.pmod(micros, F.lit(1_000_000)).cast("int"),
-            "_hash": hash_key("order", *tie),
-        }
-    ).withColumn("_slot", F.substring("_hash", 1, SLOT_DIGITS))
-
-    def inside_cut(before: Column, size: Column) -> Column:
-        test = F.lit(False)
-        for c in cuts:
-            test = test | ((before < F.col(c)) & (F.col(c) < before + size))
-        return test
-
-    def place(counts: DataFrame, depth: int) -> DataFrame:
-        """Rows before each group of this depth, and whether a cut lies inside it."""
-        w = Window.partitionBy(*levels[:depth]).orderBy(levels[depth]).rowsBetween(Window.unboundedPreceding, 0)
-        before = F.col("_base") + F.sum("_n").over(w) - F.col("_n")
-        placed = counts.withColumn("_before", before)
-        return placed.withColumn("_inside", inside_cut(F.col("_before"), F.col("_n")))
-
-    def only_cut(groups: DataFrame, depth: int) -> DataFrame:
-        keys = levels[: depth + 1]
-        return groups.filter("_inside").select(*keys, F.col("_before").alias("_base"), *cuts)
-
-    seconds = rows.groupBy("_day", "_sec").agg(F.count(F.lit(1)).alias("_n"))
-    days = seconds.groupBy("_day").agg(F.sum("_n").alias("_n"))
-    total = F.sum("_n").over(Window.partitionBy())
-    share_sum = 0.0
-    for c, (_, share) in zip(cuts, shares):
+    hour = F.date_trunc("HOUR", F.col(ts).cast("timestamp"))
+    hours = stage(df.filter(F.col(ts).isNotNull()).groupBy(hour.alias("_hour")).agg(F.count(F.lit(1)).alias("_n")), "hours")
+    whole = Window.orderBy("_hour").rowsBetween(Window.unboundedPreceding, 0)  # one row per hour of the calendar
+    total = hours.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    cuts, share_sum = [], 0.0
+    for _, share in shares:
         share_sum += share
-        days = days.withColumn(c, F.floor(total * F.lit(share_sum)))
-    days = place(days.withColumn("_base", F.lit(0)), 0)
-    seconds = place(seconds.join(only_cut(days, 0), levels[:1]), 1)
-    fine = rows.join(only_cut(seconds, 1), levels[:2]).groupBy(*levels, "_base", *cuts).agg(
-        F.count(F.lit(1)).alias("_n")
-    )
-    instants = place(fine.groupBy(*levels[:3], "_base", *cuts).agg(F.sum("_n").alias("_n")), 2)
-    slots = place(fine.drop("_base", *cuts).join(only_cut(instants, 2), levels[:3]), 3)
-
-    placed = rows
-    for depth, groups in enumerate((days, seconds, instants, slots)):
-        keys = levels[: depth + 1]
-        extra = cuts if depth == 0 else []
-        found = groups.select(
-            *keys, F.col("_before").alias(f"_before{depth}"), F.col("_inside").alias(f"_inside{depth}"), *extra
-        )
-        placed = placed.join(found, keys, "left")
-    # Only a slot that holds a cut is ranked row by row.
-    in_cut_slot = F.coalesce(F.col("_inside3"), F.lit(False))
-    spread = F.when(in_cut_slot, F.lit(-1)).otherwise(F.pmod(F.hash("_hash"), F.lit(1024)))
-    within = Window.partitionBy(*levels, spread).orderBy("_hash", *tie)
-    exact = F.when(in_cut_slot, F.row_number().over(within) - 1).otherwise(F.lit(0))
-    rank = F.coalesce("_before3", "_before2", "_before1", "_before0") + exact
-    label: Column | None = None
-    for name, c in zip(names, cuts):
-        label = F.when(rank < F.col(c), name) if label is None else label.when(rank < F.col(c), name)
-    return placed.withColumn(out, label.otherwise(rest)).select(*df.columns, out)
+        cuts.append(math.floor(total * share_sum))
+    placed = hours.withColumn("_before", F.sum("_n").over(whole) - F.col("_n"))
+    # The row at position c is the first one behind the cut; there is none if the cut takes all rows.
+    holds = {c: (F.col("_before") <= c) & (F.lit(c) < F.col("_before") + F.col("_n")) for c in cuts}
+    found = placed.filter(reduce(or_, holds.values())).collect()
+    order = [ts, "_hash"]
+    borders: dict[int, Column | None] = dict.fromkeys(cuts)
+    for r in found:
+        inside = [c for c in borders if r["_before"] <= c < r["_before"] + r["_n"]]
+        # The bounds of the hour are given on the column itself, so that they reach the scan.
+        low = F.lit(r["_hour"]).cast(df.schema[ts].dataType)
+        rows = df.filter((F.col(ts) >= low) & (F.col(ts) < low + F.expr("INTERVAL '1' HOUR")))
+        keyed = rows.withColumn("_hash", hash_key("order", *tie)).select(*order)
+        at = row_at(keyed, order, [c - r["_before"] for c in inside])
+        for c in inside:
+            borders[c] = at[c - r["_before"]]
+
+    def behind(border: Row) -> Column:
+        """Whether a row comes at or after the border row; the hash is taken of rows at its time only."""
+        time = F.lit(border[ts]).cast(df.schema[ts].dataType)
+        return F.when(F.col(ts) != time, F.col(ts) > time).otherwise(hash_key("order", *tie) >= F.lit(border["_hash"]))
+
+    label = F.when(F.col(ts).isNull(), F.lit(rest))
+    for (name, _), c in zip(shares, cuts, strict=True):
+        label = label.when(~behind(borders[c]) if borders[c] is not None else F.lit(True), F.lit(name))
+    return df.withColumn(out, label.otherwise(F.lit(rest)))
 
 
 def streak(items: Column, matches) -> Column:

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from placewise.functions.numbers import ColumnLike, as_col, hash_draw, hash_key, permutation_keys, permuted
@@ -96,6 +96,12 @@ def take_first(df: DataFrame, order: Sequence[str], n: int) -> DataFrame:
     return _range_place(df, order, "_pos", first=n).filter(F.col("_pos") < n).drop("_pos")
 
 
+def row_at(df: DataFrame, order: Sequence[str], positions: Sequence[int]) -> dict[int, Row]:
+    """The rows at these few positions of an explicit order; only the ranges up to the last one are ranked."""
+    placed = _range_place(df, order, "_pos", first=max(positions) + 1)
+    return {r["_pos"]: r for r in placed.filter(F.col("_pos").isin(*positions)).collect()}
+
+
 def split_bands(df: DataFrame, key: Sequence[str], sizes: dict[str, int], seed: str) -> DataFrame:
     """Disjoint slices of one shuffle: the first ``sizes[a]`` rows are ``a``, and so on.
 
