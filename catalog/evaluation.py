@@ -110,17 +110,28 @@ def _(spark, sf):
     )
 
 
-_BORDERS = " + ".join(f"(d>={b})::int" for b in ev.poisson_thresholds())
+def _intervals_sql(rows: str, by: list[str]) -> str:
+    """Intervals of the means of ``v`` (millionths) in ``rows``: one Poisson weight per different value and resample."""
+    g = ", ".join(by)
+    u = [f"('0x'||substr(h,{8 * i + 1},8))::BIGINT/4294967296.0::DOUBLE" for i in range(3)]
+    z = f"(sqrt(-2.0*ln({u[1]}+1/4294967296.0::DOUBLE))*cos(2*pi()*({u[2]})))"
+    small = (
+        f"list_reduce(range(1,151), lambda s, k: {{'p': s.p*(c%64)/k, 'below': s.below+s.p*(c%64)/k, 'n': s.n+(({u[0]})>=s.below)::INTEGER}}, "
+        "{'p': exp(-(c%64)::DOUBLE), 'below': exp(-(c%64)::DOUBLE), 'n': 0}).n"
+    )
+    mean = "(c-c%64)::DOUBLE"
+    large = f"case when c>=64 then floor(greatest({mean}+sqrt({mean})*{z}+({z}*{z}-1)/6,0)+0.5) else 0 end"
+    return f"""select {g}, {rnd('quantile_cont(m,0.025)',6)} as ci_lower, {rnd('quantile_cont(m,0.975)',6)} as ci_upper, count(*) as n_resamples
+  from (select {g}, b, sum(v*w)/nullif(sum(w),0)::DOUBLE/1e6 as m from (select *, ({small}+{large})::BIGINT as w from (
+  select *, {key('boot', *by, 'v', 'b')} as h from (select {g}, v, count(*) as c from ({rows}) where v is not null group by all), range(0,{N_RESAMPLES}) t(b)))
+  group by all) group by all"""
 
 
 @query("bootstrap_interval", "M10",
-       sql("preds", f"""select model, level, {rnd('quantile_cont(m,0.025)',6)} as ci_lower, {rnd('quantile_cont(m,0.975)',6)} as ci_upper, count(*) as n_resamples
-  from (select model, level, b, sum(v*w)/sum(w)::DOUBLE as m from (select *, {_BORDERS} as w from (select model, level, b, (prediction=label)::int as v,
-  {draw('boot','doc_id','b')} as d from preds, range(0,{N_RESAMPLES}) t(b) where prediction is not null)) where w>0 group by all) group by all"""))
+       sql("preds", _intervals_sql("select model, level, round((prediction=label)::int*1e6)::BIGINT as v from preds", ["model", "level"])))
 def _(spark, sf):
-    rows = predictions(spark, sf)
     hit = (F.col("prediction") == F.col("label")).cast("double")
-    return ev.bootstrap_interval(rows, ["doc_id"], hit, N_RESAMPLES, by=["model", "level"])
+    return ev.bootstrap_interval(predictions(spark, sf), hit, N_RESAMPLES, by=["model", "level"])
 
 
 @query("effect_of_enrichment", "M15",
@@ -206,6 +217,22 @@ def _(spark, sf):
     return ev.ranking_metrics(rows, by=["event_type"])
 
 
+_AT = "list_position(ranking,truth_pos)"
+_RANK_VALUES = f"""select event_type as model, 'G'||(event_id%5) as level, unnest([{{'metric': 'acc_at_1', 'x': (coalesce({_AT},0)=1)::int::DOUBLE}},
+  {{'metric': 'acc_at_5', 'x': (coalesce({_AT},0) between 1 and 5)::int::DOUBLE}}, {{'metric': 'mrr', 'x': coalesce(1.0/nullif({_AT},0),0)::DOUBLE}}]) as i
+  from parsed where ranking is not null"""
+
+
+@query("ranking_intervals", "M10 M7",
+       sql("parsed", _intervals_sql(f"select model, level, i.metric as metric, round(i.x*1e6)::BIGINT as v from ({_RANK_VALUES})", ["model", "level", "metric"])))
+def _(spark, sf):
+    """Intervals of every ranking metric per model (the kind of event) and level."""
+    rows = answers(spark, sf).withColumn("ranking", parsing.parse_ranking("answer", 3)).select(
+        F.col("event_type").alias("model"), F.concat(F.lit("G"), F.col("event_id") % 5).alias("level"), "ranking", "truth_pos"
+    )
+    return ev.ranking_intervals(rows, by=["model", "level"], n_resamples=N_RESAMPLES)
+
+
 @query("usage_totals", "A30",
        sql("", "select event_type, sum(event_id%100)::BIGINT as total_tokens, count(*) filter (event_id%4=0) as cached_responses from events group by 1"))
 def _(spark, sf):
@@ -290,6 +317,38 @@ def _(spark, sf):
     return cmp.correlation_summary(cmp.cross_correlations(enriched_pairs(spark, sf), _E, _P))
 
 
+def _level_pairs_sql() -> str:
+    """Correlations of every enrichment with every plain column of a level, from the columns' moments."""
+    named = []
+    for g in LEVELS:
+        own = enriched_names("friendship", g)
+        named += [f"('{g}','{a}|{b}')" for a in own for b in feature_names("friendship", "enriched", g) if b not in own]
+    return f"""f as ({_PAIRS_SQL}), w as (select {', '.join(f'{_corr(a,b)} as "{a}|{b}"' for a in _E for b in _P)} from f),
+  r as (select level, split_part(k,'|',1) as first, split_part(k,'|',2) as second, abs(r) as r from (unpivot w on * into name k value r)
+  join (values {', '.join(named)}) v(level, k) using (k))"""
+
+
+@query("enrichment_redundancy", "A31",
+       f"""with {_level_pairs_sql()} select level, {rnd('avg(r)',4)} as mean_correlation, {rnd('max(r)',4)} as max_correlation,
+  count(*) filter (r>0.3) as pairs_above_03, count(*) filter (r>0.5) as pairs_above_05, count(*) as n_pairs from r group by level""")
+def _(spark, sf):
+    """The summary of every level, from one matrix over all columns."""
+    return cmp.correlation_summary(_level_correlations(spark, sf), ["level"])
+
+
+@query("most_correlated_pairs", "A31",
+       f"""with {_level_pairs_sql()} select level, position::INTEGER as position, first, second, {rnd('r',3)} as correlation from (
+  select *, row_number() over (partition by level order by round(r,9) desc, first, second) as position from r) where position<=5""")
+def _(spark, sf):
+    """The five most correlated pairs of every level, from the same matrix."""
+    return cmp.top_correlations(_level_correlations(spark, sf), 5)
+
+
+def _level_correlations(spark, sf):
+    levels = {g: (enriched_names("friendship", g), feature_names("friendship", "enriched", g)) for g in LEVELS}
+    return cmp.level_correlations(enriched_pairs(spark, sf), levels)
+
+
 @query("features_at_level_two", "P9",
        f"with f as ({_PAIRS_SQL}) select user_a, user_b, {', '.join(feature_names('friendship','enriched','G2'))} from f")
 def _(spark, sf):

@@ -118,10 +118,26 @@ def cross_correlations(features: DataFrame, first: Sequence[str], second: Sequen
     return features.sparkSession.createDataFrame(rows, "first string, second string, r double")
 
 
-def correlation_summary(correlations: DataFrame) -> DataFrame:
+def level_correlations(features: DataFrame, levels: dict[str, tuple[Sequence[str], Sequence[str]]]) -> DataFrame:
+    """(level, first, second, r) for every enrichment column of a level with every other column of it.
+
+    ``levels`` names the enrichment columns and all columns of each level. Levels are column subsets of one table, so one
+    matrix over all columns serves them all. Levels without columns of either kind have no rows.
+    """
+    every = list(dict.fromkeys(c for _, names in levels.values() for c in names))
+    marked = list(dict.fromkeys(c for first, _ in levels.values() for c in first))
+    matrix = cross_correlations(features, marked, [c for c in every if c not in set(marked)])
+    wanted = [
+        (level, a, b) for level, (first, names) in levels.items() for a in first for b in names if b not in set(first)
+    ]
+    named = features.sparkSession.createDataFrame(wanted, "level string, first string, second string")
+    return named.join(matrix, ["first", "second"])
+
+
+def correlation_summary(correlations: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Mean and maximum absolute correlation, and counts above 0.3 and 0.5."""
     size = F.abs("r")
-    return correlations.agg(
+    return correlations.groupBy(*by).agg(
         round_to(F.avg(size), 4).alias("mean_correlation"),
         round_to(F.max(size), 4).alias("max_correlation"),
         F.count(F.when(size > 0.3, 1)).alias("pairs_above_03"),
@@ -130,6 +146,13 @@ def correlation_summary(correlations: DataFrame) -> DataFrame:
     )
 
 
+def top_correlations(correlations: DataFrame, n: int) -> DataFrame:
+    """The ``n`` pairs of each level with the largest absolute correlation; ties fall by the columns' names."""
+    order = Window.partitionBy("level").orderBy(F.round(F.abs("r"), 9).desc(), "first", "second")
+    ranked = correlations.withColumn("position", F.row_number().over(order)).filter(F.col("position") <= n)
+    return ranked.select("level", "position", "first", "second", round_to(F.abs("r"), 3).alias("correlation"))
+
+
 def importance_shares(importances: DataFrame) -> DataFrame:
     """Share of each feature and of all enrichment features, from (name, importance, is_enrichment).
 

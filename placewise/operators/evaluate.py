@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from placewise.functions.numbers import HASH_SPACE, hash_draw, hash_key, ratio_or_zero, round_to, star_prediction
+from placewise.functions.numbers import HASH_SPACE, hash_key, ratio_or_zero, round_to, star_prediction
 from placewise.functions.texts import strip
 
 
@@ -119,38 +119,54 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[
     )
 
 
-def poisson_thresholds(limit: int = 12) -> list[int]:
-    """Whole-number borders that turn a draw in [0, 2**32) into a Poisson(1) weight."""
-    total, borders = 0.0, []
-    for k in range(limit):
-        total += math.exp(-1.0) / math.factorial(k)
-        borders.append(int(total * HASH_SPACE))
-    return borders
+#: Counts below this draw their Poisson weight by inversion, larger parts by a corrected normal draw.
+INVERTED = 64
+#: Terms of the inversion: the chance of more events than this is below 1e-18 for every mean under ``INVERTED``.
+POISSON_TERMS = 150
+#: Values are told apart to this many decimals, and weights drawn for each.
+VALUE_DECIMALS = 6
+
+
+def poisson_weight(count: Column, digest: Column) -> Column:
+    """A Poisson draw with mean ``count`` from a hex digest: the sum of ``count`` independent Poisson(1) weights.
+
+    Poisson(a + b) is Poisson(a) plus Poisson(b): the remainder modulo ``INVERTED`` is drawn by inversion of the distribution,
+    the rest (``INVERTED`` at least) by the normal approximation with its skewness corrected.
+    """
+    u1, u2, u3 = (F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("double") / F.lit(float(HASH_SPACE)) for i in range(3))
+    rest = F.pmod(count, F.lit(INVERTED)).cast("double")
+    zero = F.exp(-rest)
+    begin = F.struct(zero.alias("p"), zero.alias("below"), F.lit(0).alias("n"))
+
+    def step(state: Column, k: Column) -> Column:
+        p = state["p"] * rest / k
+        return F.struct(
+            p.alias("p"), (state["below"] + p).alias("below"), (state["n"] + (u1 >= state["below"]).cast("int")).alias("n")
+        )
+
+    small = F.aggregate(F.sequence(F.lit(1), F.lit(POISSON_TERMS)), begin, step, lambda s: s["n"])
+    mean = (count - F.pmod(count, F.lit(INVERTED))).cast("double")
+    z = F.sqrt(F.lit(-2.0) * F.log(u2 + F.lit(1.0 / HASH_SPACE))) * F.cos(F.lit(2 * math.pi) * u3)
+    large = F.floor(F.greatest(mean + F.sqrt(mean) * z + (z * z - 1) / 6, F.lit(0.0)) + 0.5)
+    return small + F.when(mean > 0, large).otherwise(F.lit(0))
 
 
 def bootstrap_interval(
-    df: DataFrame, key: Sequence[str], value: Column, n_resamples: int = 1000, confidence: float = 0.95,
-    by: Sequence[str] = (), seed: str = "boot",
+    df: DataFrame, value: Column, n_resamples: int = 1000, confidence: float = 0.95, by: Sequence[str] = (), seed: str = "boot"
 ) -> DataFrame:
     """Percentile interval of the mean of ``value`` over Poisson resamples.
 
-    Each row draws its own weight per resample from a hash of its key, so a
-    resample needs no row numbers and all resamples come from one pass with
-    partial sums; what is shuffled is one row per resample and partition.
+    In a Poisson resample every row has a Poisson(1) weight, so all rows of one value together have a Poisson(count) weight.
+    Rows are therefore counted per value first, and a resample draws one weight for each value: its cost depends on
+    the different values (two for a hit rate, as many as candidates for a reciprocal rank), not on the rows.
     """
-    rows = df.select(*by, *key, value.cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    # Rows grow a thousandfold here: spread even a small table over all tasks first.
-    n_tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n_tasks, *key)
-    copies = rows.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
-    draw = hash_draw(seed, *key, "_b")
-    weight = F.lit(0)
-    for border in poisson_thresholds():
-        weight = weight + (F.col("_draw") >= F.lit(border)).cast("int")
-    # No filter on the weight: pushed down, it would compute the hash once per border.
-    weighted = copies.withColumn("_draw", draw).withColumn("_w", weight)
-    total, hits = F.sum("_w"), F.sum(F.col("_v") * F.col("_w"))
-    means = weighted.groupBy(*by, "_b").agg(F.try_divide(hits, total).alias("_m"))
+    units = F.round(value.cast("double") * F.lit(float(10**VALUE_DECIMALS))).cast("long")
+    rows = df.select(*by, units.alias("_v")).filter(F.col("_v").isNotNull())
+    counts = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    copies = counts.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
+    weighted = copies.withColumn("_w", poisson_weight(F.col("_c"), hash_key(seed, *by, "_v", "_b")).cast("long"))
+    mean = F.try_divide(F.sum(F.col("_v") * F.col("_w")), F.sum("_w")) / F.lit(float(10**VALUE_DECIMALS))
+    means = weighted.groupBy(*by, "_b").agg(mean.alias("_m"))
     alpha = (1 - confidence) / 2
     return means.groupBy(*by).agg(
         round_to(F.percentile("_m", alpha), 6).alias("ci_lower"),
@@ -159,6 +175,24 @@ def bootstrap_interval(
     )
 
 
+def ranking_values(df: DataFrame, ranking: str = "ranking", truth: str = "truth_pos") -> DataFrame:
+    """One row per case and ranking metric: (metric, value) beside the other columns. A case without a ranking has no value."""
+    at = F.array_position(F.col(ranking), F.col(truth))
+    hit = {k: at.between(1, k).cast("double") for k in (1, 5)}
+    reciprocal = F.when(at > 0, 1.0 / at).when(at == 0, 0.0)
+    values = {"acc_at_1": hit[1], "acc_at_5": hit[5], "mrr": reciprocal}
+    items = F.array(*(F.struct(F.lit(n).alias("metric"), v.alias("value")) for n, v in values.items()))
+    return df.withColumn("_item", F.explode(items)).select(*df.columns, "_item.*")
+
+
+def ranking_intervals(
+    df: DataFrame, ranking: str = "ranking", truth: str = "truth_pos", by: Sequence[str] = (), n_resamples: int = 1000, seed: str = "boot"
+) -> DataFrame:
+    """Percentile intervals of the hit rates at 1 and 5 and of the mean reciprocal rank, per condition."""
+    values = ranking_values(df.select(*by, ranking, truth), ranking, truth)
+    return bootstrap_interval(values, F.col("value"), n_resamples, by=[*by, "metric"], seed=seed)
+
+
 def random_line(n_candidates: int) -> dict[str, float]:
     """Expected metrics of a random ranking, in closed form."""
     return {

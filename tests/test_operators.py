@@ -106,6 +106,17 @@ def test_chronological_split_is_exact(spark, n, spread):
     assert got == want
 
 
+def test_time_cuts_shuffle_no_rows_and_stand_hot_moments(spark):
+    """Half of all rows at one moment, some without a time; the labelled table is one pass over the rows."""
+    rows = [(i, T0 if i % 2 else T0 + dt.timedelta(minutes=i)) for i in range(300)] + [(1000, None)]
+    df = spark.createDataFrame(rows, "id int, ts timestamp_ntz")
+    out = history.chronological_split(df, "ts", ["id"], (("train", 0.3), ("val", 0.1)))
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    counts = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
+    assert counts == {"train": 90, "val": 30, "test": 181}
+    assert history.chronological_split(df.where("false"), "ts", ["id"]).collect() == []
+
+
 def test_array_statistics(spark):
     row = spark.range(1).select(
         history.array_slope(F.array(F.lit(1), F.lit(5))).alias("short"),
@@ -395,10 +406,50 @@ def test_ranking_metrics_treat_missing_truth_and_missing_ranking(spark):
 
 def test_bootstrap_brackets_the_mean(spark):
     df = spark.range(400).withColumn("hit", (F.col("id") % 4 == 0).cast("double"))
-    row = evaluate.bootstrap_interval(df, ["id"], F.col("hit"), 300).first()
+    row = evaluate.bootstrap_interval(df, F.col("hit"), 300).first()
     assert 0.18 < row["ci_lower"] < 0.25 < row["ci_upper"] < 0.32 and row["n_resamples"] == 300
 
 
+@pytest.mark.parametrize("count", [1, 5, 63, 64, 200, 5003])
+def test_poisson_weights_have_their_mean_variance_and_skew(spark, count):
+    n = 4000
+    draws = spark.range(n).select(evaluate.poisson_weight(F.lit(count), F.md5(F.col("id").cast("string"))).cast("long").alias("w"))
+    row = draws.agg(F.avg("w").alias("m"), F.var_samp("w").alias("v"), F.skewness("w").alias("s"), F.min("w").alias("low")).first()
+    assert row["low"] >= 0 and abs(row["m"] - count) < 4.5 * math.sqrt(count / n)
+    assert abs(row["v"] / count - 1) < 5 * math.sqrt((2 + 1 / count) / n) + 0.01
+    assert abs(row["s"] - count**-0.5) < 0.25
+
+
+def test_bootstrap_explodes_no_rows(spark):
+    df = spark.range(5000).withColumn("hit", (F.col("id") % 2).cast("double"))
+    plan = evaluate.bootstrap_interval(df, F.col("hit"), 100)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Range")  # the plan is read from its end: rows are counted before
+    assert plan.count("Aggregate") == 3 and "Aggregate" in plan[plan.index("Generate"):]
+
+
+def test_ranking_intervals_hold_the_metrics(spark):
+    rows = [("m", f"G{i % 2}", [i % 3, (i + 1) % 3, (i + 2) % 3] if i % 7 else None, 0) for i in range(300)]
+    df = spark.createDataFrame(rows, "model string, level string, ranking array<int>, truth_pos int")
+    told = {r["level"]: r for r in evaluate.ranking_metrics(df, by=["level"]).collect()}
+    found = evaluate.ranking_intervals(df, by=["model", "level"], n_resamples=200).collect()
+    assert len(found) == 6
+    for r in found:
+        assert r["ci_lower"] <= told[r["level"]][r["metric"]] <= r["ci_upper"]
+
+
+def test_level_correlations_are_subsets_of_one_matrix(spark):
+    rng = random.Random(4)
+    rows = [tuple(rng.gauss(0, 1) for _ in range(3)) for _ in range(60)]
+    df = spark.createDataFrame([(a, b, a + b + 0.1 * c, c) for a, b, c in rows], "a double, b double, e double, d double")
+    levels = {"G0": ([], ["a", "b"]), "G1": (["e"], ["a", "e"]), "G2": (["e", "d"], ["a", "b", "e", "d"])}
+    found = compare.level_correlations(df, levels)
+    assert sorted((r["level"], r["first"], r["second"]) for r in found.collect()) == [
+        ("G1", "e", "a"), ("G2", "d", "a"), ("G2", "d", "b"), ("G2", "e", "a"), ("G2", "e", "b")
+    ]
+    top = [(r["level"], r["position"], r["first"]) for r in compare.top_correlations(found, 2).orderBy("level", "position").collect()]
+    assert top == [("G1", 1, "e"), ("G2", 1, "e"), ("G2", 2, "e")]
+
+
 def test_random_line_is_the_expectation():
     line = evaluate.random_line(20)
     assert line["acc_at_1"] == 0.05 and line["mrr"] == pytest.approx(0.17989, abs=1e-4)
