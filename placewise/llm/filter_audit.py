@@ -99,7 +99,8 @@ class _Chunk:
             if len(out) == _ROWS or size > CHUNK_BYTES // 4:
                 yield _batch(out, _MARKED)
                 out, size = [], 0
-        prefixes = self.trie.separators(self.trie.size // PREFIXES + 1)
+        step = self.trie.size // PREFIXES + 1
+        prefixes = self.trie.separators(step, int(step * (self.number * 0.6180339887498949 % 1)))
         out += [(None, None, None, None, None, None, None, p) for p in prefixes]
         if out:
             yield _batch(out, _MARKED)
@@ -116,7 +117,7 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    number = TaskContext.get().partitionId() << 32
+    number = TaskContext.get().partitionId() << 20
     chunk = _Chunk(number)
     for batch in batches:
         for row in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):

@@ -29,7 +29,7 @@ class Node:
 
 
 class RadixTrie:
-    """Texts with the smallest id of each at its terminal. ``size`` is the number of bytes of its edges.
+    """Texts with the smallest id of each at its terminal. ``size`` is the number of bytes of its different texts.
 
     An insertion costs the length of the text; ids that are ``None`` are never the smallest.
     """
@@ -44,9 +44,7 @@ class RadixTrie:
         while at < len(text):
             child = node.children.get(text[at])
             if child is None:
-                child = node.children[text[at]] = Node(text[at:])
-                self.size += len(child.label)
-                node, at = child, len(text)
+                node, at = node.children.setdefault(text[at], Node(text[at:])), len(text)
                 continue
             label = child.label
             if not text.startswith(label, at):
@@ -56,7 +54,9 @@ class RadixTrie:
                 middle.children[child.label[0]] = child
                 node.children[text[at]] = child = middle
             node, at = child, at + len(child.label)
-        node.end = True
+        if not node.end:
+            node.end = True
+            self.size += len(text)
         if doc_id is not None and (node.least is None or doc_id < node.least):
             node.least = doc_id
         return node
@@ -70,24 +70,25 @@ class RadixTrie:
                 yield node
             stack.extend(node.children[first] for first in sorted(node.children, reverse=True))
 
-    def separators(self, step: int) -> list[bytes]:
-        """Shortest prefixes that cut the trie's texts into ranges of about ``step`` bytes of edges, in order.
+    def separators(self, step: int, begin: int = 0) -> list[bytes]:
+        """Shortest prefixes that cut the trie's texts into ranges of about ``step`` bytes, in order.
 
         A prefix is as long as it has to be to tell the first text at or after it from the one before: one byte beyond the
-        branch where they part.
+        branch where they part. The first range is shorter by ``begin`` bytes, so that the prefixes of many tries, begun at
+        different places, stand for equal parts of all their texts.
         """
         found: list[bytes] = []
-        passed = 0
-        stack: list[tuple[Node, bytes, bool]] = [(self.root, b"", False)]
+        passed = begin
+        stack: list[tuple[Node, bytes, int, bool]] = [(self.root, b"", 0, False)]
         while stack:
-            node, path, parted = stack.pop()
+            node, path, depth, parted = stack.pop()
             if parted and passed >= step:
                 found.append(path + node.label[:1])
                 passed = 0
-            passed += len(node.label)
+            depth += len(node.label)
+            passed += depth if node.end else 0
             below = path + node.label if node.children else b""
-            order = sorted(node.children)
             # The first child follows its parent's own text, if that ends here, or nothing that it has to be told from.
-            children = [(node.children[b], below, i > 0 or node.end) for i, b in enumerate(order)]
+            children = [(node.children[b], below, depth, i > 0 or node.end) for i, b in enumerate(sorted(node.children))]
             stack.extend(reversed(children))
         return found
