@@ -11,7 +11,8 @@ The rank file is read on the driver, checked against ``MOST_BYTES`` and sent to
 
 Defined results: a null text is empty; an empty text has no ids and decodes to no bytes; words of more than
 ``LONG_WORD`` bytes (runs without a break) are contracted with a heap instead of one round per merge, with the same
-result; repeated rows and null ids are carried along; an empty table gives an empty result; other columns are
+result; a very long text of many long words costs time in proportion to the squares of the words' lengths, and no more memory
+than any other: the recursions are cut by the rows they make; repeated rows and null ids are carried along; an empty table gives an empty result; other columns are
 ignored.
 """
 
@@ -33,8 +34,11 @@ from .common import map_batches, small_batches, text_or_empty
 #: Largest rank file that is sent to the tasks.
 MOST_BYTES = 64 << 20
 LONG_WORD = 256
-#: Words of one recursion, remembered words of a worker, ids of one decoding, ids of one segment.
-WORDS_AT_ONCE, _MEMO, IDS_AT_ONCE, SEGMENT = 20_000, 400_000, 400_000, 65_536
+#: Token rows of one recursion over all its rounds, which bounds the memory of the database: a word of n bytes makes at most
+#: n (n + 1) / 2, as every round leaves it one token less.
+ROWS_AT_ONCE = 1_000_000
+#: Remembered words of a worker, ids of one decoding, ids of one segment.
+_MEMO, IDS_AT_ONCE, SEGMENT = 400_000, 400_000, 65_536
 
 ENCODE = """
 with recursive tokens as (
@@ -133,8 +137,18 @@ class ByteBpe:
                 self.memo[word] = np.array(self.contract_long(raw), "<i4").tobytes()
             else:
                 rest.append((word, raw))
-        for at in range(0, len(rest), WORDS_AT_ONCE):
-            self._contract(rest[at : at + WORDS_AT_ONCE])
+        # Words of like length share their rounds.
+        rest.sort(key=lambda w: len(w[1]))
+        group, rows = [], 0
+        for item in rest:
+            made = len(item[1]) * (len(item[1]) + 1) // 2
+            if group and rows + made > ROWS_AT_ONCE:
+                self._contract(group)
+                group, rows = [], 0
+            group.append(item)
+            rows += made
+        if group:
+            self._contract(group)
 
     def _contract(self, words: list[tuple[str, bytes]]) -> None:
         """Ids of the words by the recursive query over their token rows."""

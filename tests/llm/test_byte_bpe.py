@@ -43,6 +43,23 @@ def test_heap_and_recursion_agree(bpe):
         assert list(memoryview(bpe.memo[word]).cast("i")) == bpe.contract_long(word.encode())
 
 
+@pytest.mark.parametrize("kind", ["letters", "thai"])
+def test_many_long_words_stay_within_memory(bpe, library, kind):
+    """Distinct unbroken words in one text: 100 to 240 letters, or 30 to 80 characters of three bytes."""
+    rng = random.Random(9)
+    words = set()
+    while len(words) < 20_000:
+        if kind == "thai":
+            words.add("".join(chr(0x0E01 + rng.randrange(46)) for _ in range(rng.randint(30, 80))))
+        else:
+            words.add("".join(rng.choices("abcdefghiklmnoprstu", k=rng.randint(100, 240))))
+    # One piece in five of the letters, which are the slower ones.
+    text = " ".join(sorted(words)[:: 1 if kind == "thai" else 5])
+    (ids,) = bpe.encode([text])
+    assert ids.tolist() == library.encode_ordinary(text)
+    assert bpe.decode([ids]) == [text.encode()]
+
+
 def test_decoding_in_segments(bpe, monkeypatch):
     monkeypatch.setattr("placewise.llm.byte_bpe.SEGMENT", 7)
     monkeypatch.setattr("placewise.llm.byte_bpe.IDS_AT_ONCE", 20)
