@@ -113,17 +113,17 @@ def _(spark, sf):
 def _intervals_sql(rows: str, by: list[str]) -> str:
     """Intervals of the means of ``v`` (millionths) in ``rows``: one Poisson weight per different value and resample."""
     g = ", ".join(by)
-    u = [f"('0x'||substr(h,{8 * i + 1},8))::BIGINT/4294967296.0::DOUBLE" for i in range(3)]
-    z = f"(sqrt(-2.0*ln({u[1]}+1/4294967296.0::DOUBLE))*cos(2*pi()*({u[2]})))"
-    small = (
-        f"list_reduce(range(1,151), lambda s, k: {{'p': s.p*(c%64)/k, 'below': s.below+s.p*(c%64)/k, 'n': s.n+(({u[0]})>=s.below)::INTEGER}}, "
-        "{'p': exp(-(c%64)::DOUBLE), 'below': exp(-(c%64)::DOUBLE), 'n': 0}).n"
+    digests = f"({key('boot', *by, 'v', 'b')}||{key('boot+', *by, 'v', 'b')})"
+    draws = ", ".join(f"('0x'||substr(h,{8 * i + 1},8))::BIGINT as d{i}" for i in range(8))
+    small = "+".join(
+        f"case when c&{1 << i}>0 then {'+'.join(f'(d{i}>={x})::int' for x in ev.poisson_borders(float(1 << i)))} else 0 end" for i in range(6)
     )
+    z = "(sqrt(-2.0*ln(d6/4294967296.0::DOUBLE+1/4294967296.0::DOUBLE))*cos(2*pi()*(d7/4294967296.0::DOUBLE)))"
     mean = "(c-c%64)::DOUBLE"
     large = f"case when c>=64 then floor(greatest({mean}+sqrt({mean})*{z}+({z}*{z}-1)/6,0)+0.5) else 0 end"
     return f"""select {g}, {rnd('quantile_cont(m,0.025)',6)} as ci_lower, {rnd('quantile_cont(m,0.975)',6)} as ci_upper, count(*) as n_resamples
-  from (select {g}, b, sum(v*w)/nullif(sum(w),0)::DOUBLE/1e6 as m from (select *, ({small}+{large})::BIGINT as w from (
-  select *, {key('boot', *by, 'v', 'b')} as h from (select {g}, v, count(*) as c from ({rows}) where v is not null group by all), range(0,{N_RESAMPLES}) t(b)))
+  from (select {g}, b, sum(v*w)/nullif(sum(w),0)::DOUBLE/1e6 as m from (select *, ({small}+{large})::BIGINT as w from (select *, {draws} from (
+  select *, {digests} as h from (select {g}, v, count(*) as c from ({rows}) where v is not null group by all), range(0,{N_RESAMPLES}) t(b))))
   group by all) group by all"""
 
 

@@ -119,36 +119,48 @@ def regression_metrics(df: DataFrame, actual: str, predicted: str, by: Sequence[
     )
 
 
-#: Counts below this draw their Poisson weight by inversion, larger parts by a corrected normal draw.
+#: Powers of two below this count are drawn by inversion; what is above them by a corrected normal draw.
 INVERTED = 64
-#: Terms of the inversion: the chance of more events than this is below 1e-18 for every mean under ``INVERTED``.
-POISSON_TERMS = 150
 #: Values are told apart to this many decimals, and weights drawn for each.
 VALUE_DECIMALS = 6
 
 
-def poisson_weight(count: Column, digest: Column) -> Column:
-    """A Poisson draw with mean ``count`` from a hex digest: the sum of ``count`` independent Poisson(1) weights.
+def poisson_borders(mean: float) -> list[int]:
+    """Whole numbers that turn a draw in [0, 2**32) into a Poisson weight: the number of borders at or below it."""
+    total, term, k, borders = 0.0, math.exp(-mean), 0, []
+    while True:
+        total += term
+        border = int(total * HASH_SPACE)
+        if border >= HASH_SPACE - 1:
+            return borders
+        borders.append(border)
+        k += 1
+        term *= mean / k
 
-    Poisson(a + b) is Poisson(a) plus Poisson(b): the remainder modulo ``INVERTED`` is drawn by inversion of the distribution,
-    the rest (``INVERTED`` at least) by the normal approximation with its skewness corrected.
+
+def poisson_weight(count: Column, draws: Sequence[Column]) -> Column:
+    """A Poisson draw with mean ``count`` from eight numbers in [0, 2**32): the sum of ``count`` independent Poisson(1) weights.
+
+    Poisson(a + b) is Poisson(a) plus Poisson(b): the binary digits of the count below ``INVERTED`` are drawn by inversion, each
+    from its own number; the rest (``INVERTED`` at least) by the normal approximation with its skewness corrected.
     """
-    u1, u2, u3 = (F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("double") / F.lit(float(HASH_SPACE)) for i in range(3))
-    rest = F.pmod(count, F.lit(INVERTED)).cast("double")
-    zero = F.exp(-rest)
-    begin = F.struct(zero.alias("p"), zero.alias("below"), F.lit(0).alias("n"))
-
-    def step(state: Column, k: Column) -> Column:
-        p = state["p"] * rest / k
-        return F.struct(
-            p.alias("p"), (state["below"] + p).alias("below"), (state["n"] + (u1 >= state["below"]).cast("int")).alias("n")
-        )
-
-    small = F.aggregate(F.sequence(F.lit(1), F.lit(POISSON_TERMS)), begin, step, lambda s: s["n"])
+    weight = F.lit(0)
+    for i in range(INVERTED.bit_length() - 1):
+        part = F.lit(0)
+        for border in poisson_borders(float(1 << i)):
+            part = part + (draws[i] >= F.lit(border)).cast("int")
+        weight = weight + F.when(count.bitwiseAND(F.lit(1 << i)) > 0, part).otherwise(F.lit(0))
     mean = (count - F.pmod(count, F.lit(INVERTED))).cast("double")
-    z = F.sqrt(F.lit(-2.0) * F.log(u2 + F.lit(1.0 / HASH_SPACE))) * F.cos(F.lit(2 * math.pi) * u3)
+    u, v = (d.cast("double") / F.lit(float(HASH_SPACE)) for d in draws[6:8])
+    z = F.sqrt(F.lit(-2.0) * F.log(u + F.lit(1.0 / HASH_SPACE))) * F.cos(F.lit(2 * math.pi) * v)
     large = F.floor(F.greatest(mean + F.sqrt(mean) * z + (z * z - 1) / 6, F.lit(0.0)) + 0.5)
-    return small + F.when(mean > 0, large).otherwise(F.lit(0))
+    return weight + F.when(mean > 0, large).otherwise(F.lit(0))
+
+
+def eight_draws(seed: str, *parts: str) -> list[Column]:
+    """Eight reproducible whole numbers in [0, 2**32)."""
+    digests = F.concat(hash_key(seed, *parts), hash_key(f"{seed}+", *parts))
+    return [F.conv(F.substring(digests, 8 * i + 1, 8), 16, 10).cast("long") for i in range(8)]
 
 
 def bootstrap_interval(
@@ -164,7 +176,10 @@ def bootstrap_interval(
     rows = df.select(*by, units.alias("_v")).filter(F.col("_v").isNotNull())
     counts = rows.groupBy(*by, "_v").agg(F.count(F.lit(1)).alias("_c"))
     copies = counts.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(n_resamples - 1))))
-    weighted = copies.withColumn("_w", poisson_weight(F.col("_c"), hash_key(seed, *by, "_v", "_b")).cast("long"))
+    # The counts are few rows in few tasks: spread their resamples, as the sums need them.
+    spread = copies.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by, "_b")
+    drawn = spread.withColumns({f"_d{i}": d for i, d in enumerate(eight_draws(seed, *by, "_v", "_b"))})
+    weighted = drawn.withColumn("_w", poisson_weight(F.col("_c"), [F.col(f"_d{i}") for i in range(8)]).cast("long"))
     mean = F.try_divide(F.sum(F.col("_v") * F.col("_w")), F.sum("_w")) / F.lit(float(10**VALUE_DECIMALS))
     means = weighted.groupBy(*by, "_b").agg(mean.alias("_m"))
     alpha = (1 - confidence) / 2
