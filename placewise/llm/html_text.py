@@ -9,10 +9,12 @@
    Sorting is by range over (host, path), so a hot host is spread; the ends of the ranges are matched through tables of
    one row per range.
 3. The lines of a pair are aligned by longest common subsequence on their hashes, and shared lines are deleted -
-   except lines inside an article or main element: passages that many articles quote are shared too and are article
-   text. Two copies delete nothing from each other. Lines of boilerplate elements are deleted, shared or not.
+   except lines inside an article or main element, prose (``PROSE_WORDS`` words and a full stop), and shorter sentences between
+   lines that are not shared: passages that many articles quote are shared too and are article text. Two copies delete nothing from each other. Lines of boilerplate
+   elements are deleted, shared or not, as are copyright lines and lines of nothing but links where no content element is marked.
 4. What is left of the best place (article, then main, then named container, then open lines) is the text. Lines of a main
-   element stay beside those of articles in the page unless they are shared.
+   element stay beside those of articles in the page unless they are shared. A named container with ``TEASER`` times the text of
+   the articles beside it is the best place. A form that holds the whole page is a plain container.
 
 A class or id name marks boilerplate as a whole (``sidebar``, ``post-comments``, ``cookie-notice``), not by one word in it
 (``has-sidebar``, ``share-price``), and never for html, body, main and article. Articles inside an element that only its name
@@ -20,17 +22,19 @@ rejects are taken if the page has no other article, main element or named contai
 
 Defined results: a null or empty page, or one without text, gives the empty text; a null URL, or a host with one page,
 has no partner, and only the markup decides; repeated rows (same id, URL and html) share a partner and stay repeated;
-null ids are carried along; ties of the path are ordered by hash; an empty table gives an empty result; other columns are
-ignored.
+null ids are carried along; ties of the path are ordered by hash; very long pages cost their length (closing tags without an open
+element are found by counts); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html import unescape
 
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -50,10 +54,11 @@ INLINE_TAGS = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
     "strong sub sup time tt u var wbr".split()
 )
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words of class or id names that mark boilerplate, and words that may stand beside them in such a name.
 BOILERPLATE_NAMES = frozenset(
-    "ad ads advert adverts advertisement adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies "
+    "ad ads advert adverts advertisement adslot banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies cta "
     "disclaimer disqus footer gdpr menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted "
     "promotion related respond share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar "
     "topbar widget".split()
@@ -73,15 +78,23 @@ CONTENT_NAMES = frozenset(
 )
 
 BOILERPLATE, ARTICLE, MAIN, NAMED, OPEN, BY_NAME = range(6)
+#: Form parts that stay boilerplate where a form holds the whole page.
+FORM_PARTS = frozenset("label legend".split())
 #: Share of the characters outside boilerplate elements from which on a shared page is a copy.
 COPY = 0.9
+#: Words from which on a line that ends like a sentence is prose, which two pages may quote.
+PROSE_WORDS = 12
+#: A named container with so many times the characters of the articles beside it holds the page's article.
+TEASER = 2
 
 _TAG = re.compile(
     r"""<(?:!--(?P<comment>.*?)(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^>"'])*)(?:>|\Z))""",
     re.DOTALL,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_FORM = re.compile(r"<form\b", re.IGNORECASE)
 _CONTENT_ELEMENT = re.compile(r"""<(?:article|main)\b|role\s*=\s*["']?main\b""", re.IGNORECASE)
+_NOTICE = re.compile(r"(?:©|\(c\)\s|copyright\s+(?:©|\(c\)|\d{4}))", re.IGNORECASE)
 _NAME_PARTS = re.compile(r"[^a-z0-9]+")
 
 
@@ -106,7 +119,9 @@ def _element_kind(tag: str, rest: str, kind: int, reopen: bool = False) -> int:
     role = given.get("role", "").lower()
     hidden = "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "")
     inside = kind in (ARTICLE, MAIN)
-    if tag in BOILERPLATE_TAGS and not (tag == "header" and inside):
+    if tag == "form" and reopen:
+        return kind
+    if (tag in BOILERPLATE_TAGS or (reopen and tag in FORM_PARTS)) and not (tag == "header" and inside):
         return BOILERPLATE
     if hidden or role in BOILERPLATE_ROLES:
         return BOILERPLATE
@@ -126,30 +141,44 @@ def _element_kind(tag: str, rest: str, kind: int, reopen: bool = False) -> int:
 
 
 def page_lines(html: str) -> list[tuple[str, int]]:
-    """(text, kind) of every line of the page in order; script and style content is no line."""
+    """(text, kind) of every line of the page in order; script and style content is no line.
+
+    A page whose text all lies in boilerplate elements, or whose articles do, is read again with forms as plain containers and
+    with articles counting inside elements that only their name rejects.
+    """
     lines = _lines(html, False)
-    if _CONTENT_ELEMENT.search(html) and not any(k in (ARTICLE, MAIN, NAMED) for _, k in lines):
-        found = _lines(html, True)
-        if any(k in (ARTICLE, MAIN) for _, k in found):
-            return [(t, BOILERPLATE if k == BY_NAME else k) for t, k in found]
+    kinds = {k for _, k in lines}
+    if not kinds & {ARTICLE, MAIN, NAMED} and (_CONTENT_ELEMENT.search(html) or (OPEN not in kinds and _FORM.search(html))):
+        found = [(t, BOILERPLATE if k == BY_NAME else k) for t, k in _lines(html, True)]
+        now = {k for _, k in found}
+        if now & {ARTICLE, MAIN} or (OPEN not in kinds and now & {NAMED, OPEN}):
+            return found
     return lines
 
 
 def _lines(html: str, reopen: bool) -> list[tuple[str, int]]:
+    """Lines with their kinds. Outside of content elements, copyright lines are boilerplate, and lines of nothing but links that are
+    neither heading nor prose."""
     lines: list[tuple[str, int]] = []
     buffer: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements with the kind around them
-    kind, at = OPEN, 0
+    opened: Counter = Counter()  # and how many there are of each
+    kind, at, plain = OPEN, 0, False
 
     def flush() -> None:
+        nonlocal plain
         if buffer:
             text = " ".join("".join(buffer).split())
             buffer.clear()
             if text:
-                lines.append((text, kind))
+                counts = kind != OPEN or ((plain or is_prose(text)) and not _NOTICE.match(text))
+                lines.append((text, kind if counts else BOILERPLATE))
+        plain = False
 
     def data(text: str) -> None:
+        nonlocal plain
         buffer.append(unescape(text) if "&" in text else text)
+        plain = plain or (not text.isspace() and (not opened["a"] or any(opened[h] for h in HEADINGS)))
 
     for match in iter(lambda: _TAG.search(html, at), None):
         if match.start() > at:
@@ -160,11 +189,13 @@ def _lines(html: str, reopen: bool) -> list[tuple[str, int]]:
             continue
         tag = name.lower()
         if match["close"]:
-            open_at = next((i for i in reversed(range(len(stack))) if stack[i][0] == tag), None)
+            # A closing tag without an open element is found by the count, not by a walk.
+            open_at = next(i for i in reversed(range(len(stack))) if stack[i][0] == tag) if opened[tag] else None
             if open_at is not None and stack[open_at][1] != kind or tag not in INLINE_TAGS:
                 flush()
             if open_at is not None:
                 kind = stack[open_at][1]
+                opened.subtract(t for t, _ in stack[open_at:])
                 del stack[open_at:]
             continue
         below = _element_kind(tag, match["rest"], kind, reopen)
@@ -177,8 +208,10 @@ def _lines(html: str, reopen: bool) -> list[tuple[str, int]]:
         if tag not in VOID_TAGS and not match["rest"].rstrip().endswith("/"):
             if tag in ("p", "li") and stack and stack[-1][0] == tag:
                 kind = stack.pop()[1]
+                opened[tag] -= 1
                 below = _element_kind(tag, match["rest"], kind, reopen)
             stack.append((tag, kind))
+            opened[tag] += 1
             kind = below
     if at < len(html):
         data(html[at:])
@@ -186,11 +219,47 @@ def _lines(html: str, reopen: bool) -> list[tuple[str, int]]:
     return lines
 
 
+def is_sentence(text: str) -> bool:
+    return text.rstrip("\"'»”’)")[-1:] in (".", "!", "?", "…")
+
+
+def is_prose(text: str) -> bool:
+    """Whether a line reads like the text of an article: long, and with a full stop or the like at its end."""
+    return text.count(" ") + 1 >= PROSE_WORDS and is_sentence(text)
+
+
+def _template(lines: list[tuple[str, int]], shared: set[int]) -> set[int]:
+    """Shared lines that are of the pages' template and no passage that both quote.
+
+    Prose stays. A shorter sentence goes at the top or the bottom of a page, where nothing but template lines is above or below it;
+    inside the page, between lines of its own, it is a quotation. Lines that are no sentence go wherever they are.
+    """
+    short = {i for i in shared if not is_prose(lines[i][0])}
+    gone = {i for i in short if not is_sentence(lines[i][0])}
+    for order in (range(len(lines)), reversed(range(len(lines)))):
+        for i in order:
+            if lines[i][1] != BOILERPLATE and i not in short:
+                break
+            if i in short:
+                gone.add(i)
+    return gone
+
+
 def main_text(lines: list[tuple[str, int]], shared: set[int]) -> str:
-    """The lines of the best place, without shared ones outside article and main elements, joined by one space. Lines of a main
-    element outside its articles are of the best place too, unless shared."""
-    kept = [(i, t, k) for i, (t, k) in enumerate(lines) if k in (ARTICLE, MAIN) or (k != BOILERPLATE and i not in shared)]
+    """The lines of the best place, joined by one space.
+
+    Shared lines of the template go, but for those inside article and main elements. Lines of a main
+    element outside its articles are of the best place too, unless shared. Articles are teasers where a named container holds
+    ``TEASER`` times their text; then the container is the best place.
+    """
+    gone = _template(lines, shared)
+    kept = [(i, t, k) for i, (t, k) in enumerate(lines) if k in (ARTICLE, MAIN) or (k != BOILERPLATE and i not in gone)]
+    size = [0] * 6
+    for _, t, k in kept:
+        size[k] += len(t)
     best = min((k for _, _, k in kept), default=OPEN)
+    if size[NAMED] >= TEASER * (size[ARTICLE] + size[MAIN]) > 0:
+        best = NAMED
     return " ".join(t for i, t, k in kept if k == best or (k == MAIN and best == ARTICLE and i not in shared))
 
 
@@ -416,13 +485,17 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
     # Two hashes over the whole row are its key: rows that share it are repeated rows.
     keyed = named.withColumns({"k1": F.xxhash64("page_id", "url", "html"), "k2": F.xxhash64("html", F.lit("2"), "url", "page_id")})
     found = stage(shared_lines(keyed), "shared")
-    # The pages move once, by hash, at any size; only the small side is held in memory.
-    rows = keyed.join(found.hint("shuffle_hash"), _KEY, "left").select("page_id", "url", "html", "shared", "copy")
+    # The lines move once, packed, by hash, at any size; only the small side is held in memory.
+    rows = map_batches(keyed, _pack, "k1 long, k2 long, page_id long, url string, kinds binary, lines binary")
+    rows = rows.join(found.hint("shuffle_hash"), _KEY, "left").select("page_id", "url", "kinds", "lines", "shared", "copy")
 
     def extract(batch: pa.RecordBatch) -> pa.RecordBatch:
         shared = batch.column("shared").to_pylist()
-        pages = zip(batch.column("html").to_pylist(), shared, batch.column("copy").to_pylist(), strict=True)
-        texts = [main_text(page_lines(h), set() if copy else set(s or ())) for h, s, copy in pages]
+        columns = (batch.column(c).to_pylist() for c in ("kinds", "lines", "copy"))
+        texts = [
+            main_text(_unpack(kinds, lines), set() if copy else set(s or ()))
+            for kinds, lines, copy, s in zip(*columns, shared, strict=True)
+        ]
         return pa.RecordBatch.from_arrays(
             [
                 batch.column("page_id"),
@@ -435,3 +508,18 @@ def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "ur
         )
 
     return map_batches(rows, extract, "page_id long, url string, text string, n_chars long, n_shared long")
+
+
+def _pack(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """The lines of pages, compressed: a line holds no line feed, so they are joined by it."""
+    squeeze = zstandard.ZstdCompressor().compress
+    pages = [page_lines(h) for h in batch.column("html").to_pylist()]
+    kinds = pa.array([bytes(k for _, k in p) for p in pages], pa.binary())
+    lines = pa.array([squeeze("\n".join(t for t, _ in p).encode("utf-8", "replace")) for p in pages], pa.binary())
+    kept = ("k1", "k2", "page_id", "url")
+    return pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), kinds, lines], [*kept, "kinds", "lines"])
+
+
+def _unpack(kinds: bytes, lines: bytes) -> list[tuple[str, int]]:
+    texts = zstandard.ZstdDecompressor().decompress(lines).decode().split("\n") if kinds else []
+    return list(zip(texts, kinds, strict=True))

@@ -1,5 +1,7 @@
 import random
 import re
+import time
+from collections import Counter
 from html import unescape
 
 import pytest
@@ -29,6 +31,13 @@ PAGES = {
     "": "",
     "<": "<",
     "<article></article>": "",
+    "<form action=x><input><div>Whole page</div><p>in a form</p><label>Name</label><button>Go</button></form>": "Whole page in a form",
+    "<form><nav>Menu</nav><article><p>Body</p></article></form>": "Body",
+    "<p>Text</p><form><p>Search here</p></form>": "Text",
+    "<article><p>Teaser</p></article><div class='content'><p>The body is much longer than that.</p></div>": "The body is much longer than that.",
+    "<article><p>Long body of an article</p></article><div class='content'><p>Short</p></div>": "Long body of an article",
+    "<article><p>Read</p><div class='cta'>Subscribe now</div><p>on</p></article>": "Read on",
+    "<ul><li><a href=x>Home</a></li><li><a href=y>News</a></li></ul><h1><a href=z>Head</a></h1><p>Go <a href=q>there</a> now</p>": "Head Go there now",
 }
 
 
@@ -37,6 +46,40 @@ def test_markup(html):
     assert text_of(html) == PAGES[html]
 
 
+def test_tags_without_partners_take_linear_time():
+    start = time.time()
+    html = "<b>" * 40_000 + "x</i>" * 40_000
+    assert len(main_text(page_lines(html), set())) == 40_000
+    assert time.time() - start < 5
+
+
+def neutral(html):
+    """The page without what its markup says: structural elements become div, classes, ids and roles go."""
+    html = re.sub(r"(</?)(?:nav|header|footer|aside|article|main|section|form)\b", r"\1div", html)
+    return re.sub(r"\s(?:class|id|role)\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", html)
+
+
+def word_f1(found, wanted):
+    a, b = Counter(found.split()), Counter(wanted.split())
+    both = sum((a & b).values())
+    return 2 * both / (sum(a.values()) + sum(b.values())) if a or b else 1.0
+
+
+def test_neutral_pages_are_told_by_differencing(spark):
+    """With all names and structure taken away, differencing may only help, and the text is nearly that of the marked page."""
+    folder = SF.replace("0.001", "0.01")
+    pages = [(r["page_id"], r["url"], r["html"]) for r in spark.read.parquet(f"{folder}/pages.parquet").collect()]
+    schema = "page_id long, url string, html string"
+    wanted = {i: text_of(h) for i, _, h in pages}
+    bare = [(i, u, neutral(h)) for i, u, h in pages]
+    alone = {i: text_of(h) for i, _, h in bare}
+    found = {r["page_id"]: r for r in extract_main_text(spark.createDataFrame(bare, schema)).collect()}
+    with_it = sum(word_f1(found[i]["text"], w) for i, w in wanted.items()) / len(wanted)
+    without = sum(word_f1(alone[i], w) for i, w in wanted.items()) / len(wanted)
+    assert sum(found[i]["text"] != alone[i] for i in wanted) > 10
+    assert with_it > without and with_it >= 0.97, (with_it, without)
+
+
 def lcs_length(a, b):
     row = [0] * (len(b) + 1)
     for x in a:
