@@ -233,6 +233,53 @@ def _(spark, sf):
     return ev.ranking_intervals(rows, by=["model", "level"], n_resamples=N_RESAMPLES)
 
 
+_RESULT_SQL = """select model, level, event_id, event_id%7=6 as bad, label, prediction, case when model='ranker' then ranking end as ranking,
+  case when model='ranker' then truth_pos end as truth_pos, case when event_id%3=0 then event_id%100 end as tokens, event_id%4=0 as cached from (
+  select *, case when event_id%2=0 then 'labeller' else 'ranker' end as model, 'G'||(event_id%5) as level,
+  case when event_id%2=0 then (event_id%4)//2 end as label, case when event_id%2=0 and event_id%6<>0 then 1 end as prediction from parsed)"""
+
+
+def _result_files(spark, sf):
+    """Files of two shapes per level: labels with predictions, rankings with usage; with missing fields and bad lines."""
+    from placewise.session import scratch_path
+
+    rows = answers(spark, sf).withColumn("ranking", parsing.parse_ranking("answer", 3))
+    n = F.col("event_id")
+    usage = F.when(n % 3 == 0, F.struct((n % 100).alias("total_tokens")))
+    labelled = F.to_json(F.struct(n.alias("index"), (F.floor(n % 4 / 2)).alias("label"), F.when(n % 6 != 0, 1).alias("prediction"),
+                                  usage.alias("usage"), (n % 4 == 0).alias("cached")))
+    # A null ranking is written out, as an answer that could not be read is.
+    ranked = F.to_json(F.struct(n.alias("index"), "ranking", F.col("truth_pos").alias("ground_truth_idx"), usage.alias("usage")),
+                       {"ignoreNullFields": "false"})
+    line = F.when(n % 7 == 6, F.lit("{not json")).when(n % 2 == 0, labelled).otherwise(ranked)
+    condition = F.concat(F.when(n % 2 == 0, "labeller").otherwise("ranker"), F.lit("__G"), n % 5)
+    path = scratch_path(spark, "results")
+    for name in [f"{m}__G{g}" for m in ("labeller", "ranker") for g in range(5)]:
+        rows.filter(condition == name).select(line.alias("value")).write.text(f"{path}/{name}")
+    return f"{path}/*"
+
+
+@query("result_file_counts", "S15 S14 A30",
+       sql("parsed", f"""select model, level, count(*) filter (not bad) as n_total, count(*) filter (not bad and prediction is null and ranking is null) as n_unanswered,
+  count(*) filter (bad) as n_bad, coalesce(sum(tokens) filter (not bad),0)::BIGINT as total_tokens, count(*) filter (cached and not bad and model='labeller') as cached_responses
+  from ({_RESULT_SQL}) group by all"""))
+def _(spark, sf):
+    from placewise.sources.requests import read_results, result_counts
+
+    return result_counts(read_results(spark, _result_files(spark, sf)))
+
+
+@query("ranking_file_metrics", "S15 M7 M11",
+       sql("parsed", f"""select level, {rnd(f"avg((coalesce({_AT},0)=1)::int) filter (ranking is not null)",6)} as acc_at_1,
+  {rnd(f"avg((coalesce({_AT},0) between 1 and 5)::int) filter (ranking is not null)",6)} as acc_at_5, {rnd(f"avg(coalesce(1.0/nullif({_AT},0),0)) filter (ranking is not null)",6)} as mrr,
+  count(*) as n_total, count(ranking) as n_valid, count(*)-count(ranking) as n_parse_failures from ({_RESULT_SQL}) where not bad and model='ranker' group by level"""))
+def _(spark, sf):
+    from placewise.sources.requests import read_results
+
+    rows = read_results(spark, _result_files(spark, sf)).filter((F.col("model") == "ranker") & ~F.col("is_bad"))
+    return ev.ranking_metrics(rows, by=["level"])
+
+
 @query("usage_totals", "A30",
        sql("", "select event_type, sum(event_id%100)::BIGINT as total_tokens, count(*) filter (event_id%4=0) as cached_responses from events group by 1"))
 def _(spark, sf):

@@ -16,6 +16,7 @@ from placewise.operators.filters import without_pairs
 from placewise.operators.history import last_n_array
 from placewise.operators.sampling import balanced, take_first
 from placewise.session import scratch_path
+from placewise.sources.polygons import polygon_centroids
 from placewise.sources import checkins as ci
 from placewise.sources import places, requests, reviews as rv, sinks
 from placewise.sources import trips as tr
@@ -166,6 +167,39 @@ def _(spark, sf):
     return tr.zone_centroids(corners)
 
 
+#: Rings of a zone around its point, as (lat, lon) steps of a thousandth: a part, its hole (the other way round), a second part.
+_RINGS = ([(0, 0), (9, 0), (9, 7), (4, 9), (0, 6)], [(2, 2), (2, 4), (5, 4), (5, 2)], [(20, 1), (23, 1), (22, 5)])
+
+
+def _zone_rings(zones):
+    """Boundary vertices of zones of different sizes; every third zone has no hole, every fifth one part."""
+    corners = F.array(*(
+        F.struct(F.lit(r).alias("ring"), F.lit(i).alias("seq"), F.lit(a / 1000).alias("a"), F.lit(b / 1000).alias("b"))
+        for r, ring in enumerate(_RINGS) for i, (a, b) in enumerate(ring)
+    ))
+    size = F.lit(1.0) + F.col("zone_id") % 7
+    rows = zones.select("zone_id", "lat", "lon", F.explode(corners).alias("c"))
+    rows = rows.filter(~((F.col("c.ring") == 1) & (F.col("zone_id") % 3 == 0)) & ~((F.col("c.ring") == 2) & (F.col("zone_id") % 5 == 0)))
+    return rows.select("zone_id", "c.ring", "c.seq", (F.col("lat") + F.col("c.a") * size).alias("lat"), (F.col("lon") + F.col("c.b") * size).alias("lon"))
+
+
+_CORNERS = ", ".join(f"({r},{i},{a}/1000.0::DOUBLE,{b}/1000.0::DOUBLE)" for r, ring in enumerate(_RINGS) for i, (a, b) in enumerate(ring))
+
+
+@query("polygon_centroids", "S8",
+       sql("open_zones", f"""select zone_id, {rnd('sum(my+y0*a2)/sum(a2)',6)} as lat, {rnd('sum(mx+x0*a2)/sum(a2)',6)} as lon,
+  {rnd('abs(sum(a2))/2',9)} as area from ring_moments group by 1""",
+           corners=f"""select zone_id, ring, seq, lat+a*(1+zone_id%7) as y, lon+b*(1+zone_id%7) as x from open_zones, (values {_CORNERS}) c(ring, seq, a, b)
+  where not (ring=1 and zone_id%3=0) and not (ring=2 and zone_id%5=0)""",
+           own="""select *, x-first(x) over w as u, y-first(y) over w as t, first(x) over w as x0, first(y) over w as y0 from corners
+  window w as (partition by zone_id, ring order by seq)""",
+           edges="select *, coalesce(lead(u) over w, 0) as nu, coalesce(lead(t) over w, 0) as nt from own window w as (partition by zone_id, ring order by seq)",
+           ring_moments="""select zone_id, ring, sum(u*nt-nu*t) as a2, sum((u+nu)*(u*nt-nu*t))/3 as mx, sum((t+nt)*(u*nt-nu*t))/3 as my,
+  any_value(x0) as x0, any_value(y0) as y0 from edges group by all"""))
+def _(spark, sf):
+    return polygon_centroids(_zone_rings(roles.open_zones(spark, sf)))
+
+
 @query("case_table_round_trip", "S9",
        sql("checkins", """select user_id, count(*) as n, min(event_id) as first_event from (select *, row_number() over (partition by user_id
   order by ts desc, event_id desc) as r from checkins) where r<=15 group by 1"""))

@@ -101,3 +101,51 @@ def read_predictions(
     name = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)__(G\d)(\.json|/)", 1)
     level = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)__(G\d)(\.json|/)", 2)
     return raw.select("*", name.alias("model"), level.alias("level"))
+
+
+#: Fields of a result record and their types; each may be missing, null or of another type in any record.
+RESULT_FIELDS = {
+    "index": ("$.index", "bigint"),
+    "label": ("$.label", "int"),
+    "prediction": ("$.prediction", "int"),
+    "ranking": ("$.ranking", "array<int>"),
+    "truth_pos": ("$.ground_truth_idx", "int"),
+    "total_tokens": ("$.usage.total_tokens", "bigint"),
+    "cached": ("$.cached", "boolean"),
+}
+
+
+def read_results(spark: SparkSession, path_glob: str, whole_files: bool = False) -> DataFrame:
+    """Result files of any of these shapes as one table, one row per record, with the condition from the file's name.
+
+    A file holds one record per line, or, with ``whole_files``, one JSON document: an array of records or a single one.
+    Records with a label and a prediction, and records with a ranking, may stand in one folder. A field that is missing
+    or of another type is null; a line or file that is no JSON object is kept as one row with ``is_bad``, so that bad rows
+    can be counted and never end the reading.
+    """
+    raw = spark.read.text(path_glob, wholetext=whole_files)
+    where = F.col("_metadata.file_path")
+    named = raw.select(
+        F.try_parse_json("value").alias("_v"),
+        F.regexp_extract(where, r"([^/]+?)__(G\d)(\.json|/)", 1).alias("model"),
+        F.regexp_extract(where, r"([^/]+?)__(G\d)(\.json|/)", 2).alias("level"),
+    )
+    # An array becomes one row per record; anything else is a list of one.
+    records = F.coalesce(F.try_variant_get("_v", "$", "array<variant>"), F.array("_v"))
+    rows = named.withColumn("_r", F.explode(records))
+    shape = F.schema_of_variant("_r")
+    bad = ~F.coalesce(shape.startswith("OBJECT"), F.lit(False))
+    fields = [F.try_variant_get("_r", at, kind).alias(name) for name, (at, kind) in RESULT_FIELDS.items()]
+    return rows.select("model", "level", *fields, bad.alias("is_bad"))
+
+
+def result_counts(results: DataFrame) -> DataFrame:
+    """Per condition: records, records without an answer, bad rows, tokens spent and answers from the ledger."""
+    answered = F.col("prediction").isNotNull() | F.col("ranking").isNotNull()
+    return results.groupBy("model", "level").agg(
+        F.count_if(~F.col("is_bad")).alias("n_total"),
+        F.count_if(~F.col("is_bad") & ~answered).alias("n_unanswered"),
+        F.count_if("is_bad").alias("n_bad"),
+        F.coalesce(F.sum("total_tokens"), F.lit(0)).alias("total_tokens"),
+        F.count_if(F.coalesce("cached", F.lit(False))).alias("cached_responses"),
+    )

@@ -615,3 +615,75 @@ def test_rolling_changes_reach_a_writer(spark, tmp_path):
     ).trigger(availableNow=True).start()
     query.awaitTermination()
     assert len(out) == 2 and {(7, 1, 399, 1399), (7, 1, 398, 1398)} <= {r for b in out for r in b}
+
+
+def test_result_files_of_every_shape(spark, tmp_path):
+    import json
+
+    from placewise.sources.requests import read_results, result_counts
+
+    records = [
+        {"index": 0, "label": 1, "prediction": 1, "usage": {"total_tokens": 7}, "cached": True},
+        {"index": 1, "label": 0},
+        {"index": 2, "ranking": [2, 0, 1], "ground_truth_idx": 0, "usage": None, "cached": False},
+        {"index": 3, "ranking": None, "ground_truth_idx": 4},
+        {"index": "four", "ranking": "none", "extra": [1]},
+    ]
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "whole").mkdir()
+    lines = [json.dumps(r) for r in records] + ["{broken", "[]", "17", ""]
+    (tmp_path / "lines" / "m-one__G1.json").write_text("\n".join(lines) + "\n")
+    (tmp_path / "whole" / "m-one__G2.json").write_text(json.dumps(records, indent=2))
+    (tmp_path / "whole" / "m_two__G0.json").write_text(json.dumps(records[0]))
+    (tmp_path / "whole" / "m_two__G3.json").write_text("[{]")
+    by_line = read_results(spark, str(tmp_path / "lines"))
+    whole = read_results(spark, str(tmp_path / "whole"), whole_files=True)
+    good = [tuple(r)[2:-1] for r in by_line.where("not is_bad").collect()]
+    assert good == [tuple(r)[2:-1] for r in whole.where("model = 'm-one'").collect()]
+    assert good[0] == (0, 1, 1, None, None, 7, True) and good[2] == (2, None, None, [2, 0, 1], 0, None, False)
+    assert good[4] == (None,) * 7
+    counts = {(r["model"], r["level"]): tuple(r)[2:] for r in result_counts(by_line.union(whole)).collect()}
+    assert counts == {("m-one", "G1"): (5, 3, 3, 7, 1), ("m-one", "G2"): (5, 3, 0, 7, 1), ("m_two", "G0"): (1, 0, 0, 7, 1), ("m_two", "G3"): (0, 0, 1, 0, 0)}
+
+
+def _shapefile(folder, name, records):
+    """A hand-made .shp and .dbf pair from (id, rings) records."""
+    import struct
+
+    body = b""
+    for i, (_, rings) in enumerate(records):
+        points = [p for ring in rings for p in ring]
+        starts = [sum(map(len, rings[:k])) for k in range(len(rings))]
+        shape = struct.pack("<i4d2i", 5, 0, 0, 0, 0, len(rings), len(points)) + struct.pack(f"<{len(starts)}i", *starts)
+        shape += b"".join(struct.pack("<2d", *p) for p in points)
+        shape = shape if rings else struct.pack("<i", 0)
+        body += struct.pack(">ii", i + 1, len(shape) // 2) + shape
+    head = struct.pack(">7i", 9994, 0, 0, 0, 0, 0, (100 + len(body)) // 2) + struct.pack("<2i8d", 1000, 5, *[0.0] * 8)
+    (folder / f"{name}.shp").write_bytes(head + body)
+    fields = [(b"Shape_Area", b"N", 8), (b"LocationID", b"N", 9)]
+    table = struct.pack("<4BIHH20x", 3, 24, 1, 1, len(records), 32 + 32 * len(fields) + 1, 18)
+    table += b"".join(struct.pack("<11sc4xBB14x", n, t, size, 0) for n, t, size in fields) + b"\r"
+    table += b"".join(b" " + b"1.5".rjust(8) + str(i).encode().rjust(9) for i, _ in records) + b"\x1a"
+    (folder / f"{name}.dbf").write_bytes(table)
+
+
+def test_polygon_files_and_their_centroids(spark, tmp_path):
+    from placewise.sources.polygons import polygon_centroids, read_polygons
+
+    square = [(0.0, 0.0), (0.0, 4.0), (4.0, 4.0), (4.0, 0.0), (0.0, 0.0)]  # clockwise, closed
+    hole = [(2.0, 1.0), (3.0, 1.0), (3.0, 3.0), (2.0, 3.0), (2.0, 1.0)]
+    far = [(10.0, 0.0), (10.0, 2.0), (12.0, 2.0), (12.0, 0.0), (10.0, 0.0)]
+    _shapefile(tmp_path, "a", [(7, [square]), (8, [square, hole]), (9, [square, far]), (0, [square]), (11, [])])
+    _shapefile(tmp_path, "b", [(5, [[(1.0, 1.0), (3.0, 1.0), (1.0, 1.0)]])])
+    (tmp_path / "readme.txt").write_text("not a shape")
+    vertices = read_polygons(spark, str(tmp_path))
+    assert vertices.count() == 5 + 10 + 10 + 3
+    found = {r["zone_id"]: (r["lon"], r["lat"], r["area"]) for r in polygon_centroids(vertices).collect()}
+    assert set(found) == {5, 7, 8, 9}
+    assert found[7] == (2.0, 2.0, 16.0)
+    assert found[8] == (pytest.approx((16 * 2 - 2 * 2.5) / 14, abs=1e-6), 2.0, 14.0)
+    assert found[9] == (pytest.approx((16 * 2 + 4 * 11) / 20, abs=1e-6), pytest.approx((16 * 2 + 4 * 1) / 20, abs=1e-6), 20.0)
+    assert found[5] == (pytest.approx(5 / 3, abs=1e-6), 1.0, 0.0)
+    # A ring that does not repeat its first vertex is the same ring.
+    open_ring = vertices.where("zone_id = 8 and seq < 4")
+    assert tuple(polygon_centroids(open_ring).first())[1:] == (2.0, found[8][0], 14.0)
