@@ -6,10 +6,11 @@ learners pass over them many times.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
@@ -20,7 +21,7 @@ from placewise.functions.numbers import finite_or_zero, hash_unit, round_to
 from placewise.session import stage
 
 from .compare import effect_label
-from .sampling import shuffled_position
+from .sampling import shuffled_position, take_shuffled
 
 VALIDATION_SHARE = 0.15
 
@@ -165,22 +166,59 @@ def permutation_importance(
     )
 
 
-def separation(df: DataFrame, names: Sequence[str], label: str = "label") -> float:
-    """Silhouette of the label classes in standardised feature space.
+#: Rows of the sample whose pair distances are taken.
+SEPARATION_ROWS = 2000
 
-    Spark computes it with squared Euclidean distance from per-class sums, so it
-    is linear in the number of rows.
-    """
-    (scaled,) = standardise(df, [], names)
-    rows = assemble(scaled, names).withColumn("_class", F.col(label).cast("double"))
-    return float(ClusteringEvaluator(predictionCol="_class", featuresCol="features").evaluate(rows))
 
+def separation(df: DataFrame, names: Sequence[str], key: Sequence[str], label: str = "label", rows: int = SEPARATION_ROWS) -> float:
+    """Silhouette of the label classes in standardised feature space, with Euclidean distance.
 
-def separation_table(df: DataFrame, levels: dict[str, tuple[Sequence[str], Sequence[str]]]) -> DataFrame:
+    The distances need all pairs, so they are taken over a bounded sample (``rows`` rows, drawn by hash of the key; all if there
+    are fewer). The sample is sent to the tasks as one matrix, and every task turns its rows into sums of distances per
+    class, one tile of rows at a time: no pair is ever a row.
+    """
+    (scaled,) = standardise(df, [], names)
+    drawn = take_shuffled(scaled.select(*key, label, *names), key, rows, "separation")
+    sample = stage(assemble(drawn, names).select(F.col(label).cast("int").alias("_class"), vector_to_array("features").alias("_x")), "sample")
+    held = sample.collect()  # at most ``rows`` of them
+    matrix, classes = np.array([r["_x"] for r in held]), np.array([r["_class"] for r in held])
+    if len(set(classes.tolist())) < 2:
+        return 0.0
+
+    def silhouettes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column("_x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                own = batch.column("_class").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(row_silhouettes(x, own, matrix, classes))], ["s"])
+
+    return float(sample.mapInArrow(silhouettes, "s double").agg(F.avg("s")).first()[0])
+
+
+def row_silhouettes(x: np.ndarray, own: np.ndarray, matrix: np.ndarray, classes: np.ndarray, tile: int = 256) -> np.ndarray:
+    """Silhouette of each row of ``x`` against all rows of ``matrix``, of which it is one; a class of one row scores 0."""
+    labels, sizes = np.unique(classes, return_counts=True)
+    members = (classes[:, None] == labels).astype(float)
+    out = np.zeros(len(x))
+    for at in range(0, len(x), tile):
+        part, mine = x[at : at + tile], np.searchsorted(labels, own[at : at + tile])
+        apart = np.sqrt(((part[:, None, :] - matrix[None, :, :]) ** 2).sum(axis=2))
+        sums = apart @ members
+        rows = np.arange(len(part))
+        inside = sums[rows, mine] / np.maximum(sizes[mine] - 1, 1)
+        means = sums / sizes
+        means[rows, mine] = np.inf
+        nearest = means.min(axis=1)
+        scores = (nearest - inside) / np.maximum(np.maximum(inside, nearest), 1e-300)
+        out[at : at + tile] = np.where(sizes[mine] > 1, scores, 0.0)
+    return out
+
+
+def separation_table(df: DataFrame, levels: dict[str, tuple[Sequence[str], Sequence[str]]], key: Sequence[str]) -> DataFrame:
     """Silhouette per level with all columns and without the enrichment columns."""
     staged = stage(df, "separation")
     rows = [
-        (level, separation(staged, full), separation(staged, plain), len(full), len(plain))
+        (level, separation(staged, full, key), separation(staged, plain, key), len(full), len(plain))
         for level, (full, plain) in levels.items()
     ]
     result = df.sparkSession.createDataFrame(

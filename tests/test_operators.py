@@ -687,3 +687,70 @@ def test_polygon_files_and_their_centroids(spark, tmp_path):
     # A ring that does not repeat its first vertex is the same ring.
     open_ring = vertices.where("zone_id = 8 and seq < 4")
     assert tuple(polygon_centroids(open_ring).first())[1:] == (2.0, found[8][0], 14.0)
+
+
+def test_contributions_add_up_and_are_shapley_values(spark):
+    """Against the definition: all subsets of columns, with the tree's expectation where a column is not known."""
+    from itertools import combinations
+
+    from placewise.operators import contributions as co, models
+
+    rng = random.Random(6)
+    rows = [(i, rng.random(), rng.random(), rng.random(), rng.choice([0.0, 1.0])) for i in range(300)]
+    df = spark.createDataFrame([(*r, int(r[1] + 0.5 * r[2] + 0.3 * r[4] > 0.8)) for r in rows], "id int, a double, b double, c double, d double, label int")
+    names = ["a", "b", "c", "d"]
+    for fit, label in ((models.boosted_classifier, "label"), (models.boosted_regressor, "a")):
+        model = fit(df, names, ["id"], label, maxIter=4, maxDepth=3)
+        found = co.contributions(model, df, names, ["id"])
+        gap = co.largest_gap(found).first()
+        assert gap["largest_gap"] < 1e-6 and gap["n"] == 300
+        path = str(spark.conf.get("spark.checkpoint.dir")) + f"/tree-{label}"
+        model.write().save(path)
+        trees = {}
+        for r in spark.read.parquet(path + "/data").select("treeID", "nodeData.*").collect():
+            trees.setdefault(r["treeID"], {})[r["id"]] = r
+
+        def expect(nodes, x, known, at=0):
+            n = nodes[at]
+            if n["leftChild"] < 0:
+                return n["prediction"]
+            c, border = n["split"]["featureIndex"], n["split"]["leftCategoriesOrThreshold"][0]
+            sides = [n["leftChild"], n["rightChild"]]
+            if c in known:
+                return expect(nodes, x, known, sides[x[c] > border])
+            return sum(nodes[s]["rawCount"] / n["rawCount"] * expect(nodes, x, known, s) for s in sides)
+
+        got = {r["id"]: r["contributions"] for r in found.collect()}
+        for row in rows[:6]:
+            x = row[1:]
+            for j in range(4):
+                value = 0.0
+                for size in range(4):
+                    for s in combinations([k for k in range(4) if k != j], size):
+                        w = math.factorial(size) * math.factorial(3 - size) / 24
+                        value += w * sum(model.treeWeights[t] * (expect(n, x, {*s, j}) - expect(n, x, set(s))) for t, n in trees.items())
+                assert got[row[0]][j] == pytest.approx(value, abs=1e-9)
+    shares = co.contribution_shares(found, names, ["d"]).collect()
+    assert max(shares, key=lambda r: r["importance"])["name"] == "a" and sum(r["is_enrichment"] for r in shares) == 1
+
+
+def test_silhouette_is_euclidean(spark):
+    from placewise.operators import models
+
+    rng = random.Random(8)
+    rows = [(i, rng.gauss(0, 1) + 3 * (i % 2), rng.gauss(0, 2), i % 2) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, a double, b double, label int")
+    table = {r["name"]: (r["mean"], r["std"]) for r in models.column_moments(df, ["a", "b"]).collect()}
+    points = [(((a - table["a"][0]) / table["a"][1], (b - table["b"][0]) / table["b"][1]), y) for _, a, b, y in rows]
+
+    def score(sample):
+        out = []
+        for p, y in sample:
+            means = [sum(math.dist(p, q) for q, z in sample if z == c) / (sum(z == c for _, z in sample) - (c == y)) for c in (0, 1)]
+            out.append((means[1 - y] - means[y]) / max(means))
+        return sum(out) / len(out)
+
+    assert models.separation(df, ["a", "b"], ["id"]) == pytest.approx(score(points), abs=1e-9)
+    drawn = {r["id"] for r in sampling.take_shuffled(df, ["id"], 50, "separation").collect()}
+    assert models.separation(df, ["a", "b"], ["id"], rows=50) != models.separation(df, ["a", "b"], ["id"])
+    assert len(drawn) == 50 and models.separation(df.where("label = 1"), ["a", "b"], ["id"]) == 0.0
