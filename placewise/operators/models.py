@@ -7,11 +7,13 @@ learners pass over them many times.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import VectorAssembler, VectorSlicer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
@@ -166,6 +168,34 @@ def permutation_importance(
     )
 
 
+def grid(
+    train: DataFrame, test: DataFrame, cells: dict[tuple[str, str], Sequence[str]], learner, keys: Sequence[str], side_by_side: int = 4
+) -> DataFrame:
+    """Fit ``learner`` for every (tier, level) and score the test rows: one table with the keys, tier, level, score and prediction.
+
+    All columns of all cells are assembled and written once; a cell takes its columns from the vector. Fits of
+    different cells do not wait for each other: ``side_by_side`` of them run at a time, each in a scheduler pool of its own, so that
+    with fair scheduling the short jobs of one fill the gaps of the others. ``learner`` is an estimator over ``features``.
+    """
+    spark = train.sparkSession
+    names = list(dict.fromkeys(n for columns in cells.values() for n in columns))
+    rows, asked = (
+        stage(assemble(df, names, "_all").select(*(c for c in df.columns if c not in names), "_all"), "grid") for df in (train, test)
+    )
+
+    def one(cell: tuple[str, str]) -> DataFrame:
+        tier, level = cell
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{tier}-{level}")
+        taken = VectorSlicer(inputCol="_all", outputCol="features", indices=[names.index(n) for n in cells[cell]])
+        scored = learner.fit(taken.transform(rows)).transform(taken.transform(asked))
+        score = vector_to_array("probability")[1] if "probability" in scored.columns else F.col("prediction")
+        marks = {"tier": F.lit(tier), "level": F.lit(level), "n_features": F.lit(len(cells[cell]))}
+        return scored.withColumns(marks).select("tier", "level", "n_features", *keys, score.alias("score"), F.col("prediction").cast("double").alias("prediction"))
+
+    with ThreadPoolExecutor(side_by_side) as pool:
+        return reduce(DataFrame.unionByName, pool.map(one, cells))
+
+
 #: Rows of the sample whose pair distances are taken.
 SEPARATION_ROWS = 2000
 

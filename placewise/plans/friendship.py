@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from placewise.functions.numbers import floored_ratio, hash_draw, permutation_keys, permuted
 from placewise.operators.filters import both_ends, without_pairs
 from placewise.operators.pairs import PAIR, pair_category_features, pair_features
-from placewise.operators.sampling import shuffled_position, take_first, take_shuffled
+from placewise.operators.sampling import shuffled_position, split_in_proportion, take_first, take_shuffled
 from placewise.session import stage
 
 from .levels import feature_names
@@ -117,6 +117,15 @@ def friendship_cases(edges: DataFrame, users: DataFrame, n_each: int, seed: str)
     return labelled(pos, random_non_friends(users, edges, n_each, seed))
 
 
+def friendship_slices(edges: DataFrame, users: DataFrame, n_train: int, n_test: int, seed: str) -> DataFrame:
+    """Disjoint training and test pairs (``split``), half of each friends; fewer of all kinds in proportion if there are too few friends."""
+    halves = {"train": n_train // 2, "test": n_test // 2}
+    pos = stage(split_in_proportion(positives(edges, users), PAIR, halves, seed), "friend-slices")
+    drawn = random_non_friends(users, edges, pos.count(), seed)
+    neg = split_in_proportion(drawn, PAIR, halves, seed)
+    return pos.select(*PAIR, F.lit(1).alias("label"), "split").unionByName(neg.select(*PAIR, F.lit(0).alias("label"), "split"))
+
+
 def hard_friendship_cases(edges: DataFrame, profiles: DataFrame, n_each: int, seed: str) -> DataFrame:
     """``n_each`` friend pairs and as many non-friend pairs from the same region."""
     pos = take_shuffled(positives(edges, profiles), PAIR, n_each, seed)
