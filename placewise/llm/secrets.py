@@ -2,18 +2,23 @@
 
 Two passes over the texts, nothing but a histogram is shuffled:
 
-1. Every candidate (a run of at least ``MIN_RUN`` token characters whose characters fit an encoding) gets
-   a p-value of being uniformly random: a chi-squared test of alphabet uniformity, a runs test and a
-   lag-one serial correlation test, combined by Fisher's method. The p-values of all candidates of the
-   corpus are counted per encoding, length class and p-value bin (a table of fixed size).
-2. Random strings have uniform p-values, anything else piles up at zero. So the share of random strings
-   in a stratum shows above ``LAMBDA``, and the smallest p-value threshold is taken at which the
-   estimated share of false discoveries stays under ``q``, per encoding and length. Candidates at or
-   above it are added to the fixed patterns' spans, where they do not overlap one.
+1. Candidates are the runs of at least ``MIN_RUN`` token characters outside the fixed patterns' spans. The smallest alphabet
+   that holds a run is its encoding. The battery has three tests of its being uniformly random over that alphabet:
+   chi-squared uniformity, runs, and lag-one serial correlation, combined by Fisher's method. A run that the battery
+   rejects (``LEAST_RANDOMNESS``) is no secret.
+2. For the others the question is how likely an ordinary identifier is to look like that. Ordinary identifiers have a model of
+   fixed values: letters with their usual frequencies, in words, with changes of case and digits now and then. The ratio of the
+   two likelihoods is at least 1/p with probability at most p for an ordinary identifier, at any length (Markov's inequality),
+   so its inverse, divided by the number of encodings tried, is a p-value. The evidence grows with the length of the run.
+3. The p-values of all candidates of the corpus are counted per length class and bin (a table of fixed size), and in each length class
+   the Benjamini-Hochberg step gives the largest threshold at which at most a share ``q`` of what is flagged is expected to
+   be ordinary. The guarantee holds for tables of any size: a lone key in three rows is found as one among millions is.
+   Flagged runs are added to the fixed patterns' spans.
 
 Defined results: a null text is empty; an empty text has no spans; repeated rows give repeated rows; a
 null id stays null; an empty table gives an empty result; columns beside id and text are ignored by
-``scan_secrets`` and kept untouched by ``redact_secrets``.
+``scan_secrets`` and kept untouched by ``redact_secrets``. Very long texts cost their length: spans and runs are walked side by side.
+Equal p-values fall on the same side of a threshold.
 """
 
 from __future__ import annotations
@@ -46,32 +51,50 @@ ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 MIN_RUN = 16
 #: Lower ends of the length classes.
 LENGTHS = (16, 20, 24, 32, 48)
-#: Alphabets by size; each has character classes that all have to occur.
+_DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: Alphabets by size; a run has the first one that holds all its characters.
 ENCODINGS = {
-    "hex": ("0123456789abcdef", ("0123456789", "abcdef")),
-    "hex_upper": ("0123456789ABCDEF", ("0123456789", "ABCDEF")),
-    "base32": ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "234567")),
-    "base36": ("0123456789abcdefghijklmnopqrstuvwxyz", ("0123456789", "abcdefghijklmnopqrstuvwxyz")),
-    "base62": (
-        "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
-        ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"),
-    ),
-    "base64": (
-        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
-        ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"),
-    ),
-    "base64url": (
-        "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_",
-        ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"),
-    ),
+    "digits": _DIGITS,
+    "hex": _DIGITS + "abcdef",
+    "hex_upper": _DIGITS + "ABCDEF",
+    "lower": _LOWER,
+    "upper": _UPPER,
+    "base32": _UPPER + "234567",
+    "base36": _DIGITS + _LOWER,
+    "base36_upper": _DIGITS + _UPPER,
+    "letters": _UPPER + _LOWER,
+    "base62": _DIGITS + _UPPER + _LOWER,
+    "base64": _UPPER + _LOWER + _DIGITS + "+/",
+    "base64url": _UPPER + _LOWER + _DIGITS + "-_",
+    "any": _UPPER + _LOWER + _DIGITS + "+/-_",
 }
-_SETS = {name: (frozenset(alphabet), [frozenset(c) for c in classes]) for name, (alphabet, classes) in ENCODINGS.items()}
-_INDEX = {name: {c: i for i, c in enumerate(alphabet)} for name, (alphabet, _) in ENCODINGS.items()}
+_SETS = {name: frozenset(alphabet) for name, alphabet in ENCODINGS.items()}
+_INDEX = {name: {c: i for i, c in enumerate(alphabet)} for name, alphabet in ENCODINGS.items()}
+
+# Fixed values of ordinary identifiers: letters a to z in parts of a thousand, and how often one kind of character follows another.
+LETTERS = (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)
+BEGINS = {"lower": 0.6, "upper": 0.25, "digit": 0.12, "mark": 0.03}
+FOLLOWS = {
+    "lower": {"lower": 0.88, "upper": 0.04, "digit": 0.03, "mark": 0.05},
+    "upper": {"lower": 0.55, "upper": 0.38, "digit": 0.03, "mark": 0.04},
+    "digit": {"lower": 0.06, "upper": 0.06, "digit": 0.78, "mark": 0.10},
+    "mark": {"lower": 0.55, "upper": 0.20, "digit": 0.20, "mark": 0.05},
+}
+#: A run is taken for random unless the battery rejects it at this level.
+LEAST_RANDOMNESS = 0.001
+#: Bins are powers of two of the p-value; the last one holds all that is smaller.
+BINS = 64
+
+
+def _ordinary_table() -> tuple[dict[str, dict[str, float]], dict[str, str]]:
+    """log2 of the chance of each token character after each kind of character ("" at the start), and the kinds."""
+    kinds = {c: "lower" for c in _LOWER} | {c: "upper" for c in _UPPER} | {c: "digit" for c in _DIGITS} | {c: "mark" for c in "+/-_"}
+    within = {c: LETTERS[i % 26] / sum(LETTERS) for i, c in enumerate(_LOWER + _UPPER)} | {c: 0.1 for c in _DIGITS} | {c: 0.25 for c in "+/-_"}
+    after = {"": BEGINS} | FOLLOWS
+    return {k: {c: math.log2(row[kinds[c]] * within[c]) for c in kinds} for k, row in after.items()}, kinds
 
-BINS = 50
-LAMBDA = 0.5
-#: Fewer expected random strings than this in a stratum are no evidence.
-LEAST_RANDOM = 4
+
+_ORDINARY, _KIND = _ordinary_table()
 
 _TOKEN = np.zeros(256, bool)
 _TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_")] = True
@@ -81,12 +104,21 @@ _TOKEN[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/-_
 
 
 def infer_encoding(run: str) -> str | None:
-    """The smallest alphabet that holds all characters, if all its character classes occur."""
+    """The smallest alphabet that holds all characters."""
     characters = set(run)
-    for name, (alphabet, classes) in _SETS.items():
-        if characters <= alphabet and all(characters & c for c in classes):
-            return name
-    return None
+    return next((name for name, alphabet in _SETS.items() if characters <= alphabet), None)
+
+
+def evidence(run: str, encoding: str) -> float:
+    """Bits by which random characters of the encoding explain the run better than an ordinary identifier does.
+
+    2 ** -evidence is a p-value of the ordinary model; the bits for having chosen the encoding are taken off.
+    """
+    ordinary, kind = 0.0, ""
+    for c in run:
+        ordinary += _ORDINARY[kind][c]
+        kind = _KIND[c]
+    return -len(run) * math.log2(len(ENCODINGS[encoding])) - ordinary - math.log2(len(ENCODINGS))
 
 
 def _upper_normal(z: float) -> float:
@@ -134,7 +166,7 @@ def serial_p(values: list[int]) -> float:
 
 def randomness_p(run: str, encoding: str) -> float:
     """Fisher's combination of the three tests: high for random strings, near zero for others."""
-    index, size = _INDEX[encoding], len(ENCODINGS[encoding][0])
+    index, size = _INDEX[encoding], len(ENCODINGS[encoding])
     values = [index[c] for c in run]
     logs = sum(-math.log(max(p, 1e-12)) for p in (uniformity_p(values, size), runs_p(values, size), serial_p(values)))
     return math.exp(-logs) * (1 + logs + logs * logs / 2)  # upper tail of chi-squared with 6 degrees at 2 * logs
@@ -144,8 +176,13 @@ def length_class(n: int) -> int:
     return sum(n >= least for least in LENGTHS) - 1
 
 
-def _bin(p: float) -> int:
-    return min(int(p * BINS), BINS - 1)
+def evidence_bin(run: str) -> int:
+    """Whole bits of evidence that a run is a secret; 0 for ordinary runs and for those that the battery rejects."""
+    encoding = infer_encoding(run)
+    bits = int(evidence(run, encoding)) if encoding else 0
+    if bits < 1 or randomness_p(run, encoding) < LEAST_RANDOMNESS:
+        return 0
+    return min(bits, BINS - 1)
 
 
 # -- spans of one batch --------------------------------------------------------
@@ -191,15 +228,36 @@ def base_spans(text: str, runs: list[tuple[int, str]]) -> list[tuple[int, int, i
     return sorted(spans, key=lambda s: (s[0], s[2]))
 
 
+def _outside(at: int, end: int, taken: list[tuple[int, int]], first: int) -> tuple[list[tuple[int, int]], int]:
+    """The parts of [at, end) outside the sorted, disjoint ranges, and the number of the first range that may matter to later parts."""
+    parts = []
+    while first < len(taken) and taken[first][1] <= at:
+        first += 1
+    i = first
+    while i < len(taken) and taken[i][0] < end:
+        if taken[i][0] > at:
+            parts.append((at, taken[i][0]))
+        at = max(at, taken[i][1])
+        i += 1
+    if at < end:
+        parts.append((at, end))
+    return parts, first
+
+
 def _candidates(text: str, runs: list[tuple[int, str]], base: list[tuple[int, int, int]]):
-    """(start, end, encoding, length class, p) of the runs that touch no fixed span."""
+    """(start, end, length class, bin) of the long parts of runs outside the fixed spans; both lists are walked once."""
+    taken: list[tuple[int, int]] = []
+    for a, b, _ in base:  # sorted by start
+        if taken and a <= taken[-1][1]:
+            taken[-1] = (taken[-1][0], max(b, taken[-1][1]))
+        else:
+            taken.append((a, b))
+    first = 0
     for at, run in runs:
-        end = at + len(run)
-        if any(a < end and at < b for a, b, _ in base):
-            continue
-        encoding = infer_encoding(run)
-        if encoding:
-            yield at, end, encoding, length_class(len(run)), randomness_p(run, encoding)
+        parts, first = _outside(at, at + len(run), taken, first)
+        for a, b in parts:
+            if b - a >= MIN_RUN:
+                yield a, b, length_class(b - a), evidence_bin(text[a:b])
 
 
 def _scan(texts: list[str]):
@@ -212,56 +270,41 @@ def _scan(texts: list[str]):
 # -- false-discovery control ---------------------------------------------------
 
 
-def random_thresholds(histogram: dict[tuple[str, int, int], int], q: float) -> dict[tuple[str, int], float]:
-    """Per (encoding, length class) the least p-value at which at most ``q`` of the flagged strings are estimated not random.
+def thresholds_of(histogram: dict[tuple[int, int], int], q: float) -> dict[int, int]:
+    """Per length class the least bin from which on candidates are flagged (Benjamini-Hochberg at level ``q``).
 
-    Expected random strings at or above t: pi * m * (1 - t), with pi * m = (count at or above LAMBDA) / (1 - LAMBDA).
+    With m candidates, R of them in bin b or above, p-values in bin b are at most 2 ** -b; the step is m * 2 ** -b <= q * R.
     """
     out = {}
-    for encoding, length in {key[:2] for key in histogram}:
-        counts = [histogram.get((encoding, length, b), 0) for b in range(BINS)]
-        middle = int(LAMBDA * BINS)
-        flagged = sum(counts[middle:])
-        random_total = flagged / (1 - LAMBDA)
-        if random_total < LEAST_RANDOM:
-            continue
-        out[encoding, length] = LAMBDA
-        for b in reversed(range(middle)):
-            flagged += counts[b]
-            expected = random_total * (1 - b / BINS)
-            # One standard deviation of the count of random strings is no false discovery.
-            if flagged - expected - math.sqrt(expected) > q * flagged:
-                break
-            out[encoding, length] = b / BINS
+    for length in {key[0] for key in histogram}:
+        counts = [histogram.get((length, b), 0) for b in range(BINS)]
+        passed = [b for b in range(1, BINS) if 0 < sum(counts) * 2.0**-b <= q * sum(counts[b:])]
+        if passed:
+            out[length] = min(passed)
     return out
 
 
-def p_value_histogram(docs: DataFrame, text: str = "text") -> dict[tuple[str, int, int], int]:
-    """Candidates of the whole corpus per encoding, length class and bin; its size is fixed by these."""
+def evidence_histogram(docs: DataFrame, text: str = "text") -> dict[tuple[int, int], int]:
+    """Candidates of the whole corpus per length class and bin; its size is fixed by these."""
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen = Counter(
-            (encoding, length, _bin(p))
-            for _, _, found in _scan(batch.column(0).to_pylist())
-            for _, _, encoding, length, p in found
-        )
+        seen = Counter((length, b) for _, _, found in _scan(batch.column(0).to_pylist()) for _, _, length, b in found)
         return pa.RecordBatch.from_pydict(
             {
-                "encoding": pa.array([k[0] for k in seen], pa.string()),
-                "length": pa.array([k[1] for k in seen], pa.int32()),
-                "bin": pa.array([k[2] for k in seen], pa.int32()),
+                "length": pa.array([k[0] for k in seen], pa.int32()),
+                "bin": pa.array([k[1] for k in seen], pa.int32()),
                 "n": pa.array(list(seen.values()), pa.int64()),
             }
         )
 
     small_batches(docs.sparkSession)
-    counted = map_batches(docs.select(text_or_empty(text).alias("text")), count, "encoding string, length int, bin int, n long")
-    rows = counted.groupBy("encoding", "length", "bin").agg(F.sum("n").alias("n")).collect()
-    return {(r["encoding"], r["length"], r["bin"]): r["n"] for r in rows}
+    counted = map_batches(docs.select(text_or_empty(text).alias("text")), count, "length int, bin int, n long")
+    rows = counted.groupBy("length", "bin").agg(F.sum("n").alias("n")).collect()
+    return {(r["length"], r["bin"]): r["n"] for r in rows}
 
 
 def _all_spans(base, found, thresholds) -> list[tuple[int, int, int]]:
-    added = [(a, b, 3) for a, b, encoding, length, p in found if p >= thresholds.get((encoding, length), 2.0)]
+    added = [(a, b, 3) for a, b, length, bits in found if bits >= thresholds.get(length, BINS)]
     return sorted(base + added, key=lambda s: (s[0], s[2])) if added else base
 
 
@@ -271,7 +314,7 @@ def _written(spans) -> str:
 
 def scan_secrets(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", q: float = 0.1) -> DataFrame:
     """One row per document with the counts and digests of the fixed patterns and all spans."""
-    thresholds = random_thresholds(p_value_histogram(docs, text), q)
+    thresholds = thresholds_of(evidence_histogram(docs, text), q)
 
     def spans(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = [(base, _all_spans(base, found, thresholds)) for _, base, found in _scan(batch.column(1).to_pylist())]
@@ -299,7 +342,7 @@ def redact_secrets(docs: DataFrame, text: str = "text", n_chars: str = "n_chars"
 
     A null text stays null; texts without a span stay as they are.
     """
-    thresholds = random_thresholds(p_value_histogram(docs, text), q)
+    thresholds = thresholds_of(evidence_histogram(docs, text), q)
 
     def redact(batch: pa.RecordBatch) -> pa.RecordBatch:
         at = batch.schema.get_field_index(text)
