@@ -1,14 +1,14 @@
 """License scans by canonical digest lookup, in DataFrame operations only.
 
 A text is made canonical (lower case; copyright lines removed; everything but a-z and 0-9 one space; equivalent spellings made
-one) and digested. Entire texts are hash-joined with the digests of known licenses; lines that hold a trigger word
+one) and digested. The form does not depend on how lines are wrapped or commented, and the title may be missing. Entire texts are hash-joined with the digests of known licenses; lines that hold a trigger word
 are canonical texts of their own and are joined with the digests of known one-line notices. Documents are read
 once: their digests are written, and only digests are joined. The known digests are whatever table the caller
 gives, so nothing is broadcast by force; joins are left to Spark's size checks.
 
 Defined results: a null text is empty; an empty text matches nothing; repeated rows are scanned one by one; null ids are
-carried along; of several licenses with one canonical text the smallest id counts; an empty table gives an empty
-result; other columns are ignored.
+carried along; of several licenses with one canonical text the smallest id counts; very long texts cost their length; an empty
+table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,8 +24,24 @@ from placewise.session import stage
 
 from .common import text_or_empty
 
-# A line of this form is a copyright line (in lower case), and spellings that count as one.
-COPYRIGHT_LINE = r"(^|\n)[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
+# Fixed values (in lower case): copyright lines, and the copyright notices that stand inside license texts. A copyright line begins, but
+# for comment marks, with the word or sign and a year (or the place for one), or follows such a line and begins with "(c)"; a wrapped
+# sentence that begins with the word is none.
+_YEAR = r"(\(c\)|©|[0-9]{4}|[<\[{](year|yyyy)|by\b)"
+COPYRIGHT_LINE = (
+    r"(^|\n)[^a-z0-9\n©(]*((copyright[^a-z0-9\n©(\[<{]*" + _YEAR + r"|©|\(c\)[^a-z0-9\n]*(copyright|[0-9]{4}))[^\n]*(\n[^a-z0-9\n]*\(c\)[^\n]*)*"
+    r"|all rights reserved[^a-z0-9\n]*(\n|$))"
+)
+_OWN_NOTICES = (
+    "copyright c( [0-9]{4})+ free software foundation inc( https? (www )?fsf org)?( 51 franklin street( suite 500)?( fifth floor)? boston ma 02110 133[0-9] usa"
+    "| 51 franklin street fifth floor boston ma 02110 1301 usa)?",
+    "copyright c year name of author",
+)
+#: The same notices in a text that is not yet canonical: words with anything but letters and digits between them.
+OWN_NOTICES = "|".join(n.replace(" ", "[^a-z0-9]+") for n in _OWN_NOTICES)
+#: Characters of a first paragraph up to which it is a title, which a copy may lack.
+LONGEST_TITLE = 160
+# Spellings that count as one.
 SPELLINGS = (
     ("acknowledgement", "acknowledgment"),
     ("analyse", "analyze"),
@@ -131,14 +147,17 @@ TEXTS |= {p.stem: p.read_text("utf-8") for p in sorted((Path(__file__).parent /
 
 
 def canonical(text: Column) -> Column:
-    bare = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "$1")
+    own = F.regexp_replace(F.lower(text), OWN_NOTICES, " ")
+    # Lines that follow each other share their line feed: twice finds every one.
+    bare = F.regexp_replace(F.regexp_replace(own, COPYRIGHT_LINE, "\n"), COPYRIGHT_LINE, "\n")
     spaced = F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
     return reduce(lambda t, pair: F.replace(t, F.lit(pair[0]), F.lit(pair[1])), SPELLINGS, spaced)
 
 
 def canonical_sql(text: str) -> str:
     """The same in DuckDB's SQL."""
-    bare = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', '\\1', 'g')"
+    own = f"regexp_replace(lower({text}), '{OWN_NOTICES}', ' ', 'g')"
+    bare = f"regexp_replace(regexp_replace({own}, '{COPYRIGHT_LINE}', chr(10), 'g'), '{COPYRIGHT_LINE}', chr(10), 'g')"
     spaced = f"trim(regexp_replace({bare}, '[^a-z0-9]+', ' ', 'g'))"
     return reduce(lambda t, pair: f"replace({t}, '{pair[0]}', '{pair[1]}')", SPELLINGS, spaced)
 
@@ -156,8 +175,19 @@ def notice_rows() -> list[tuple[str, str]]:
     return sorted(row for row in set(rows) if any(t in row[1].lower().replace("licenc", "licens") for t in TRIGGERS))
 
 
+def untitled(text: str) -> str | None:
+    """The text without its first paragraph, if that is a title."""
+    title, _, rest = text.strip("\n").replace("\r\n", "\n").partition("\n\n")
+    return rest if rest and len(" ".join(title.split())) <= LONGEST_TITLE else None
+
+
+def text_rows() -> list[tuple[str, str]]:
+    """(license id, entire text), with and without the title."""
+    return [(i, t) for i, text in TEXTS.items() for t in (text, untitled(text)) if t]
+
+
 def known_licenses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(TEXTS.items()), "license_id string, text string")
+    return spark.createDataFrame(text_rows(), "license_id string, text string")
 
 
 def known_notices(spark: SparkSession) -> DataFrame:
@@ -225,7 +255,7 @@ def scan_sql() -> str:
     return f"""
 with docs as (select row_number() over () as row, doc_id, coalesce(text, '') as text from documents),
 known as (select md5({canonical_sql("text")}) as digest, min(id) as license_id
-          from (values {values(TEXTS.items())}) v(id, text) group by 1),
+          from (values {values(text_rows())}) v(id, text) group by 1),
 notices as (select md5({canonical_sql("text")}) as digest, min(id) as license_id
             from (values {values(notice_rows())}) v(id, text) group by 1),
 lines as (select row, unnest(string_split(replace(lower(text), 'licenc', 'licens'), chr(10))) as line from docs),

@@ -1,6 +1,9 @@
+import re
+import textwrap
+
 import duckdb
 
-from placewise.llm.licenses import TEXTS, TRIGGERS, canonical, notice_rows, scan_licenses, scan_sql
+from placewise.llm.licenses import TEXTS, TRIGGERS, canonical, notice_rows, scan_licenses, scan_sql, untitled
 
 from .conftest import ROWS, SF
 
@@ -21,6 +24,42 @@ def test_equivalent_spellings_have_one_digest(spark):
         assert r["license_id"] == ("MIT" if r["doc_id"] < len(variants) else None)
 
 
+STYLES = {"plain": "{}", "star": " * {}", "slashes": "// {}", "hash": "# {}"}
+
+
+def wrapped(text, width, style):
+    """The paragraphs of a text filled anew, every line with a comment mark."""
+    lines = []
+    for paragraph in re.split(r"\n\s*\n", text.strip()):
+        lines += [*textwrap.wrap(" ".join(paragraph.split()), width, break_long_words=False, break_on_hyphens=False), ""]
+    return "\n".join(STYLES[style].format(line) for line in lines)
+
+
+def test_wrapping_and_comment_marks_change_nothing(spark):
+    """Every text at every width from 50 to 100, with and without its title and a copyright line of the user's."""
+    rows, wanted = [], {}
+    for n, (license_id, text) in enumerate(TEXTS.items()):
+        for width in range(50, 101):
+            style = list(STYLES)[(n + width) % 4]
+            body = text if width % 2 else untitled(text) or text
+            made = wrapped(body, width, style)
+            if license_id in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause"):
+                notice = STYLES[style].format("Copyright (c) 2019-2021 Jane Doe <jane@example.org>. All rights reserved.")
+                made = notice + "\n" + STYLES[style].format("") + "\n" + made
+            wanted[len(rows)] = (license_id, width, style)
+            rows.append((len(rows), made))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    lost = [wanted[r["doc_id"]] for r in scan_licenses(frame).collect() if r["license_id"] != wanted[r["doc_id"]][0]]
+    assert not lost, (len(lost), {x[0] for x in lost}, lost[:5])
+
+
+def test_sentences_about_copyright_are_kept(spark):
+    texts = ["copyright holders be liable", "copyright notice and more", "(c) You must retain", "Copyright 2020 A\nbody", "(c) 2001 B\nbody", "© C\nbody", "All rights reserved.\nbody", "Copyright (C) D\nCopyright E 1999\n# copyright by F\nbody"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    found = {r["i"]: r["c"] for r in rows.select("i", canonical(rows["t"]).alias("c")).collect()}
+    assert [found[i] for i in range(len(texts))] == ["copyright holders be liable", "copyright notice and more", "c you must retain", "body", "body", "body", "body", "copyright e 1999 body"]
+
+
 def test_notice_lines(spark):
     texts = [
         "Some prose.\nReleased under the MIT License.\nMore.",
