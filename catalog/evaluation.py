@@ -93,6 +93,38 @@ def _(spark, sf):
     return cmp.compare_arms(metrics(spark, sf), "model", *MODELS, ["level"], "f1")
 
 
+#: Settings of a run: negatives from the same region or from anywhere, with a few examples or none, tuned or plain.
+CONTRASTS = (("hard", "easy"), ("few", "zero"), ("tuned", "plain"))
+_SETTINGS = [x for pair in CONTRASTS for x in pair]
+part("runs", (), f"""select setting, model, 'G'||g as level, doc_id, quality as label, case when doc_id%10=0 or (setting='tuned' and g=4) then null
+  when {draw('run','setting','model',"'G'||g",'doc_id')}%100 < 52+4*g+length(setting) then quality else 1-quality end as prediction
+  from labels, (values {", ".join(f"('{x}')" for x in _SETTINGS)}) s(setting), (values ('enriched'),('venue_id')) m(model), range(0,5) t(g)
+  where not (setting='few' and g=0)""")
+part("run_metrics", ("runs",), _BINARY.format(by="setting, model, level,", src="runs", group="group by setting, model, level"))
+
+
+@query("arm_deltas", "M13",
+       sql("run_metrics", "select contrast, metric, model, level, first_value, second_value, "
+           + f"{rnd('first_value-second_value',4)} as delta, case when first_value>second_value then a when first_value<second_value then b else 'tie' end as winner from ("
+           + " union all ".join(
+               f"select '{a} - {b}' as contrast, '{n}' as metric, '{a}' as a, '{b}' as b, x.model, x.level, x.{n} as first_value, y.{n} as second_value"
+               f" from run_metrics x join run_metrics y on x.model=y.model and x.level=y.level and x.setting='{a}' and y.setting='{b}'"
+               for a, b in CONTRASTS for n in ("accuracy", "f1")) + ")"))
+def _(spark, sf):
+    """Hard - easy, few - zero and tuned - plain per model and level; conditions without one side are left out."""
+    grid = roles.table(spark, sf, "labels")
+    for name, values in (("setting", _SETTINGS), ("model", MODELS), ("level", LEVELS)):
+        grid = grid.withColumn(name, F.explode(F.array(*map(F.lit, values))))
+    grid = grid.filter(~((F.col("setting") == "few") & (F.col("level") == "G0")))
+    g = F.substring("level", 2, 1).cast("int")
+    right = hash_draw("run", "setting", "model", "level", "doc_id") % 100 < 52 + 4 * g + F.length("setting")
+    silent = (F.col("doc_id") % 10 == 0) | ((F.col("setting") == "tuned") & (F.col("level") == "G4"))
+    rows = grid.select("setting", "model", "level", F.col("quality").alias("label"),
+                       F.when(~silent, F.when(right, F.col("quality")).otherwise(1 - F.col("quality"))).alias("prediction"))
+    metrics = ev.binary_metrics(rows, by=["setting", "model", "level"])
+    return cmp.arm_deltas(metrics, "setting", CONTRASTS, ["model", "level"], ["accuracy", "f1"])
+
+
 @query("disagreement", "M14 J13",
        sql("preds", f"""select level, count(*) as n_cases, {rnd('avg(same::int)',4)} as agreement_rate, count(*) filter (not same) as n_disagreements,
   count(*) filter (not same and r1 and not r2) as first_right, count(*) filter (not same and r2 and not r1) as second_right,
@@ -441,6 +473,21 @@ def _(spark, sf):
     return roles.table(spark, sf, "events").select("event_id", star_prediction(F.col("value") / 2).alias("star"))
 
 
+@query("item_vectors", "V14 F10",
+       sql("", f"""select vec_id, len(embedding)+6 as n_dims, {rnd("list_sum(list_transform(embedding, lambda x: x::DOUBLE))+label+vec_id%7+3.5",4)} as total,
+  {rnd("embedding[1]::DOUBLE",6)} as first, {rnd("label::DOUBLE",6)} as after from embeddings"""))
+def _(spark, sf):
+    """Model inputs of a list item: its embedding and six numbers of the summary after it."""
+    from placewise.functions.vectors import item_vector
+
+    numbers = [F.col("label").cast("double"), (F.col("vec_id") % 7).cast("double"), F.lit(0.5), F.lit(1.0), F.lit(2.0), F.lit(0.0)]
+    rows = roles.table(spark, sf, "embeddings").withColumn("v", item_vector(F.col("embedding").cast("array<double>"), F.array(*numbers)))
+    return rows.select(
+        "vec_id", F.size("v").cast("long").alias("n_dims"), round_to(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"),
+        round_to(F.get("v", F.lit(0)), 6).alias("first"), round_to(F.get("v", F.size("v") - 6), 6).alias("after"),
+    )
+
+
 @query("embedding_pair_vectors", "F10 V14",
        sql("", f"""select a.vec_id, 4*len(a.embedding)+2 as n_dims, {rnd("list_sum(list_transform(range(1,len(a.embedding)+1), lambda i: (a.embedding[i]::DOUBLE-b.embedding[i]::DOUBLE)))",4)} as sum_diff,
   {rnd("list_sum(list_transform(range(1,len(a.embedding)+1), lambda i: (a.embedding[i]::DOUBLE*b.embedding[i]::DOUBLE)))",4)} as sum_product

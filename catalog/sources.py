@@ -223,6 +223,24 @@ def _(spark, sf):
     return requests.number_chunks(rows, "custom_id", 500)
 
 
+@query("request_files", "S13 C1",
+       sql("", """select chunk, count(*) as n, min(custom_id) as first, max(custom_id) as last, sum(length(body))::BIGINT as n_chars from (
+  select custom_id, body, ((row_number() over (order by custom_id)-1)//300)::BIGINT as chunk from (
+  select 'test|G'||(doc_id%5)||'|'||printf('%05d', doc_id) as custom_id, text as body from documents)) group by 1"""))
+def _(spark, sf):
+    """Requests written as files of at most 300 and read back, file by file."""
+    d = roles.table(spark, sf, "documents")
+    level = F.concat(F.lit("G"), (F.col("doc_id") % 5).cast("string"))
+    rows = d.select(requests.custom_id(F.lit("test"), level, F.col("doc_id")).alias("custom_id"), F.col("text").alias("body"))
+    path = scratch_path(spark, "requests")
+    requests.write_requests(rows, path, "custom_id", 300)
+    back = spark.read.schema("custom_id string, body string, chunk long").json(path)
+    return back.groupBy("chunk").agg(
+        F.count(F.lit(1)).alias("n"), F.min("custom_id").alias("first"), F.max("custom_id").alias("last"),
+        F.sum(F.length("body")).alias("n_chars"),
+    )
+
+
 def _response(spark, sf):
     c = roles.table(spark, sf, "conversations")
     status = F.when(F.col("turn") % 5 == 4, 500).otherwise(200)

@@ -55,6 +55,30 @@ def compare_arms(
     )
 
 
+def arm_deltas(
+    metrics: DataFrame, arm: str, pairs: Sequence[tuple[str, str]], on: Sequence[str], names: Sequence[str]
+) -> DataFrame:
+    """Several pairs of arms and several metrics at once: (contrast, metric, ``on``, both values, their difference, the winner).
+
+    ``pairs`` are (first, second), such as hard and easy negatives, a few and no examples, or a tuned and a plain
+    model; a contrast is named ``first - second``. Conditions that lack one side are left out. The metrics are read once per side.
+    """
+    values = F.array(*(F.struct(F.lit(n).alias("metric"), F.col(n).cast("double").alias("value")) for n in names))
+    long = metrics.select(arm, *on, F.explode(values).alias("_v")).select(F.col(arm).alias("_arm"), *on, "_v.*")
+    sides = F.array(*(F.struct(F.lit(f"{a} - {b}").alias("contrast"), F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in pairs))
+    each = long.withColumn("_p", F.explode(sides)).filter((F.col("_arm") == F.col("_p.a")) | (F.col("_arm") == F.col("_p.b")))
+    groups = each.groupBy(F.col("_p.contrast").alias("contrast"), "metric", *on).agg(
+        F.max(F.when(F.col("_arm") == F.col("_p.a"), F.col("value"))).alias("first_value"),
+        F.max(F.when(F.col("_arm") == F.col("_p.b"), F.col("value"))).alias("second_value"),
+        F.first("_p.a").alias("_a"), F.first("_p.b").alias("_b"),
+    )
+    delta = F.col("first_value") - F.col("second_value")
+    winner = F.when(delta > 0, F.col("_a")).when(delta < 0, F.col("_b")).otherwise("tie")
+    return groups.filter(delta.isNotNull()).select(
+        "contrast", "metric", *on, "first_value", "second_value", round_to(delta, 4).alias("delta"), winner.alias("winner")
+    )
+
+
 def disagreement(
     first: DataFrame, second: DataFrame, case: Sequence[str], names: tuple[str, str] = ("enriched", "venue_id"),
     by: Sequence[str] = (),
